@@ -25,6 +25,7 @@ table gives no shard. Very long texts have a block of their own. Additional colu
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from granary.llm import common
+from granary.llm.op9_token_counts import byte_symbols, piece_starts
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -49,7 +51,8 @@ BITS_PER_KEY = 10
 HASHES = 7
 MAGIC = b"GRNSST01"
 FOOTER = struct.Struct("<QIQIQQB8s")
-MEMO_PIECES = 400_000
+#: Pieces a task remembers; about 200 bytes each.
+MEMO_PIECES = 800_000
 
 
 def put_varint(out: bytearray, n: int) -> None:
@@ -242,39 +245,62 @@ class ShardReader:
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
-    The library cuts a text into pieces by a fixed pattern and encodes each by itself, so pieces met before are taken
-    from memory and only new ones go to the library. Texts with special strings, or with characters for which the
-    pattern's classes may differ between libraries, go to it whole.
+    The library cuts a text into pieces by a fixed pattern and its BPE model encodes each by itself, so pieces met before
+    are taken from memory and only new ones go to the model. Texts with special strings go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.plain = regex.compile(r"[\x00-ԯ -‧‰-⁞₠-€]*").fullmatch
+        self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0)
+        self.symbols = {b: c for c, b in byte_symbols().items()}
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
         self.end = int(end_id).to_bytes(self.width, "little")
         self.memo: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._pack([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian bytes."""
         texts = [t or "" for t in texts]
-        pieces = [self.split(t) if self.plain(t) and not any(s in t for s in self.special) else None for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = list({p for ps in pieces if ps for p in ps if p not in memo})
-        memo.update(zip(new, self._ids(new)))
-        whole = iter(self._ids([t for t, ps in zip(texts, pieces) if ps is None]))
-        return [(next(whole) if ps is None else b"".join([memo[p] for p in ps])) + self.end for ps in pieces]
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        found: list[bytes] = [b""] * len(texts)
+        for i in whole:
+            found[i] = self._pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+        rest = [i for i in sorted(set(range(len(texts))) - set(whole)) if texts[i]]
+        if rest:
+            for i, ids in zip(rest, self._by_pieces([texts[i] for i in rest])):
+                found[i] = ids
+        return [ids + self.end for ids in found]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        joined = "".join(texts)
+        sizes = np.array([len(t) for t in texts])
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        first = np.zeros(len(joined), bool)
+        first[begins] = True
+        cuts = np.flatnonzero(piece_starts(np.frombuffer(joined.encode("utf-32-le"), "<u4"), first))
+        ends = [*cuts[1:].tolist(), len(joined)]
+        pieces = [joined[a:b] for a, b in zip(cuts.tolist(), ends)]
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        ids = list(map(self.memo.get, pieces))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            piece = pieces[i]
+            if piece not in self.memo:
+                self.memo[piece] = self._piece(piece)
+            ids[i] = self.memo[piece]
+        bounds = [*np.searchsorted(cuts, begins).tolist(), len(cuts)]
+        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 @functools.lru_cache(2)
