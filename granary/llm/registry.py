@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from granary.llm import op1_sorted_shards, op5_decontaminate, op7_quality_rules, op8_language_id, op9_token_counts
+from granary.llm import op1_sorted_shards, op10_maxent_lm, op5_decontaminate, op7_quality_rules, op8_language_id, op9_token_counts
 
 QUERIES = {
     "op1_sorted_shards": op1_sorted_shards.query,
+    "op10_maxent_lm": op10_maxent_lm.query,
     "op5_decontaminate": op5_decontaminate.query,
     "op7_quality_rules": op7_quality_rules.query,
     "op8_language_id": op8_language_id.query,
