@@ -17,6 +17,7 @@ row every text is `und`.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ ROUNDS = 3
 MAX_PIECE = 12
 SEGMENT = 32
 #: Words whose log probabilities a task remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 _LETTER = re.compile(r"[^\W\d_]")
 _VOCAB = "byte_bpe_50k.tiktoken"
 UNKNOWN = "und"
@@ -75,72 +76,125 @@ def words_of(text: str) -> list[bytes]:
     return out
 
 
-def lattice(words: list[bytes], vocab: dict[bytes, int], max_piece: int = MAX_PIECE) -> np.ndarray:
-    """[word, start, length - 1] -> piece number or -1, for words of one length."""
-    size = len(words[0])
-    get = vocab.get
-    flat = [get(w[i : i + n], -1) if i + n <= size else -1 for w in words for i in range(size) for n in range(1, max_piece + 1)]
-    return np.array(flat, np.int32).reshape(len(words), size, max_piece)
+class Trie:
+    """The vocabulary as arrays, so that all starts of all words walk it together."""
+
+    def __init__(self, vocab: dict[bytes, int]):
+        children: dict[int, int] = {}
+        piece = [-1]
+        for entry, i in vocab.items():
+            node = 0
+            for b in entry:
+                new = children.setdefault(node << 8 | b, len(piece))
+                if new == len(piece):
+                    piece.append(-1)
+                node = new
+            piece[node] = i
+        self.size, self.piece = len(vocab), np.array(piece, np.int32)
+        bits = (4 * len(children)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.nodes = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        for key, node in children.items():
+            at = int(self._slots(np.array([key]))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) & (len(self.keys) - 1)
+            self.keys[at], self.nodes[at] = key, node
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def child(self, nodes: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The node below by a byte, or -1."""
+        keys = nodes.astype(np.int64) << 8 | data
+        at = self._slots(keys)
+        todo = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            todo = todo[(self.keys[at[todo]] != keys[todo]) & (self.keys[at[todo]] >= 0)]
+        return np.where(self.keys[at] == keys, self.nodes[at], -1)
+
+
+@functools.lru_cache(2)
+def trie(path: str | None = None) -> Trie:
+    return Trie(vocabulary(path))
+
+
+def lattice(words: list[bytes], tree: Trie, max_piece: int = MAX_PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """[start, length - 1, word] -> piece number or -1, and the words' lengths."""
+    sizes = np.array([len(w) for w in words])
+    most = int(sizes.max())
+    data = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(len(words), most)
+    found = np.full((most, min(max_piece, most), len(words)), -1, np.int32)
+    word, start = np.nonzero(np.arange(most) < sizes[:, None])
+    node = np.zeros(len(word), np.int32)
+    for k in range(found.shape[1]):
+        fits = start + k < sizes[word]
+        word, start, node = word[fits], start[fits], node[fits]
+        node = tree.child(node, data[word, start + k])
+        word, start, node = word[node >= 0], start[node >= 0], node[node >= 0]
+        found[start, k, word] = tree.piece[node]
+    return found, sizes
 
 
 def forward(lat: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]; the last position holds the sum over all segmentations."""
-    n, size, most = lat.shape
-    alpha = np.zeros((n, size + 1, probs.shape[1]))
-    alpha[:, 0] = 1
-    padded = np.vstack([probs, np.zeros((1, probs.shape[1]))])
+    """alpha[position, word, language]; at a word's length stands the sum over all its segmentations."""
+    size, most, n = lat.shape
+    alpha = np.zeros((size + 1, n, probs.shape[1]))
+    alpha[0] = 1
     for i in range(size):
         for k in range(min(most, size - i)):
-            ids = lat[:, i, k]
-            some = np.flatnonzero(ids >= 0)
+            some = np.flatnonzero(lat[i, k] >= 0)
             if len(some):
-                alpha[some, i + k + 1] += alpha[some, i] * padded[ids[some]]
+                alpha[i + k + 1, some] += alpha[i, some] * probs[lat[i, k, some]]
     return alpha
 
 
-def backward(lat: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    n, size, most = lat.shape
-    beta = np.zeros((n, size + 1, probs.shape[1]))
-    beta[:, size] = 1
+def backward(lat: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    size, most, n = lat.shape
+    beta = np.zeros((size + 1, n, probs.shape[1]))
+    beta[sizes, np.arange(n)] = 1
     for i in range(size - 1, -1, -1):
         for k in range(min(most, size - i)):
-            ids = lat[:, i, k]
-            some = np.flatnonzero(ids >= 0)
+            some = np.flatnonzero(lat[i, k] >= 0)
             if len(some):
-                beta[some, i] += beta[some, i + k + 1] * probs[ids[some]]
+                beta[i, some] += beta[i + k + 1, some] * probs[lat[i, k, some]]
     return beta
 
 
-def by_length(words: list[bytes], step: int = 4000) -> Iterator[list[bytes]]:
+def by_length(words: list[bytes], step: int = 8000) -> Iterator[list[bytes]]:
+    """The words in groups of like lengths."""
     groups: dict[int, list[bytes]] = {}
     for w in words:
-        groups.setdefault(len(w), []).append(w)
+        groups.setdefault(-(-len(w) // 5), []).append(w)
     for group in groups.values():
         for i in range(0, len(group), step):
             yield group[i : i + step]
 
 
-def log_probs(words: list[bytes], vocab: dict[bytes, int], probs: np.ndarray) -> dict[bytes, np.ndarray]:
-    found = {}
+def log_probs(words: list[bytes], tree: Trie, probs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words, in another order, and their log probabilities by language."""
+    order, found = [], [np.zeros((0, probs.shape[1]))]
     for group in by_length(words):
-        total = np.log(forward(lattice(group, vocab), probs)[:, -1])
-        found.update(zip(group, total))
-    return found
+        lat, sizes = lattice(group, tree)
+        order += group
+        found.append(np.log(forward(lat, probs)[sizes, np.arange(len(group))]))
+    return order, np.vstack(found)
 
 
-def expected_counts(counts: dict[bytes, np.ndarray], vocab: dict[bytes, int], probs: np.ndarray) -> np.ndarray:
+def expected_counts(counts: dict[bytes, np.ndarray], tree: Trie, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece by language, for words with counts by language."""
     gathered = np.zeros_like(probs)
     for group in by_length(list(counts)):
-        lat = lattice(group, vocab)
-        alpha, beta = forward(lat, probs), backward(lat, probs)
-        weight = np.array([counts[w] for w in group]) / alpha[:, -1]
-        for i in range(lat.shape[1]):
-            for k in range(min(lat.shape[2], lat.shape[1] - i)):
-                ids = lat[:, i, k]
-                some = np.flatnonzero(ids >= 0)
+        lat, sizes = lattice(group, tree)
+        alpha, beta = forward(lat, probs), backward(lat, sizes, probs)
+        weight = np.array([counts[w] for w in group]) / alpha[sizes, np.arange(len(group))]
+        for i in range(lat.shape[0]):
+            for k in range(min(lat.shape[1], lat.shape[0] - i)):
+                some = np.flatnonzero(lat[i, k] >= 0)
                 if len(some):
-                    np.add.at(gathered, ids[some], weight[some] * alpha[some, i] * beta[some, i + k + 1] * probs[ids[some]])
+                    ids = lat[i, k, some]
+                    np.add.at(gathered, ids, weight[some] * alpha[i, some] * beta[i + k + 1, some] * probs[ids])
     return gathered
 
 
@@ -149,7 +203,7 @@ def train(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc
     rows = docs.filter(training & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(column).alias("text"))
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(totals)
-    vocab = vocabulary()
+    vocab, tree = vocabulary(), trie()
     if not langs:
         return Model([], np.zeros(0), np.zeros((len(vocab), 0)))
     parts = F.lit(0)
@@ -174,7 +228,7 @@ def train(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc
     probs *= (0.1 ** np.minimum(lengths, 5))[:, None]
     probs /= probs.sum(0)
     for _ in range(rounds):
-        gathered = expected_counts(counts, vocab, probs) + 0.05
+        gathered = expected_counts(counts, tree, probs) + 0.05
         probs = gathered / gathered.sum(0)
     total = np.array([totals[n] for n in langs], float)
     return Model(langs, np.log(total / total.sum()), probs)
@@ -187,24 +241,27 @@ def predict(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Model = shared.value
-        vocab = vocabulary()
-        memo: dict[bytes, np.ndarray] = {}
+        tree, number = trie(), {}
+        logs = np.zeros((1 << 16, len(held.langs)))
         for batch in batches:
-            langs, scores = [], []
-            counted = [Counter(words_of(t)) if t and held.langs and _LETTER.search(t) else None for t in common.texts(batch, column)]
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            new = {w for c in counted if c for w in c if w not in memo}
-            memo.update(log_probs(sorted(new), vocab, held.probs))
-            for c in counted:
-                if not c:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = held.log_prior + np.array(list(c.values()), float) @ np.array([memo[w] for w in c])
-                best = int(np.argmax(total))
-                langs.append(held.langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            lists = [words_of(t) if t and held.langs and _LETTER.search(t) else [] for t in common.texts(batch, column)]
+            if len(number) > MEMO_WORDS:
+                number.clear()
+            flat = [w for words in lists for w in words]
+            new, values = log_probs(list({w for w in flat if w not in number}), tree, held.probs)
+            while len(number) + len(new) > len(logs):
+                logs = np.vstack([logs, np.zeros_like(logs)])
+            logs[len(number) : len(number) + len(new)] = values
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            langs, scores = [UNKNOWN] * len(lists), [0.0] * len(lists)
+            full = [i for i, words in enumerate(lists) if words]
+            if full:
+                sizes = np.array([len(lists[i]) for i in full])
+                totals = np.add.reduceat(logs[np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))], np.cumsum(sizes) - sizes, axis=0) + held.log_prior
+                best = totals.argmax(1)
+                sure = 1 / np.exp(totals - totals[np.arange(len(full)), best][:, None]).sum(1)
+                for i, k, p in zip(full, best.tolist(), sure.tolist()):
+                    langs[i], scores[i] = held.langs[k], p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *into])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
