@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from granary.llm import op1_sorted_shards, op2_url_filter, op4_mixing, op10_maxent_lm, op5_decontaminate, op6_jaccard_join, op7_quality_rules, op8_language_id, op9_token_counts
+from granary.llm import op1_sorted_shards, op2_url_filter, op3_html_text, op4_mixing, op10_maxent_lm, op5_decontaminate, op6_jaccard_join, op7_quality_rules, op8_language_id, op9_token_counts
 
 QUERIES = {
     "op1_sorted_shards": op1_sorted_shards.query,
     "op10_maxent_lm": op10_maxent_lm.query,
     "op2_url_filter": op2_url_filter.query,
+    "op3_html_text": op3_html_text.query,
     "op4_mixing": op4_mixing.query,
     "op5_decontaminate": op5_decontaminate.query,
     "op6_jaccard_join": op6_jaccard_join.query,
