@@ -1,15 +1,62 @@
-"""Stages of corpus preparation, each over all that the stage before it kept."""
+"""Corpus preparation in stages, each over all that the stage before it kept.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, for all but the last with
+the columns of `docs`. `run` applies them to the table documents, with each stage's result written to the shared folder, so
+that a lost executor costs a stage and not the whole run.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from granary.llm import common, op1_sorted_shards, op4_mixing, op5_decontaminate, op6_jaccard_join, op8_language_id
+from granary.session import ship, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language: no letters or no clear language, and they go."""
+    ship(spark)
+    model = op8_language_id.train(docs, common.crc_bucket("doc_id", 4) != 2)
+    return op8_language_id.reject(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of linked documents."""
+    ship(spark)
+    return op6_jaccard_join.deduplicate(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a twentieth or more of their words from benchmark windows."""
+    ship(spark)
+    return op5_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, those of small sources up to twice, by the temperature that the target entropy asks for."""
+    return op4_mixing.mix(docs).select("doc.*")
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sorted shards, read back: a row for each document."""
+    ship(spark)
+    return op1_sorted_shards.to_shards(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("token-ID output", shards),
+]
+
+#: SQL can express neither a trained model nor the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

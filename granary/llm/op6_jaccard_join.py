@@ -436,5 +436,20 @@ def join(docs: DataFrame, key: str = "doc_id", column: str = "text", size: int =
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component: that of its smallest key. Rows without a key are all kept; of several rows with one
+    key the one whose columns hash lowest stays."""
+    names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(key).alias("key"))
+    found = common.written(join(docs, key, column, size, percent).toDF("key", "n", "component"), "join-found")
+    stay = found.filter(F.col("key") == F.col("component")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    kept = rows.join(stay, "key").select("row", "key", "times")
+    several = stay.filter("times > 1").head(1)
+    once = kept.filter("times = 1").select("row")
+    if several:
+        once = once.unionByName(kept.filter("times > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return once.unionByName(rows.filter("key is null").select("row")).select("row.*").select(*(F.col(f"`{c}`") for c in names))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.documents(spark, sf_dir))
