@@ -118,7 +118,10 @@ def evaluate(formula: str | None, values: dict[str, float] | None = None) -> flo
         return None
 
 
-@F.pandas_udf("double")
-def evaluate_udf(formula: pd.Series, values: pd.Series) -> pd.Series:
+def evaluate_udf(formula: Column, values: Column) -> Column:
     """For formulas that differ by row; a constant formula is better written as an expression."""
-    return pd.Series([evaluate(f, dict(v) if v is not None else None) for f, v in zip(formula, values)], dtype="float64")
+
+    def run(formulas: pd.Series, maps: pd.Series) -> pd.Series:
+        return pd.Series([evaluate(f, dict(v) if v is not None else None) for f, v in zip(formulas, maps)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(formula, values)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def edges(df: DataFrame, source: str, targets: str, kind: str) -> DataFrame:
     """(src, dst, kind) for each element of an array column, each once."""
-    return df.select(F.col(source).cast("string").alias("src"), F.explode(targets).cast("string").alias("dst")).distinct().withColumn("kind", F.lit(kind))
+    pairs = df.select(F.col(source).cast("string").alias("src"), F.explode(targets).alias("dst"))
+    return pairs.select("src", F.col("dst").cast("string").alias("dst")).distinct().withColumn("kind", F.lit(kind))
 
 
 def symmetric(df: DataFrame) -> DataFrame:

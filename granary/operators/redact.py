@@ -24,13 +24,16 @@ def redaction_on(mode: str) -> bool:
     return MODES[mode.strip().lower()]
 
 
+def _labelled(found: Column, label: str, order: int) -> Column:
+    return F.transform(found, lambda v, k: F.struct(F.lit(label).alias("label"), v.alias("value"), F.lit(order).alias("pass"), k.alias("place")))
+
+
 def findings(text: Column) -> Column:
     """array<struct<label, value, pass, place>> of what the patterns find; each pattern sees the text without what the ones
     before it took."""
     rest, parts = text, []
     for i, (label, pattern) in enumerate(PATTERNS):
-        found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        parts.append(F.transform(found, lambda v, k, label=label, i=i: F.struct(F.lit(label).alias("label"), v.alias("value"), F.lit(i).alias("pass"), k.alias("place"))))
+        parts.append(_labelled(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), label, i))
         rest = F.regexp_replace(rest, pattern, "\u0001")
     return F.coalesce(F.concat(*parts), F.array().cast("array<struct<label:string,value:string,pass:int,place:int>>"))
 

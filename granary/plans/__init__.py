@@ -1,6 +1,6 @@
 """Named queries over the standard tables, each with the SQL that gives the same rows where there is one."""
 
-from granary.plans import listing
+from granary.plans import analysis, listing
 
-QUERIES = {**listing.Q}
-ORACLES = {**listing.SQL}
+QUERIES = {**listing.Q, **analysis.Q}
+ORACLES = {**listing.SQL, **analysis.SQL}
