@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,6 +44,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and every executor reach.
+
+    Where that setting is absent (a local test), a temporary folder of this machine is set for the context."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="granary-shared")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder `sf_dir`, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
