@@ -27,11 +27,11 @@ linked and have a null component. Rows with one key count as one document. Addit
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,42 +41,58 @@ SIZE = 3
 PERCENT = 90
 #: Shingles whose counts are broadcast, at most; shingles a task holds while it counts; count in a task from which it says.
 FREQUENT, HELD, LEAST = 400_000, 2_000_000, 3
-STAR, BLOCK = 8, 20_000
-BLOOM_BITS = 1 << 25
+STAR, BLOCK = 4, 20_000
+#: Keys that a fetch of texts broadcasts, at most (8 MB), and words whose hashes a task remembers.
+FETCHED, WORDS = 500_000, 600_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Shingler:
-    """Texts to sorted arrays of shingle hashes; word hashes are remembered within bounds."""
+class Shingler(dict):
+    """Texts to sorted arrays of shingle hashes, many texts at a time; word hashes are remembered within bounds."""
 
     def __init__(self, size: int = SIZE):
-        self.size, self.memo = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-        if not words:
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self) > WORDS:
+            self.clear()
+        lists = [(t or "").encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
+        sizes = [len(words) for words in lists]
+        ids = np.fromiter(map(self.__getitem__, (w for words in lists for w in words)), np.uint64, sum(sizes))
+        whole = self._keys(ids, self.size)
+        found, at = [], 0
+        for n in sizes:
+            key = whole[at : at + n - self.size + 1] if n >= self.size else self._keys(ids[at : at + n], n)
+            at += n
+            key = np.sort(key)
+            found.append(key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key)
+        return found
+
+    @staticmethod
+    def _keys(ids: np.ndarray, n: int) -> np.ndarray:
+        if not n or len(ids) < n:
             return np.empty(0, np.uint64)
-        memo = self.memo
-        if len(memo) > 400_000:
-            memo.clear()
-        got = list(map(memo.get, words))
-        for i in [i for i, x in enumerate(got) if x is None]:
-            got[i] = memo[words[i]] = int.from_bytes(hashlib.blake2b(words[i], digest_size=8).digest(), "little")
-        ids = np.array(got, np.uint64)
-        n = min(self.size, len(ids))
         with np.errstate(over="ignore"):
             key = np.full(len(ids) - n + 1, n, np.uint64)
             for k in range(n):
                 key = (key ^ (key >> np.uint64(31))) * _MIX + ids[k : k + len(key)]
             key = (key ^ (key >> np.uint64(29))) * _MIX2
-            key ^= key >> np.uint64(32)
-        return np.unique(key)
+            return key ^ (key >> np.uint64(32))
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(shingles: np.ndarray) -> int | None:
+    """The signed 64-bit hash of a set; None for an empty one."""
+    if not len(shingles):
+        return None
+    found = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return found - (1 << 64) if found >> 63 else found
 
 
 def ceil_share(n, percent: int = PERCENT):
@@ -126,9 +142,8 @@ def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
 
         for batch in batches:
             nodes, sizes = [], []
-            for text in common.texts(batch):
-                s = shingler(text)
-                node = node_of(s) if len(s) else None
+            for s in shingler(common.texts(batch)):
+                node = node_of(s)
                 nodes.append(node)
                 sizes.append(len(s))
                 if node is not None and node not in seen:
@@ -181,9 +196,8 @@ def prefix_rows(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], column: s
         shingler, seen = Shingler(size), set()
         for batch in batches:
             parts, about = [], []
-            for text in common.texts(batch, column):
-                s = shingler(text)
-                node = node_of(s) if len(s) else None
+            for s in shingler(common.texts(batch, column)):
+                node = node_of(s)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
@@ -310,73 +324,44 @@ def second_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "x long, y long")
 
 
-def bloom(nodes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bit field of bounded size that holds every node, gathered by a distributed bit-or."""
-    spots = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(bits)) for k in range(3))))
-    words = nodes.select(spots.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
-    field = np.zeros(bits >> 6, np.int64)
-    got = words.toArrow()
-    field[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return field
-
+def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that link, each compared once by the whole sets of its texts.
 
-def verify(docs: DataFrame, pairs: DataFrame, column: str, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that link, each compared once by the whole sets of its texts."""
+    Each node's text comes from the row of the node's smallest key. Keys are broadcast up to `FETCHED` of them and joined
+    by a shuffle beyond that. The joins with the pairs merge sorted sides at every size."""
     pairs = common.written(pairs.select("x", "y").distinct(), "join-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
+    keys = common.written(ids.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key")), "join-keys")
+    few = keys.count() <= FETCHED
+    rows = docs.join(F.broadcast(keys) if few else keys, "key").select("node", "text")
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(size), set()
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
         for batch in batches:
-            nodes, whole = [], []
-            for text in common.texts(batch, column):
-                s = shingler(text)
-                node = node_of(s) if len(s) else None
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    whole.append(text)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(whole, pa.string())], names=["node", "text"])
+            nodes = batch.column(0).to_pylist()
+            yield batch.filter(pa.array([node_of(s) == n for s, n in zip(shingler(common.texts(batch)), nodes)], pa.bool_()))
 
-    spots = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BLOOM_BITS)) for k in range(3)]
-    field = shared
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.ones(batch.num_rows, bool)
-            for k in range(3):
-                spot = batch.column(2 + k).to_numpy()
-                good &= (field.value[spot >> 6] >> (spot & 63)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    found = common.map_batches(docs.select(column), texts, "node long, text string")
-    found = found.select("node", "text", *(s.alias(f"s{k}") for k, s in enumerate(spots))).mapInArrow(held, "node long, text string")
-    found = common.written(found.groupBy("node").agg(F.min("text").alias("text")), "join-texts")
+    found = common.written(common.map_batches(rows, own, "node long, text string"), "join-texts")
     left = found.select(F.col("node").alias("x"), F.col("text").alias("tx"))
     right = found.select(F.col("node").alias("y"), F.col("text").alias("ty"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty")
+    both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y").select("x", "y", "tx", "ty")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(size), {}
         for batch in batches:
-            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            tx, ty = batch.column(2), batch.column(3)
+            names = [batch.column(k).to_pylist() for k in (0, 1)]
+            new = {n: (2 + k, i) for k in (0, 1) for i, n in enumerate(names[k]) if n not in known}
+            known.update(zip(new, shingler([batch.column(c)[i].as_py() for c, i in new.values()])))
             good = []
-            for k, (a, b) in enumerate(zip(x, y)):
-                if len(known) > 2000:
-                    known.clear()
-                for node, column_of in ((a, tx), (b, ty)):
-                    if node not in known:
-                        known[node] = shingler(column_of[k].as_py())
+            for a, b in zip(*names):
                 p, q = known[a], known[b]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(100 * shared >= percent * (len(p) + len(q) - shared))
+            if len(known) > 2000:
+                known.clear()
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return common.written(common.map_batches(both, compare, "x long, y long"), "join-links")
+    return common.written(common.map_batches(both, compare, "x long, y long").distinct(), "join-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -398,11 +383,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame, scanned: DataFrame, column: str, size: int, percent: int) -> DataFrame:
-    """(node, root) of every node that links with another."""
+    """(node, root) of every node that links with another; `docs` has the columns key and text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = prefix_rows(docs, frequent_order(scanned), column, size, percent)
     met = common.written(first_candidates(rows.repartition(parts, "shingle").sortWithinPartitions("shingle"), percent), "join-met")
-    links = verify(docs, met.filter("x is not null"), column, size, percent)
+    ids = scanned.filter("shingle is null and key is not null and node is not null").select("key", "node")
+    links = verify(docs, ids, met.filter("x is not null"), size, percent)
     found = common.written(components(links), "join-components")
     shared = met.filter("x is null").select("shingle", "node", "n", "place", "sign")
     sizes = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"))
@@ -414,7 +400,7 @@ def link_sets(docs: DataFrame, scanned: DataFrame, column: str, size: int, perce
         .select("shingle", "p.low", "p.high", "block", "node", "n", "place", "sign", F.coalesce("root", "node").alias("part"))
     )
     rows = rows.repartition(parts, "shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
-    more = verify(docs, second_candidates(rows, percent), column, size, percent)
+    more = verify(docs, ids, second_candidates(rows, percent), size, percent)
     return components(links.unionByName(more))
 
 
