@@ -1,6 +1,9 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from granary.llm import op1_sorted_shards, op2_url_filter, op3_html_text, op4_mixing, op10_maxent_lm, op5_decontaminate, op6_jaccard_join, op7_quality_rules, op8_language_id, op9_token_counts
+from granary.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_sorted_shards": op1_sorted_shards.query,
@@ -14,4 +17,3 @@ QUERIES = {
     "op8_language_id": op8_language_id.query,
     "op9_token_counts": op9_token_counts.query,
 }
-ORACLES: dict[str, str] = {}
