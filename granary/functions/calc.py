@@ -23,8 +23,8 @@ def days_between(a: Column, b: Column) -> Column:
 
 
 def constraint_status(days: Column, least: Column, most: Column) -> Column:
-    """pass, fail, or uncertain when a date is missing; open bounds hold."""
-    return F.when(days.isNull(), "uncertain").when(F.coalesce(days < least, F.lit(False)) | F.coalesce(days > most, F.lit(False)), "fail").otherwise("pass")
+    """pass, fail, or uncertain when a date or both bounds are missing; an open bound holds."""
+    return F.when(days.isNull() | (least.isNull() & most.isNull()), "uncertain").when(F.coalesce(days < least, F.lit(False)) | F.coalesce(days > most, F.lit(False)), "fail").otherwise("pass")
 
 
 def threshold(c: Column) -> Column:
