@@ -15,7 +15,7 @@ Windows that several items share count for each of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ from granary.session import table
 N = 13
 #: Windows of one broadcast slice; about 150 bytes each in a task.
 MAX_WINDOWS = 200_000
+#: Slices that one task holds, at most.
+TOGETHER = 4
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: A document is contaminated when its hit words times this reach its words.
 LEAST_SHARE = 20
@@ -80,9 +82,17 @@ def windows_of(items: list[tuple], n: int = N) -> dict[tuple, set]:
     return found
 
 
-def slices(found: dict[tuple, set], most: int = MAX_WINDOWS) -> list[Slice]:
-    order = sorted(found)
-    return [_slice({w: found[w] for w in order[i : i + most]}) for i in range(0, len(order), most)]
+def slices(items: Iterable[tuple], n: int = N, most: int = MAX_WINDOWS) -> Iterator[Slice]:
+    """Slices of about `most` windows each, one at a time; a window that two slices hold counts for the items of both."""
+    held: dict[tuple, set] = {}
+    for item, text in items:
+        for window, who in windows_of([(item, text)], n).items():
+            held.setdefault(window, set()).update(who)
+            if len(held) >= most:
+                yield _slice(held)
+                held = {}
+    if held:
+        yield _slice(held)
 
 
 def _slice(found: dict[tuple, set]) -> Slice:
@@ -123,18 +133,22 @@ def hits(part: Slice, ids: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def benchmark_windows(benchmark: DataFrame, n: int = N, key: str = "item_id", column: str = "text") -> dict[tuple, set]:
-    """The benchmark is a test set, so its windows fit the driver; they are sliced before they are broadcast."""
-    return windows_of([(r[0], r[1]) for r in benchmark.select(key, column).toLocalIterator()], n)
+def benchmark_slices(benchmark: DataFrame, n: int = N, most: int = MAX_WINDOWS, key: str = "item_id", column: str = "text") -> Iterator[Slice]:
+    """The benchmark's slices, read item by item: the driver holds one slice, whatever the benchmark's size."""
+    return slices(((r[0], r[1]) for r in benchmark.select(key, column).toLocalIterator()), n, most)
+
 
+def find_hits(docs: DataFrame, parts: Iterable[Slice], into: str, column: str = "text") -> DataFrame:
+    """`docs` with a column `into`: struct<n_words, hits: array<struct<start, size, items>>> over word positions.
 
-def find_hits(docs: DataFrame, found: dict[tuple, set], into: str, column: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """`docs` with a column `into`: struct<n_words, hits: array<struct<start, size, items>>> over word positions."""
-    spark = docs.sparkSession
+    The rows are stored after every `TOGETHER` passes, so a task holds that many slices at most."""
     df = docs.withColumn(into, F.lit(None).cast(FOUND))
-    for part in slices(found, max_windows) or [Slice({}, {}, {}, {})]:
-        df = _pass(df, spark.sparkContext.broadcast(part), into, column)
-    return df
+    done = 0
+    for done, part in enumerate(parts, 1):
+        if done > 1 and done % TOGETHER == 1:
+            df = common.written(df, "decontaminate")
+        df = _pass(df, docs.sparkSession.sparkContext.broadcast(part), into, column)
+    return df if done else _pass(df, docs.sparkSession.sparkContext.broadcast(Slice({}, {}, {}, {})), into, column)
 
 
 def _pass(df: DataFrame, shared, into: str, column: str) -> DataFrame:
@@ -171,7 +185,7 @@ def spans(found: list[dict]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str = "doc_id", column: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row: n_words, n_hit, n_items, items_sha256 and contaminated (hit words are a twentieth or more)."""
-    found = find_hits(docs.select(F.col(key).alias("key"), F.col(column).alias("text")), benchmark_windows(benchmark, n), "found", "text", max_windows)
+    found = find_hits(docs.select(F.col(key).alias("key"), F.col(column).alias("text")), benchmark_slices(benchmark, n, max_windows), "found", "text")
     zero = F.lit(0).cast("long")
     ordered = F.array_sort(F.transform("found.hits", lambda h: F.struct(h["start"].alias("a"), (h["start"] + h["size"]).alias("b"))))
     start = F.struct(zero.alias("n"), zero.alias("to"))
@@ -194,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
     Cutting removes each merged span of hit words with what stands between them; the rest of the text stays as it is.
     """
     into = next(x for x in (f"found{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
-    found = find_hits(docs, benchmark_windows(benchmark, n), into, column, max_windows)
+    found = find_hits(docs, benchmark_slices(benchmark, n, max_windows), into, column)
     names, drop = docs.columns, action == "drop"
     place = names.index(column)
 
