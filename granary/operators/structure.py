@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,24 +232,30 @@ def absorb_tiny(chunks: list[Chunk], limits: Limits) -> list[Chunk]:
     return done[::-1]
 
 
-CHUNK_SCHEMA = "chunk_id string, kind string, rule string, child_count int, part int, total int, path array<string>, text string, page_start int, page_end int, blocks array<string>"
+CHUNK_SCHEMA = "chunk_id:string,kind:string,rule:string,child_count:int,part:int,total:int,path:array<string>,text:string,page_start:int,page_end:int,blocks:array<string>"
 
 
-def chunk_document(rows: pd.DataFrame, limits: Limits = Limits()) -> list[Chunk]:
-    """Chunks of one document's sections (ord, parent, title, body, path, page_start, page_end, blocks)."""
-    rows = rows.sort_values("ord")
-    parents = set(rows.parent.dropna().astype(int))
+def chunk_document(found: list[dict], limits: Limits = Limits()) -> list[Chunk]:
+    """Chunks of one document's sections (ord, parent, title, body, page_start, page_end, blocks), in order."""
+    up = {r["ord"]: (r["title"], r["parent"]) for r in found}
+    parents = {p for _, p in up.values() if p is not None}
     made: list[Chunk] = []
-    for parent, group in groupby(rows.itertuples(), key=lambda r: (None if pd.isna(r.parent) else int(r.parent), int(r.ord) in parents)):
+
+    def path(at: int | None) -> list[str]:
+        titles: list[str] = []
+        while at is not None and at in up:
+            title, at = up[at]
+            titles += [title] if title else []
+        return titles[::-1]
+
+    for (_, holds_others), group in groupby(found, key=lambda r: (r["parent"], r["ord"] in parents)):
         leaves = []
         for r in group:
-            text = "\n".join(x for x in (r.title, r.body) if x)
+            text = "\n".join(x for x in (r["title"], r["body"]) if x)
             if text.strip():
-                leaves.append(Chunk(list(r.path) or [""], text, int(r.page_start), int(r.page_end), blocks=list(r.blocks)))
-        if parent[1]:
-            for c in leaves:
-                if "\n" in c.text:
-                    made += as_chunks(c, limits)
+                leaves.append(Chunk(path(r["ord"]) or [""], text, r["page_start"], r["page_end"], blocks=list(r["blocks"])))
+        if holds_others:
+            made += [part for c in leaves if "\n" in c.text for part in as_chunks(c, limits)]
         else:
             made += merged_leaves(leaves, limits)
     made.sort(key=lambda c: c.first)
@@ -261,17 +268,24 @@ def chunk_document(rows: pd.DataFrame, limits: Limits = Limits()) -> list[Chunk]
 
 
 def chunks(found: DataFrame, key: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
-    """Chunks of all documents; sections come with `paths`, pages and blocks default to the section's order."""
+    """Chunks of all documents' sections; pages and blocks default to the section's order.
+
+    A document's sections become one row, so batches of documents go to Python and no group is a call of its own."""
     for name, value in (("page_start", F.col("ord").cast("int")), ("page_end", F.col("ord").cast("int")), ("blocks", F.array(F.concat(F.lit("b_"), F.col("ord").cast("string"))))):
         if name not in found.columns:
             found = found.withColumn(name, value)
     kind = found.schema[key].dataType.simpleString()
+    rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "parent", "title", "body", "page_start", "page_end", "blocks"))).alias("sections"))
+    made = pa.struct([("chunk_id", pa.string()), ("kind", pa.string()), ("rule", pa.string()), ("child_count", pa.int32()), ("part", pa.int32()), ("total", pa.int32()), ("path", pa.list_(pa.string())), ("text", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("blocks", pa.list_(pa.string()))])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        made = chunk_document(rows, limits)
-        return pd.DataFrame([(rows[key].iloc[0], f"ch_{i:03d}", c.kind, c.rule, c.count, c.part, c.total, c.path, c.text, c.first, c.last, c.blocks) for i, c in enumerate(made)], columns=[key, "chunk_id", "kind", "rule", "child_count", "part", "total", "path", "text", "page_start", "page_end", "blocks"]).astype({"child_count": "Int32", "part": "Int32", "total": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                lists = [[{"chunk_id": f"ch_{i:03d}", "kind": c.kind, "rule": c.rule, "child_count": c.count, "part": c.part, "total": c.total, "path": c.path, "text": c.text, "page_start": c.first, "page_end": c.last, "blocks": c.blocks} for i, c in enumerate(chunk_document(s, limits))] for s in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(made))], names=[key, "chunks"])
 
-    return found.select(key, "ord", "parent", "title", "body", "path", "page_start", "page_end", "blocks").groupBy(key).applyInPandas(run, f"{key} {kind}, {CHUNK_SCHEMA}")
+    return rows.mapInArrow(run, f"{key} {kind}, chunks array<struct<{CHUNK_SCHEMA}>>").select(key, F.explode("chunks").alias("c")).select(key, "c.*")
 
 
 def fixed_chunks(rows: DataFrame, key: str = "doc_id", size: int = 1500) -> DataFrame:

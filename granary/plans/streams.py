@@ -113,8 +113,7 @@ def document_chunks(spark, d):
     ship(spark)
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = structure.lines(docs)
-    found = structure.paths(structure.sections(rows))
-    return structure.chunks(found).select("doc_id", "chunk_id", "kind", "part", "total", F.char_length("text").alias("chars"))
+    return structure.chunks(structure.sections(rows)).select("doc_id", "chunk_id", "kind", "part", "total", F.char_length("text").alias("chars"))
 
 
 @query("fixed_chunks", """
