@@ -177,19 +177,23 @@ def frequent_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows["count"].to_numpy()[order]
 
 
-def prefix(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+def noticed(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The broadcast counts of shingles, 0 where there is none."""
     keys, counts = order
+    if not len(keys):
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+    return np.where(keys[at] == shingles, counts[at], 0)
+
+
+def prefix(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     n = len(shingles)
-    rank = np.zeros(n, np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-        rank = np.where(keys[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, rank))[: n - ceil_share(n, percent) + 1]]
+    return shingles[np.lexsort((shingles, noticed(shingles, order)))[: n - ceil_share(n, percent) + 1]]
 
 
-def prefix_rows(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], column: str, size: int, percent: int) -> DataFrame:
-    """A row (shingle, node, n, place, sign) for each shingle of each set's prefix; a task gives a node once while it
-    remembers it."""
+def prefix_rows(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], column: str, size: int, percent: int, block: int) -> DataFrame:
+    """A row (shingle, salt, salts, node, n, place, sign) for each shingle of each set's prefix; a task gives a node once
+    while it remembers it. Shingles that over `block` sets are known to hold are dealt by the node to several salts."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +213,11 @@ def prefix_rows(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], column: s
                 sizes = [len(p) for p in parts]
                 node, n, sign = (np.repeat(np.array(c, np.int64), sizes) for c in zip(*about))
                 place = np.concatenate([np.arange(k) for k in sizes])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sign)], names=["shingle", "node", "n", "place", "sign"])
+                shingle = np.concatenate(parts)
+                salts = np.maximum(1, -(-noticed(shingle, shared.value) // block))
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array((node % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sign)], names=["shingle", "salt", "salts", "node", "n", "place", "sign"])
 
-    return common.map_batches(docs.select(column), run, "shingle long, node long, n int, place int, sign long")
+    return common.map_batches(docs.select(column), run, "shingle long, salt int, salts int, node long, n int, place int, sign long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
@@ -241,35 +247,37 @@ def edges_of(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-_PAIR_NAMES = ["x", "y", "shingle", "node", "n", "place", "sign"]
+_PAIR_NAMES = ["x", "y", "shingle", "blocks", "node", "n", "place", "sign"]
 
 
 def _unique_nodes(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows (shingle, node, ...) sorted by both, each once."""
-    order = np.lexsort((cols[1], cols[0]))
+    """Rows (shingle, salt, salts, node, ...) sorted by shingle, salt and node, each once."""
+    order = np.lexsort((cols[3], cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    first = edges_of(cols[:2])
+    first = edges_of([cols[0], cols[1], cols[3]])
     return [c[first] for c in cols]
 
 
-def first_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of rare shingles and stars of shared ones, and the rows of shared shingles."""
+def first_candidates(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (x, y) of rare shingles and stars of shared ones, and the rows of shared shingles with their number of blocks;
+    `rows` are sorted by (shingle, salt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in runs(batches):
-            cols = _unique_nodes(cols)
-            shingle, node, n, place, sign = cols
+        for cols in runs(batches, 2):
+            shingle, salt, salts, node, n, place, sign = _unique_nodes(cols)
             n, place = n.astype(np.int64), place.astype(np.int64)
-            starts = edges_of([shingle])
+            starts = edges_of([shingle, salt])
             sizes = np.diff(np.append(starts, len(shingle)))
+            several = (sizes > STAR) | (salts[starts] > 1)
+            blocks = np.repeat(np.where(salts[starts] > 1, salts[starts], -(-sizes // block)), sizes).astype(np.int32)
             left, right, kept = [], [], []
             for k in range(2, STAR + 1):  # all runs of one size together
-                own = starts[sizes == k]
+                own = starts[(sizes == k) & ~several]
                 if len(own):
                     a, b = np.triu_indices(k, 1)
                     left.append((own[:, None] + a).ravel())
                     right.append((own[:, None] + b).ravel())
-            for s, k in zip(starts[sizes > STAR].tolist(), sizes[sizes > STAR].tolist()):
+            for s, k in zip(starts[several].tolist(), sizes[several].tolist()):
                 own = np.arange(s, s + k)
                 kept.append(own)
                 for centre in own[np.lexsort((node[own], place[own]))[:2]]:
@@ -280,14 +288,15 @@ def first_candidates(rows: DataFrame, percent: int) -> DataFrame:
             x, y = np.minimum(node[i[good]], node[j[good]]), np.maximum(node[i[good]], node[j[good]])
             pairs = np.unique(np.stack([x, y], 1), axis=0)
             if len(pairs):
-                nulls = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+                nulls = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *nulls], names=_PAIR_NAMES)
             if kept:
                 at = np.concatenate(kept)
                 nulls = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([nulls, nulls, *(pa.array(c[at]) for c in cols)], names=_PAIR_NAMES)
+                found = (shingle, blocks, node, n.astype(np.int32), place.astype(np.int32), sign)
+                yield pa.RecordBatch.from_arrays([nulls, nulls, *(pa.array(c[at]) for c in found)], names=_PAIR_NAMES)
 
-    return rows.mapInArrow(run, "x long, y long, shingle long, node long, n int, place int, sign long")
+    return rows.mapInArrow(run, "x long, y long, shingle long, blocks int, node long, n int, place int, sign long")
 
 
 def second_candidates(rows: DataFrame, percent: int) -> DataFrame:
@@ -385,18 +394,16 @@ def components(links: DataFrame) -> DataFrame:
 def link_sets(docs: DataFrame, scanned: DataFrame, column: str, size: int, percent: int) -> DataFrame:
     """(node, root) of every node that links with another; `docs` has the columns key and text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prefix_rows(docs, frequent_order(scanned), column, size, percent)
-    met = common.written(first_candidates(rows.repartition(parts, "shingle").sortWithinPartitions("shingle"), percent), "join-met")
+    rows = prefix_rows(docs, frequent_order(scanned), column, size, percent, BLOCK)
+    rows = rows.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt")
+    met = common.written(first_candidates(rows, percent, BLOCK), "join-met")
     ids = scanned.filter("shingle is null and key is not null and node is not null").select("key", "node")
     links = verify(docs, ids, met.filter("x is not null"), size, percent)
     found = common.written(components(links), "join-components")
-    shared = met.filter("x is null").select("shingle", "node", "n", "place", "sign")
-    sizes = shared.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"))
-    blocks = F.ceil(F.col("rows") / BLOCK)
-    block = F.pmod(F.xxhash64("node"), blocks)
+    blocks = F.col("blocks").cast("long")
     each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda c: F.struct(F.least(F.col("block"), c).alias("low"), F.greatest(F.col("block"), c).alias("high"))))
     rows = (
-        shared.join(sizes, "shingle").join(found, "node", "left").withColumn("block", block).withColumn("p", each)
+        met.filter("x is null").join(found, "node", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("p", each)
         .select("shingle", "p.low", "p.high", "block", "node", "n", "place", "sign", F.coalesce("root", "node").alias("part"))
     )
     rows = rows.repartition(parts, "shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
