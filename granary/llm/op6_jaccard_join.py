@@ -42,6 +42,8 @@ PERCENT = 90
 #: Shingles whose counts are broadcast, at most; shingles a task holds while it counts; count in a task from which it says.
 FREQUENT, HELD, LEAST = 400_000, 2_000_000, 3
 STAR, BLOCK = 4, 20_000
+#: Hash ranges (as a power of two) in which each set's shingles are counted once, a byte each.
+RANGE_BITS = 7
 #: Keys that a fetch of texts broadcasts, at most (8 MB), and words whose hashes a task remembers.
 FETCHED, WORDS = 500_000, 600_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -117,6 +119,19 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(gap, 256 - gap).sum(1)
 
 
+def ranges(shingles: np.ndarray) -> bytes:
+    """Counts of shingles in 2 ** RANGE_BITS hash ranges, at most 255 each."""
+    counts = np.bincount((shingles >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def close(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets, of sizes n and m, can link by their counts in hash ranges: the suffix filter, in finer ranges.
+    Counts at their most hide a difference and never make one."""
+    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, 1 << RANGE_BITS).astype(np.int16) for v in (a, b))
+    return np.abs(x - y).sum(1) <= n + m - 2 * least_overlap(n, m, percent)
+
+
 def passes(n, place, sign, i, j, percent: int) -> np.ndarray:
     """Which of the pairs (i, j) of rows pass the length, positional and suffix filters."""
     a, b = n[i], n[j]
@@ -128,8 +143,9 @@ def passes(n, place, sign, i, j, percent: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
-    """Rows (key, node, n) for each document and rows (shingle, count) for what several sets of a task share."""
-    names = ["key", "node", "n", "shingle", "count"]
+    """Rows (key, node, n, ranges) for each document, the ranges once while a task remembers the node, and rows (shingle,
+    count) for what several sets of a task share."""
+    names = ["key", "node", "n", "ranges", "shingle", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, total, seen = Shingler(size), [], 0, set()
@@ -138,26 +154,28 @@ def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
             some = counts >= LEAST
             nulls = pa.nulls(int(some.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(len(nulls), pa.binary()), pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=names)
 
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, marks = [], [], []
             for s in shingler(common.texts(batch)):
                 node = node_of(s)
+                fresh = node is not None and node not in seen
                 nodes.append(node)
                 sizes.append(len(s))
-                if node is not None and node not in seen:
+                marks.append(ranges(s) if fresh else None)
+                if fresh:
                     seen.add(node)
                     held.append(s)
                     total += len(s)
             nulls = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), nulls, nulls], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), nulls, nulls], names=names)
             if total > HELD:
                 yield frequent()
                 held, total, seen = [], 0, set()
         yield frequent()
 
-    return common.map_batches(docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")), run, ", ".join(f"{n} long" for n in names))
+    return common.map_batches(docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")), run, "key long, node long, n long, ranges binary, shingle long, count long")
 
 
 def frequent_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -334,11 +352,22 @@ def second_candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that link, each compared once by the whole sets of its texts.
+    """The pairs (x, y) that link: those that counts in fine hash ranges don't exclude are compared, once, by the whole
+    sets of their texts.
 
     Each node's text comes from the row of the node's smallest key. Keys are broadcast up to `FETCHED` of them and joined
     by a shuffle beyond that. The joins with the pairs merge sorted sides at every size."""
-    pairs = common.written(pairs.select("x", "y").distinct(), "join-pairs")
+    marks = ids.filter("ranges is not null").groupBy("node").agg(F.max(F.struct("n", "ranges")).alias("m"))
+    a, b = (marks.select(F.col("node").alias(c), F.col("m.n").alias(f"n{c}"), F.col("m.ranges").alias(f"r{c}")) for c in ("x", "y"))
+    marked = pairs.select("x", "y").distinct().join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", "nx", "ny", "rx", "ry")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            good = close(n, m, batch.column(4).to_pylist(), batch.column(5).to_pylist(), percent) if len(n) else []
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    pairs = common.written(marked.mapInArrow(near, "x long, y long"), "join-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     keys = common.written(ids.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key")), "join-keys")
     few = keys.count() <= FETCHED
@@ -397,7 +426,7 @@ def link_sets(docs: DataFrame, scanned: DataFrame, column: str, size: int, perce
     rows = prefix_rows(docs, frequent_order(scanned), column, size, percent, BLOCK)
     rows = rows.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt")
     met = common.written(first_candidates(rows, percent, BLOCK), "join-met")
-    ids = scanned.filter("shingle is null and key is not null and node is not null").select("key", "node")
+    ids = scanned.filter("shingle is null and key is not null and node is not null").select("key", "node", "n", "ranges")
     links = verify(docs, ids, met.filter("x is not null"), size, percent)
     found = common.written(components(links), "join-components")
     blocks = F.col("blocks").cast("long")
