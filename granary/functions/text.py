@@ -199,6 +199,34 @@ def numbering(c: Column) -> Column:
     return F.transform(F.filter(F.split(F.regexp_extract(F.trim(c), "^([0-9]+(?:\\.[0-9]+)*)", 1), "\\."), lambda x: x != ""), lambda x: x.cast("int"))
 
 
+def inline_headings(c: Column) -> Column:
+    """A text with line breaks put before numbers that follow a closing bracket, as lines."""
+    return F.split(F.regexp_replace(c, "([)）])(?=[0-9]+[.、)）])", "$1\n"), "\n")
+
+
+def truncated_title(title: Column, body: Column, least: int = 15, most: int = 60) -> Column:
+    """A long title without an end, completed by the first sentence of its body where that stays short; else the title."""
+    first = F.regexp_extract(body, "^([^。；\n]*[。；]?)", 1)
+    cut = (F.char_length(title) >= least) & ~title.rlike("[。；！？)）]$") & (first != "") & ~first.rlike("^[0-9(（]")
+    return F.when(cut & (F.char_length(title) + F.char_length(first) <= most), F.concat(title, first)).otherwise(title)
+
+
+def markdown_sections(c: Column) -> Column:
+    """array<struct<level, title, body>> of a text with # headings."""
+    parts = F.filter(F.split(F.concat(F.lit("\n"), c), "\n(?=#{1,6} )"), lambda x: x.rlike("^#{1,6} "))
+    return F.transform(parts, lambda x: F.struct(F.char_length(F.regexp_extract(x, "^(#+)", 1)).alias("level"), F.trim(F.regexp_extract(x, "^#+ ([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace(x, "^[^\n]*\n?", "")).alias("body")))
+
+
+def path_anomalies(path: Column, most: int = 50) -> Column:
+    """struct(long, unsorted): titles over `most` characters, and paths that no heading was found for."""
+    return F.struct(F.exists(path, lambda t: F.char_length(t) > most).alias("long"), F.exists(path, lambda t: F.contains(t, F.lit("未归类"))).alias("unsorted"))
+
+
+def timestamp_or(c: Column, default: Column) -> Column:
+    """A timestamp text, or the default where it is none."""
+    return F.coalesce(F.try_to_timestamp(c), default)
+
+
 def sentences(c: Column) -> Column:
     """Trimmed non-empty sentences."""
     return F.filter(F.transform(F.split(c, "[。；;\n!！.]"), lambda x: F.trim(x)), lambda x: x != "")

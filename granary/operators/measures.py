@@ -73,3 +73,30 @@ def shared_items(df: DataFrame, owner: str, items: str) -> DataFrame:
     """One row: distinct items, those that several owners have, and their percentage."""
     per = df.select(owner, F.explode(items).alias("i")).groupBy("i").agg(F.countDistinct(owner).alias("owners"))
     return per.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("owners") > 1).alias("shared")).withColumn("percent", ratio(100.0 * F.col("shared"), F.col("items"), 2))
+
+
+def run_summaries(runs: DataFrame, fields: dict[str, str], order: str) -> DataFrame:
+    """Chosen fields of nested run documents, newest first."""
+    return runs.select(*(F.col(path).alias(name) for name, path in fields.items())).orderBy(F.desc(order))
+
+
+def splits(df: DataFrame, index: str, train: int, dev: int) -> DataFrame:
+    """A split by a running index: the first rows train, the next ones dev, the others test."""
+    i = F.col(index)
+    return df.withColumn("split", F.when(i <= train, "train").when(i <= train + dev, "dev").otherwise("test"))
+
+
+def paired(df: DataFrame, index: str, variants: DataFrame, number: str) -> DataFrame:
+    """Rows with their variant in turn; `variants` are numbered from 0 without gaps."""
+    n = variants.count()
+    turn = F.pmod(F.col(index), F.lit(max(1, n)))
+    return df.join(F.broadcast(variants) if n <= 10_000 else variants, turn == F.col(number))
+
+
+def marks(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: rows, and for each named condition how many meet it and whether any does."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), *(x for k, c in conditions.items() for x in (F.count_if(c).alias(k), F.coalesce(F.bool_or(c), F.lit(False)).alias(f"any_{k}"))))
+
+
+def run_progress(runs: DataFrame, status: str, seconds: str) -> DataFrame:
+    return runs.agg(F.count_if(F.col(status) == "completed").alias("completed"), F.count_if(F.col(status) == "failed").alias("failed"), F.round(F.sum(seconds), 1).alias("seconds"))

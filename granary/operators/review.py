@@ -186,3 +186,19 @@ def capped_batch(findings: Column, most: int = 5) -> Column:
 def combined_reason(a: Column, b: Column, most: int = 800) -> Column:
     both = F.when(F.contains(a, b), a).otherwise(F.concat_ws("\n", a, b))
     return F.when(F.char_length(both) > most, F.substring(both, 1, most)).otherwise(both)
+
+
+def same_finding(new: DataFrame, known: DataFrame) -> DataFrame:
+    """New findings of a chunk that no known one of its category equals or contains, or is contained by."""
+    k = known.select(F.col("chunk_id").alias("__c"), F.col("category_code").alias("__k"), T.normalise_quote(F.col("source_quote")).alias("__q"))
+    q = T.normalise_quote(F.col("source_quote"))
+    same = (F.col("chunk_id") == F.col("__c")) & (F.col("category_code") == F.col("__k")) & ((q == F.col("__q")) | F.contains(q, F.col("__q")) | F.contains(F.col("__q"), q))
+    return new.join(k, same, "left_anti")
+
+
+def follow_ups(clauses: DataFrame, reviews: DataFrame, key: str, most: int = 12) -> DataFrame:
+    """Clauses without a review and clauses with one alone, the former first, at most `most` (1 to 50) of them."""
+    seen = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("reviews"))
+    none = clauses.join(seen.select(key), key, "left_anti").withColumn("why", F.lit("unreviewed"))
+    weak = clauses.join(seen.filter("reviews = 1").select(key), key, "left_semi").withColumn("why", F.lit("one review"))
+    return none.unionByName(weak).orderBy(F.desc(F.col("why") == "unreviewed"), key).limit(max(1, min(50, most)))

@@ -68,6 +68,18 @@ def numbering_breaks(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return numbered.withColumn("before", before).filter(F.col("before") >= F.col("numbers"))
 
 
+def pseudo_headings(found: DataFrame, key: str = "doc_id", least: int = 3, share: float = 0.7) -> DataFrame:
+    """Runs of bracketed headings before the first heading of level 1 that mostly end as sentences: lists, not headings."""
+    w = Window.partitionBy(key).orderBy("ord")
+    early = F.coalesce(F.max(F.when(F.col("level") == 1, 1)).over(w), F.lit(0)) == 0
+    bracket = F.col("title").rlike("^[(（]")
+    run = F.sum(F.when(bracket, 0).otherwise(1)).over(w)
+    rows = found.withColumn("__run", run).withColumn("__early", early).filter(F.col("__early") & bracket).drop("__early")
+    group = Window.partitionBy(key, "__run")
+    ends = F.avg(F.when(F.col("title").rlike("[。；;]$"), 1.0).otherwise(0.0)).over(group)
+    return rows.withColumn("__n", F.count(F.lit(1)).over(group)).withColumn("__e", ends).filter((F.col("__n") >= least) & (F.col("__e") >= share)).drop("__run", "__n", "__e")
+
+
 def contents_pages(rows: DataFrame, keys: list[str], level: str, least: int = 3) -> DataFrame:
     """Pages with at least `least` headings of level 1 and no plain line: tables of contents."""
     return rows.groupBy(*keys).agg(F.count_if(F.col(level) == 1).alias("heads"), F.count_if(F.col(level).isNull()).alias("plain")).filter((F.col("heads") >= least) & (F.col("plain") == 0))

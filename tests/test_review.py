@@ -65,3 +65,31 @@ def test_scope_and_hypotheses(spark):
     h = spark.createDataFrame([("A", ["1", "2"], "X"), ("B", ["1"], "Y")], "category_code string, clause_ids array<string>, agent string")
     v = spark.createDataFrame([("r", "A", ["2"])], "risk_id string, category_code string, clause_ids array<string>")
     assert review.verified_hypotheses(h, v).first()["hypothesized_by"] == ["X"]
+
+
+def test_text_forms(spark):
+    from granary.functions import text as T
+    from granary.operators import measures, structure
+
+    assert one(spark, T.inline_headings(F.lit("(一)1.甲(二)2、乙"))) == ["(一)", "1.甲(二)", "2、乙"]
+    long = "关于本项目投标文件递交与开标的若干具体要求说明以及"
+    assert one(spark, T.truncated_title(F.lit(long), F.lit("其他事项。正文"))) == long + "其他事项。"
+    assert one(spark, T.truncated_title(F.lit("短标题"), F.lit("正文。"))) == "短标题"
+    assert [tuple(x) for x in one(spark, T.markdown_sections(F.lit("# A\nx\n## B\ny\nz")))] == [(1, "A", "x"), (2, "B", "y\nz")]
+    assert tuple(one(spark, T.path_anomalies(F.array(F.lit("未归类"), F.lit("x" * 51))))) == (True, True)
+    heads = spark.createDataFrame([(1, i, 3, f"（{c}）句子。") for i, c in enumerate("一二三")] + [(1, 9, 1, "第一章"), (1, 10, 3, "（四）句。")], "doc_id long, ord long, level int, title string")
+    assert structure.pseudo_headings(heads).count() == 3
+    rows = spark.createDataFrame([(i,) for i in range(1, 8)], "i long")
+    assert [r["split"] for r in measures.splits(rows, "i", 3, 2).orderBy("i").collect()] == ["train"] * 3 + ["dev"] * 2 + ["test"] * 2
+    kinds = spark.createDataFrame([(0, "a"), (1, "b")], "n long, v string")
+    assert [r["v"] for r in measures.paired(rows, "i", kinds, "n").orderBy("i").collect()] == list("bababab")
+    assert tuple(measures.marks(rows, big=F.col("i") > 5).first()) == (7, 2, True)
+
+
+def test_follow_ups(spark):
+    known = spark.createDataFrame([("c", "A", "some words")], "chunk_id string, category_code string, source_quote string")
+    new = spark.createDataFrame([("c", "A", "Some Words here"), ("c", "B", "some words"), ("d", "A", "some words")], known.schema)
+    assert sorted((r["chunk_id"], r["category_code"]) for r in review.same_finding(new, known).collect()) == [("c", "B"), ("d", "A")]
+    clauses = spark.createDataFrame([(i,) for i in range(4)], "k long")
+    reviews = spark.createDataFrame([(0,), (0,), (1,)], "k long")
+    assert [(r["k"], r["why"]) for r in review.follow_ups(clauses, reviews, "k").collect()] == [(2, "unreviewed"), (3, "unreviewed"), (1, "one review")]
