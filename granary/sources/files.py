@@ -36,7 +36,7 @@ def read_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, parse: Callable[[bytes], str], fallback: Callable[[bytes], str] | None = None) -> DataFrame:
     """(path, text, error) of binary documents by a parser; a second parser takes what the first can't, and what neither can
-    is an error in the row."""
+    is an error in the row. Spark lists no files without bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
