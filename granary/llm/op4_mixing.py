@@ -93,7 +93,9 @@ def exponent(sums: Sums, entropy: float = ENTROPY, repeats: float = REPEATS, bud
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Rows (doc, source, tokens, weight, epoch, block, turn): one for each time that a document is taken."""
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit(_NULL)).alias("source"), tokens(text).alias("tokens"), F.xxhash64(F.col(key), F.lit(17)).alias("hash"))
-    shares = source_shares(base.select("source", "tokens"))
+    # Texts are counted once: sources and blocks are summed from this narrow table.
+    narrow = common.written(base.select("source", "hash", "tokens"), "mix-tokens")
+    shares = source_shares(narrow)
     sums = Sums(shares)
     t = exponent(sums, entropy, repeats, budget)
     z = sums.powers(t)[0] if sums.n else 1.0
@@ -105,9 +107,9 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     plan = shares.select("source", weight.alias("weight"), F.when(F.col("tokens") > 0, weight * F.lit(float(whole)) / F.col("tokens")).otherwise(F.lit(1.0)).alias("repeat"), F.ceil((F.col("tokens") + 1) / F.lit(per_block)).alias("blocks"))
     few = sums.n <= MAX_BLOCKS
     held = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-    placed = base.join(held(plan), "source").withColumn("block", F.pmod("hash", F.col("blocks")))
+    placed = lambda rows: rows.join(held(plan), "source").withColumn("block", F.pmod("hash", F.col("blocks")))
     # Tokens of each block, then where each block begins in each epoch's own order.
-    counted = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("repeat").alias("repeat"), F.first("weight").alias("weight"))
+    counted = placed(narrow).groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("repeat").alias("repeat"), F.first("weight").alias("weight"))
     rounds = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.round(F.col("repeat"), 9)) - 1).cast("int")))
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch"), "block")
     epochs = counted.withColumn("epoch", rounds)
@@ -120,7 +122,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     taken = epochs.select("source", "block", "epoch", share.alias("share"), ((F.col("epoch") * F.col("all") + F.col("before")) / span).alias("turn")).filter("share > 0")
     plans = taken.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "share", "turn"))).alias("plan"))
     rank = F.pmod(F.xxhash64("hash"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    chosen = placed.select("doc", "source", "tokens", "weight", "block", rank.alias("rank")).join(held(plans), ["source", "block"])
+    chosen = placed(base).select("doc", "source", "tokens", "weight", "block", rank.alias("rank")).join(held(plans), ["source", "block"])
     chosen = chosen.select("*", F.explode(F.filter("plan", lambda p: F.col("rank") < p["share"])).alias("p"))
     return chosen.select("doc", F.when(F.col("source") != _NULL, F.col("source")).alias("source"), "tokens", "weight", F.col("p.epoch").alias("epoch"), "block", F.col("p.turn").alias("turn"))
 
