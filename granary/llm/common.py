@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -16,6 +18,8 @@ from granary.session import ship, table
 
 #: Rows of a batch handed to Python. Whole texts may be long, so batches hold few rows.
 BATCH_ROWS = 512
+#: Rows of an Arrow batch between the JVM and Python.
+ARROW_ROWS = 1024
 #: Bytes of text that one step works on; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
@@ -56,15 +60,40 @@ def py_crc_bucket(value: int | None, modulus: int) -> int:
     return -1 if value is None else zlib.crc32(str(value).encode()) % modulus
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches: whole texts are long, and a batch is in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow over batches of at most BATCH_ROWS rows."""
+    return map_arrow(df, lambda batches: work(small(batches)), schema)
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over limited batches, in tasks that give their memory back when they end."""
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(small(batches))
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task and would keep it beside the next task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `rows` rows, halved further while a slice holds over `most` bytes."""
     for batch in batches:

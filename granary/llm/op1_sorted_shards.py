@@ -52,7 +52,7 @@ HASHES = 7
 MAGIC = b"GRNSST01"
 FOOTER = struct.Struct("<QIQIQQB8s")
 #: Pieces a task remembers; about 200 bytes each.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 400_000
 
 
 def put_varint(out: bytearray, n: int) -> None:
@@ -251,18 +251,25 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import models
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            data = json.load(f)
+        model, self.path = data["model"], path
+        self.special = [t["content"] for t in data["added_tokens"]]
         self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0)
         self.symbols = {b: c for c, b in byte_symbols().items()}
-        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else 4
+        largest = max([end_id, *model["vocab"].values(), *(t["id"] for t in data["added_tokens"])])
+        self.width = 2 if largest < 1 << 16 else 4
         self.end = int(end_id).to_bytes(self.width, "little")
         self.memo: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
@@ -342,13 +349,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
                 writer = ShardWriter(stream, held.width)
             for k, ids in zip(batch.column(0).to_pylist(), held.encode(common.texts(batch))):
                 writer.add(key_bytes(k), ids)
+        held.memo.clear()
         if writer is not None:
             writer.finish()
             stream.close()
             store.move(trial, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([writer.tokens])], names=["part", "path", "tokens"])
 
-    made = sorted(dealt.mapInArrow(write, "part long, path string, tokens long").collect())
+    made = sorted(common.map_arrow(dealt, write, "part long, path string, tokens long").collect())
     base, found = 0, []
     for r in made:
         found.append(Shard(r["path"], base, is_text))
@@ -393,7 +401,7 @@ def read_shards(spark: SparkSession, shards: list[Shard], key: str = "doc_id", w
                             keys, starts, sizes, sums, lists, held = [], [], [], [], [], 0
                     yield flush()
 
-    return todo.mapInArrow(read, schema)
+    return common.map_arrow(todo, read, schema)
 
 
 def lookup(shards: list[Shard], key: int | str) -> list[np.ndarray]:

@@ -45,7 +45,7 @@ STAR, BLOCK = 4, 20_000
 #: Hash ranges (as a power of two) in which each set's shingles are counted once, a byte each.
 RANGE_BITS = 7
 #: Keys that a fetch of texts broadcasts, at most (8 MB), and words whose hashes a task remembers.
-FETCHED, WORDS = 500_000, 600_000
+FETCHED, WORDS = 500_000, 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -314,7 +314,7 @@ def first_candidates(rows: DataFrame, percent: int, block: int) -> DataFrame:
                 found = (shingle, blocks, node, n.astype(np.int32), place.astype(np.int32), sign)
                 yield pa.RecordBatch.from_arrays([nulls, nulls, *(pa.array(c[at]) for c in found)], names=_PAIR_NAMES)
 
-    return rows.mapInArrow(run, "x long, y long, shingle long, blocks int, node long, n int, place int, sign long")
+    return common.map_arrow(rows, run, "x long, y long, shingle long, blocks int, node long, n int, place int, sign long")
 
 
 def second_candidates(rows: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +348,7 @@ def second_candidates(rows: DataFrame, percent: int) -> DataFrame:
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
-    return rows.mapInArrow(run, "x long, y long")
+    return common.map_arrow(rows, run, "x long, y long")
 
 
 def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -367,7 +367,7 @@ def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent
             good = close(n, m, batch.column(4).to_pylist(), batch.column(5).to_pylist(), percent) if len(n) else []
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    pairs = common.written(marked.mapInArrow(near, "x long, y long"), "join-pairs")
+    pairs = common.written(common.map_arrow(marked, near, "x long, y long"), "join-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     keys = common.written(ids.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key")), "join-keys")
     few = keys.count() <= FETCHED

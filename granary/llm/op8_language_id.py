@@ -36,7 +36,7 @@ ROUNDS = 3
 MAX_PIECE = 12
 SEGMENT = 32
 #: Words whose log probabilities a task remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 _LETTER = re.compile(r"[^\W\d_]")
 _VOCAB = "byte_bpe_50k.tiktoken"
 UNKNOWN = "und"
