@@ -463,14 +463,19 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", column: str = "text", size
     key the one whose columns hash lowest stays."""
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(key).alias("key"))
-    found = common.written(join(docs, key, column, size, percent).toDF("key", "n", "component"), "join-found")
-    stay = found.filter(F.col("key") == F.col("component")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    kept = rows.join(stay, "key").select("row", "key", "times")
-    several = stay.filter("times > 1").head(1)
-    once = kept.filter("times = 1").select("row")
-    if several:
-        once = once.unionByName(kept.filter("times > 1").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
-    return once.unionByName(rows.filter("key is null").select("row")).select("row.*").select(*(F.col(f"`{c}`") for c in names))
+    found = common.written(join(docs, key, column, size, percent).toDF("key", "n", "component").filter("key is not null"), "join-found")
+
+    def held(keys: DataFrame) -> DataFrame:
+        """Keys to join with whole rows: broadcast up to FETCHED of them, merged beyond that."""
+        return F.broadcast(keys) if keys.count() <= FETCHED else keys.hint("merge")
+
+    gone = common.written(found.filter(F.col("key") != F.col("component")).select("key").distinct(), "join-gone")
+    kept = rows.join(held(gone), "key", "left_anti").select("key", "row")
+    twice = common.written(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "join-twice")
+    if twice.head(1):
+        several = kept.join(held(twice), "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(held(twice), "key", "left_anti").select("key", "row").unionByName(several)
+    return kept.select("row.*").select(*(F.col(f"`{c}`") for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
