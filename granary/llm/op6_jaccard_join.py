@@ -144,7 +144,7 @@ def passes(n, place, sign, i, j, percent: int) -> np.ndarray:
 
 def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
     """Rows (key, node, n, ranges) for each document, the ranges once while a task remembers the node, and rows (shingle,
-    count) for what several sets of a task share."""
+    count) for what several sets of a task share. Rows with a null key link with nothing, so they give neither."""
     names = ["key", "node", "n", "ranges", "shingle", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,9 @@ def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
 
         for batch in batches:
             nodes, sizes, marks = [], [], []
-            for s in shingler(common.texts(batch)):
+            for keyed, s in zip(batch.column(0).is_valid().to_pylist(), shingler(common.texts(batch))):
                 node = node_of(s)
-                fresh = node is not None and node not in seen
+                fresh = keyed and node is not None and node not in seen
                 nodes.append(node)
                 sizes.append(len(s))
                 marks.append(ranges(s) if fresh else None)

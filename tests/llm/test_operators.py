@@ -318,6 +318,14 @@ def test_components(spark, odd, empty):
     assert op6_jaccard_join.join(empty).count() == 0 and op6_jaccard_join.deduplicate(empty).count() == 0
 
 
+def test_copy_without_a_key_hides_no_link(spark):
+    text = prose(100, 77)
+    rows = [(None, text), (1, text), (2, text + " end"), (None, text + " end"), (3, prose(100, 78))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["component_id"]) for r in op6_jaccard_join.join(docs).collect()} == {(None, None), (1, 1), (2, 1), (3, 3)}
+    assert sorted(r["doc_id"] or 0 for r in op6_jaccard_join.deduplicate(docs).collect()) == [0, 0, 1, 3]
+
+
 def test_blocks_of_common_shingles(spark, monkeypatch):
     monkeypatch.setattr(op6_jaccard_join, "BLOCK", 10)
     rows = [(i, t) for i, t in enumerate(copies(60, 31))]
