@@ -21,9 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked documents."""
+    """The document of the smallest id of each group of linked documents: those that share 80 % of their five-word shingles."""
     ship(spark)
-    return op6_jaccard_join.deduplicate(docs)
+    return op6_jaccard_join.deduplicate(docs, size=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,30 @@ import corpus_pipeline
 from tests.llm.test_operators import VOCAB, brute_components, brute_contamination, prose
 
 
+def edited(text, edits):
+    """The text with so many words replaced, far from each other."""
+    w = text.split()
+    for k in range(edits):
+        w[(2 * k + 1) * len(w) // (2 * edits)] = f"edit{k}"
+    return " ".join(w)
+
+
+def similarity(a, b, n):
+    p, q = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+    return len(p & q) / len(p | q)
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    rows = []
+    for i, edits in enumerate((8, 9, 15, 20)):
+        text = prose(450, 2000 + i)
+        copy = edited(text, edits)
+        assert similarity(text, copy, 3) < 0.9 and (similarity(text, copy, 5) >= 0.8) == (edits < 10)
+        rows += [(10 * i, text), (10 * i + 1, copy)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 20, 21, 30, 31]
+
+
 def test_stages(spark, tmp_path):
     passage = prose(60, 900)
     rows = [(i, prose(80 + i % 50, 1000 + i), "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(300)]
