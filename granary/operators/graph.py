@@ -16,10 +16,13 @@ def symmetric(df: DataFrame) -> DataFrame:
     return df.unionByName(df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")).distinct()
 
 
-def same_key_edges(df: DataFrame, item: str, shared: str, most: int = 1000) -> DataFrame:
+def same_key_edges(df: DataFrame, item: str, shared: str, most: int | None = 1000) -> DataFrame:
     """Symmetric edges between items that share a key. A key of over `most` items links each of them to the key's smallest
-    item, so that a common key gives a star and not every pair; `star` says so."""
+    item, so that a common key gives a star and not every pair; `star` says so. With `most` None every key gives every pair."""
     cites = df.select(F.col(item).alias("item"), F.col(shared).alias("key")).distinct()
+    if most is None:
+        pairs = cites.select("key", F.col("item").alias("src")).join(cites.select("key", F.col("item").alias("dst")), "key")
+        return pairs.filter("src <> dst").select("src", "dst", F.lit(False).alias("star")).distinct()
     sizes = cites.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first"))
     sized = cites.join(sizes, "key")
     few = sized.filter(F.col("n") <= most)

@@ -248,7 +248,15 @@ def threshold_verdict(spark, d):
 @query("formula_values", """
 SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + l_tax) - 2, 3) AS value FROM lineitem WHERE l_orderkey % 20 = 0""")
 def formula_values(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_orderkey % 20 = 0")
+    return formula_results(table(spark, d, "lineitem").filter("l_orderkey % 20 = 0"))
+
+
+@query("formula_values_all", "SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + l_tax) - 2, 3) AS value FROM lineitem")
+def formula_values_all(spark, d):
+    return formula_results(table(spark, d, "lineitem"))
+
+
+def formula_results(lines):
     formula = F.when(F.col("l_linenumber") % 2 == 0, "q * (1 + t) - 2").otherwise("-2 + (1 + t) * q")
     return lines.select("l_orderkey", "l_linenumber", F.round(calc.evaluate_udf(formula, F.create_map(F.lit("q"), "l_quantity", F.lit("t"), "l_tax")), 3).alias("value"))
 
@@ -260,6 +268,13 @@ def same_key_edges(spark, d):
     return graph.same_key_edges(lines, "item", "l_partkey").select("src", "dst")
 
 
+@query("same_key_edges_all", """
+SELECT DISTINCT CAST(a.l_orderkey AS VARCHAR) AS src, CAST(b.l_orderkey AS VARCHAR) AS dst FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey""")
+def same_key_edges_all(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("item"), "l_partkey")
+    return graph.same_key_edges(lines, "item", "l_partkey", most=None).select("src", "dst")
+
+
 @query("agent_links", """
 WITH s AS (SELECT l_partkey FROM lineitem WHERE l_partkey % 50 = 3 GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2), r AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem JOIN s USING (l_partkey))
 SELECT l_partkey, a.l_orderkey AS a, b.l_orderkey AS b FROM r a JOIN r b USING (l_partkey) WHERE a.l_orderkey < b.l_orderkey""")
@@ -267,6 +282,13 @@ def agent_links(spark, d):
     return graph.links_of_several(table(spark, d, "lineitem").filter("l_partkey % 50 = 3"), "l_orderkey", "l_partkey", "l_suppkey")
 
 
+@query("agent_links_all", """
+WITH s AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2), r AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem JOIN s USING (l_partkey))
+SELECT l_partkey, a.l_orderkey AS a, b.l_orderkey AS b FROM r a JOIN r b USING (l_partkey) WHERE a.l_orderkey < b.l_orderkey""")
+def agent_links_all(spark, d):
+    return graph.links_of_several(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
+
+
 @query("node_context", """
 SELECT s_suppkey, coalesce(array_to_string(list_sort(list_distinct(list(CAST(l_returnflag AS VARCHAR)) FILTER (WHERE l_returnflag IS NOT NULL))), ','), '') AS flags FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
 def node_context(spark, d):

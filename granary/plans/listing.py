@@ -267,8 +267,18 @@ def parent_stack(spark, d):
 @query("interval_cover", """
 SELECT DISTINCT o_custkey, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(i AS INTEGER) AS DATE) AS VARCHAR) AS covered FROM orders, generate_series(0, 3) t(i) WHERE o_custkey % 10 = 0""")
 def interval_cover(spark, d):
+    return order_days(table(spark, d, "orders").filter("o_custkey % 10 = 0"))
+
+
+@query("interval_cover_all", """
+SELECT DISTINCT o_custkey, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(i AS INTEGER) AS DATE) AS VARCHAR) AS covered FROM orders, generate_series(0, 3) t(i)""")
+def interval_cover_all(spark, d):
+    return order_days(table(spark, d, "orders"))
+
+
+def order_days(orders):
     day = F.to_date("o_orderdate")
-    covered = ordered.covered_days(table(spark, d, "orders").filter("o_custkey % 10 = 0"), day, F.date_add(day, 3), "o_custkey")
+    covered = ordered.covered_days(orders, day, F.date_add(day, 3), "o_custkey")
     return covered.withColumn("covered", F.col("covered").cast("string"))
 
 

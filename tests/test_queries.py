@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from granary import plans
+from granary.operators import graph
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,3 +53,14 @@ def test_runs(spark, name):
     df = plans.QUERIES[name](spark, SF)
     n = df.count()
     assert n == 0 if name == "stream_equals_batch" else n >= 0
+
+
+@pytest.mark.parametrize("name, key, modulus", [("formula_values", "l_orderkey", 20), ("agent_links", "l_partkey", 50), ("interval_cover", "o_custkey", 10)])
+def test_whole_tables(spark, name, key, modulus):
+    residues = {r[0] for r in plans.QUERIES[f"{name}_all"](spark, SF).selectExpr(f"{key} % {modulus}").distinct().collect()}
+    assert len(residues) > 1
+
+
+def test_every_pair_of_a_common_key(spark):
+    lines = spark.range(1001).selectExpr("cast(id AS string) AS item", "1 AS k")
+    assert graph.same_key_edges(lines, "item", "k", most=None).count() == 1001 * 1000
