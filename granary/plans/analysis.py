@@ -55,6 +55,11 @@ def redact_counts(spark, d):
     return redact.vault(docs, "doc_id", "text").filter("label = 'email'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("emails"))
 
 
+@query("redact_counts_all")
+def redact_counts_all(spark, d):
+    return redact.vault(table(spark, d, "documents"), "doc_id", "text").filter("label = 'email'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("emails"))
+
+
 @query("redact_summary")
 def redact_summary(spark, d):
     return redact.summary(redact.vault(table(spark, d, "documents"), "doc_id", "text"))
@@ -374,6 +379,11 @@ def file_sizes(spark, d):
     return table(spark, d, "documents").filter(F.octet_length("text") < 1048576).select("doc_id", T.file_size(F.octet_length("text").cast("long")).alias("size"))
 
 
+@query("file_sizes_all")
+def file_sizes_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.file_size(F.octet_length("text").cast("long")).alias("size"))
+
+
 @query("content_digests", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def content_digests(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))

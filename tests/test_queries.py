@@ -64,3 +64,10 @@ def test_whole_tables(spark, name, key, modulus):
 def test_every_pair_of_a_common_key(spark):
     lines = spark.range(1001).selectExpr("cast(id AS string) AS item", "1 AS k")
     assert graph.same_key_edges(lines, "item", "k", most=None).count() == 1001 * 1000
+
+
+def test_whole_texts(spark, tmp_path):
+    for name, text, wanted in (("redact_counts_all", "é x@y.org, a.b@c.de and x@y.org", 2), ("file_sizes_all", "ß" * 800_000, "1.53MB")):
+        spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = {r[0]: r[1] for r in plans.QUERIES[name](spark, f"{tmp_path}/{name}").collect()}
+        assert found[0] == wanted
