@@ -47,14 +47,24 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and every executor reach.
 
-    Where that setting is absent (a local test), a temporary folder of this machine is set for the context."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    Where that setting is absent, a local master gets a temporary folder of this machine; any other master is an error,
+    because its executors could not see such a folder."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="granary-shared")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data through the store that holds it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder `sf_dir`, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
