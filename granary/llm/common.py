@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from granary.session import ship, table
+from granary.session import remove_folder, shared_folder, ship, table
 
 #: Rows of a batch handed to Python. Whole texts may be long, so batches hold few rows.
 BATCH_ROWS = 512
@@ -29,26 +27,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder, readable by the driver and every executor, below spark.checkpoint.dir.
-
-    Where that setting is absent (a local test), a temporary folder of this machine is set for the context.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="granary-shared")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """`df` stored as Parquet in the shared folder and read again: short lineage that outlives executors."""
+def stored(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """`df` stored as Parquet in a new shared folder and read again, and that folder."""
     spark = df.sparkSession
     path = shared_folder(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """`df` stored in the shared folder and read again: short lineage that outlives executors."""
+    return stored(df, kind)[0]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rest: list[str], how: str = "inner", counted: DataFrame | None = None, least: int = 1000) -> DataFrame:
+    """Join `left` with the few rows that `right` has for each key, without a task that takes all of a common key.
+
+    Keys with more rows in `left` (or in `counted`, a stored table of the same keys) than a thousandth of it (or `least`)
+    are at most a thousand, so they are broadcast with a number of salts; `left` rows of such a key are dealt to its salts
+    by a hash of `rest`, and `right` has its rows for the key once for each salt. Rows without a key, which join with
+    nothing, are dealt alike."""
+    counted = left if counted is None else counted
+    rows = counted.count()
+    each = max(least, rows // 1000)
+    if rows <= each:  # no key can have more
+        return left.join(right.hint("merge"), key, how)
+    hot = counted.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > each).select(key, F.ceil(F.col("_rows") / each).alias("_salts"))
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col(key).isNull(), F.xxhash64(*rest)).otherwise(F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0).cast("long")))).drop("_salts")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1)
+    copies = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
+    return dealt.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def crc_bucket(column: str, modulus: int):

@@ -5,11 +5,14 @@ words, the whole sequence). Documents with equal sets are one node, known by a 6
 when |x & y| * 100 >= percent * |x | y|.
 
 Steps
-    scan        one pass notes each document's node and counts, within tasks, the shingles that several of its sets hold
-    order       shingles by that count, rare first, then by hash; shingles without a count come before all others.
-                At most `FREQUENT` counts, as a histogram proves, are broadcast. The order is the same everywhere,
-                and any such order gives the same links.
-    prefixes    each set gives its first n - ceil(n * percent / 100) + 1 shingles: linked sets share one of them
+    scan        one pass notes each document's node and packs its shingles, by hash ranges, for an exact count: windows of
+                each task merge their own first, then each range is summed in one place
+    order       shingles by that count, rare first, then by hash. At most `FREQUENT` counts, as a histogram proves, are
+                broadcast; every other shingle is known to be rarer than all of those and comes before them. The order
+                is the same everywhere, and any such order gives the same links
+    prefixes    each set gives its first n - ceil(n * percent / 100) + 1 shingles: linked sets share one of them. A
+                shingle that may stand in over `BLOCK` sets, by its count or by the bound for those without one, is
+                dealt to several salts, so no run of rows is longer than about that
     candidates  rows of one shingle meet in order. Pairs must pass the length filter, the positional filter (the sets
                 can't share more than what follows their places) and the suffix filter (the sum of the differences of
                 shingle counts in hash ranges bounds the sets' difference from below)
@@ -19,15 +22,19 @@ Steps
 A shingle that over `STAR` nodes share first links each of them to the two nodes in which it stands foremost. The
 components of those links are found, and then all pairs that pass the filters and lie in different components are verified,
 so that a large group of near copies does not give all its pairs while no link between components is missed. Shingles
-with over `BLOCK` nodes are compared in pairs of blocks.
+with over `BLOCK` nodes are compared in pairs of blocks. Joins by a node that very many rows share (the centre of a star,
+the root of a component) are salted.
 
 Null and empty texts have no set: 0 shingles, linked with nothing, their own component. Rows with a null key are not
-linked and have a null component. Rows with one key count as one document. Additional columns are not read.
+linked and have a null component. Rows with one key count as one document. Equal sets are one node, whatever their texts;
+texts of any length are taken whole, each a step of its own. An empty table gives an empty result. Additional columns are
+not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +46,12 @@ from granary.llm import common
 
 SIZE = 3
 PERCENT = 90
-#: Shingles whose counts are broadcast, at most; shingles a task holds while it counts; count in a task from which it says.
-FREQUENT, HELD, LEAST = 400_000, 2_000_000, 3
+#: Shingles whose counts are broadcast, at most; shingles a task holds while it counts; bits of a hash that are counted by
+#: (all others alike are one), and the count from which a shingle has a place among the frequent ones.
+FREQUENT, HELD, COUNTED_BITS, LEAST = 400_000, 2_000_000, 42, 3
 STAR, BLOCK = 4, 20_000
+#: Pairs that are compared in one step.
+PAIRS = 1 << 20
 #: Hash ranges (as a power of two) in which each set's shingles are counted once, a byte each.
 RANGE_BITS = 7
 #: Keys that a fetch of texts broadcasts, at most (8 MB), and words whose hashes a task remembers.
@@ -142,19 +152,29 @@ def passes(n, place, sign, i, j, percent: int) -> np.ndarray:
     return good
 
 
-def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
-    """Rows (key, node, n, ranges) for each document, the ranges once while a task remembers the node, and rows (shingle,
-    count) for what several sets of a task share. Rows with a null key link with nothing, so they give neither."""
-    names = ["key", "node", "n", "ranges", "shingle", "count"]
+def range_bits(parts: int) -> int:
+    """Hash ranges by which shingles are counted, as a power of two: several for each shuffle partition."""
+    return max(10, min(30, (8 * parts - 1).bit_length()))
+
+
+def scan(docs: DataFrame, key: str, column: str, size: int, bits: int) -> DataFrame:
+    """Rows (key, node, n, ranges) for each document, the ranges once while a task remembers the node, and rows (range,
+    hashes, counts) with the packed shingles of those sets. Rows with a null key link with nothing, so they give neither."""
+    names = ["key", "node", "n", "ranges", "range", "hashes", "counts"]
+    low = COUNTED_BITS - bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, total, seen = Shingler(size), [], 0, set()
 
-        def frequent() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
-            some = counts >= LEAST
-            nulls = pa.nulls(int(some.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.nulls(len(nulls), pa.binary()), pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=names)
+        def packed() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]) >> np.uint64(64 - COUNTED_BITS), return_counts=True)
+            owner = (values >> np.uint64(low)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+            rest = (values & np.uint64((1 << low) - 1)).astype(np.uint32)
+            pieces = [(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(owner)])]
+            longs, few = pa.nulls(len(pieces), pa.int64()), counts.astype(np.uint32)
+            arrays = [longs, longs, longs, pa.nulls(len(pieces), pa.binary()), pa.array(owner[starts].astype(np.int32)), pa.array([rest[a:b].tobytes() for a, b in pieces], pa.binary()), pa.array([few[a:b].tobytes() for a, b in pieces], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
             nodes, sizes, marks = [], [], []
@@ -168,50 +188,92 @@ def scan(docs: DataFrame, key: str, column: str, size: int) -> DataFrame:
                     seen.add(node)
                     held.append(s)
                     total += len(s)
-            nulls = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), nulls, nulls], names=names)
+            n = len(nodes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
             if total > HELD:
-                yield frequent()
+                yield packed()
                 held, total, seen = [], 0, set()
-        yield frequent()
+        yield packed()
+
+    return common.map_batches(docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")), run, "key long, node long, n long, ranges binary, range int, hashes binary, counts binary")
+
+
+def exact_counts(scanned: DataFrame, bits: int) -> DataFrame:
+    """(shingle, count) of every shingle, by its first COUNTED_BITS bits, with a count of LEAST or more."""
+    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scanned.filter("range is not null").select("range", "hashes", "counts").repartition(parts, "range").sortWithinPartitions("range")
+    low = COUNTED_BITS - bits
+
+    def merged(owner: int, hashes: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        values, n = np.frombuffer(b"".join(hashes), np.uint32), np.frombuffer(b"".join(counts), np.uint32)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        total = np.add.reduceat(n[order].astype(np.int64), starts)
+        some = total >= LEAST
+        found = values[starts][some].astype(np.int64) | owner << low
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[some])], names=["shingle", "count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, hashes, counts = None, [], []
+        for batch in batches:
+            for r, h, c in zip(*(x.to_pylist() for x in batch.columns)):
+                if r != owner and hashes:
+                    yield merged(owner, hashes, counts)
+                    hashes, counts = [], []
+                owner = r
+                hashes.append(h)
+                counts.append(c)
+        if hashes:
+            yield merged(owner, hashes, counts)
+
+    return common.map_batches(rows, run, "shingle long, count long")
+
+
+@dataclass
+class Order:
+    """Sorted shingles (their first COUNTED_BITS bits) with counts, at most FREQUENT; others have counts of `rest` at most."""
 
-    return common.map_batches(docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")), run, "key long, node long, n long, ranges binary, shingle long, count long")
+    keys: np.ndarray
+    counts: np.ndarray
+    rest: int
 
 
-def frequent_order(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles with counts, the most frequent ones, at most FREQUENT."""
-    counts = scanned.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count"))
-    counts = common.written(counts, "join-counts")
+def frequent_order(scanned: DataFrame, bits: int) -> Order:
+    counts = common.written(exact_counts(scanned, bits), "join-counts")
     step = F.floor(4 * F.log2("count")).cast("int")
-    taken, least = 0, 1 << 30
-    for b in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+    taken, least = 0, None
+    for b in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).orderBy(F.desc("step")).collect():
         taken += b["n"]
         if taken > FREQUENT:
+            rest = b["most"]
             break
         least = b["step"]
-    rows = counts.filter(step >= least).toArrow()
-    keys = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    else:
+        rest = LEAST - 1
+    rows = counts.filter(step >= least if least is not None else F.lit(False)).toArrow()
+    keys = rows["shingle"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    return keys[order], rows["count"].to_numpy()[order]
+    return Order(keys[order].astype(np.uint64), rows["count"].to_numpy()[order], rest)
 
 
-def noticed(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def noticed(shingles: np.ndarray, order: Order) -> np.ndarray:
     """The broadcast counts of shingles, 0 where there is none."""
-    keys, counts = order
-    if not len(keys):
+    if not len(order.keys):
         return np.zeros(len(shingles), np.int64)
-    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-    return np.where(keys[at] == shingles, counts[at], 0)
+    known = shingles >> np.uint64(64 - COUNTED_BITS)
+    at = np.minimum(np.searchsorted(order.keys, known), len(order.keys) - 1)
+    return np.where(order.keys[at] == known, order.counts[at], 0)
 
 
-def prefix(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+def prefix(shingles: np.ndarray, order: Order, percent: int) -> np.ndarray:
     n = len(shingles)
     return shingles[np.lexsort((shingles, noticed(shingles, order)))[: n - ceil_share(n, percent) + 1]]
 
 
-def prefix_rows(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], column: str, size: int, percent: int, block: int) -> DataFrame:
+def prefix_rows(docs: DataFrame, order: Order, column: str, size: int, percent: int, block: int) -> DataFrame:
     """A row (shingle, salt, salts, node, n, place, sign) for each shingle of each set's prefix; a task gives a node once
-    while it remembers it. Shingles that over `block` sets are known to hold are dealt by the node to several salts."""
+    while it remembers it. Shingles that over `block` sets may hold are dealt by the node to several salts."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +294,8 @@ def prefix_rows(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], column: s
                 node, n, sign = (np.repeat(np.array(c, np.int64), sizes) for c in zip(*about))
                 place = np.concatenate([np.arange(k) for k in sizes])
                 shingle = np.concatenate(parts)
-                salts = np.maximum(1, -(-noticed(shingle, shared.value) // block))
+                held = noticed(shingle, shared.value)
+                salts = np.maximum(1, -(-np.where(held, held, shared.value.rest) // block))
                 yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array((node % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sign)], names=["shingle", "salt", "salts", "node", "n", "place", "sign"])
 
     return common.map_batches(docs.select(column), run, "shingle long, salt int, salts int, node long, n int, place int, sign long")
@@ -334,32 +397,32 @@ def second_candidates(rows: DataFrame, percent: int) -> DataFrame:
                 inner = own[part[own] == largest]
                 outer = own[part[own] != largest]
                 same = low[s] == high[s]
-                found = []
-                for step in range(0, len(outer), 256):
-                    some = outer[step : step + 256]
-                    for i, j in ((np.repeat(some, len(inner)), np.tile(inner, len(some))), (np.repeat(some, len(outer)), np.tile(outer, len(some)))):
+                for other in (inner, outer):
+                    step = max(1, PAIRS // len(other))
+                    for at in range(0, len(outer), step):
+                        some = outer[at : at + step]
+                        i, j = np.repeat(some, len(other)), np.tile(other, len(some))
                         ok = part[i] != part[j]
                         if not same:
                             ok &= block[i] != block[j]
                         i, j = i[ok], j[ok]
                         good = passes(n, place, sign, i, j, percent)
-                        found.append(np.stack([np.minimum(node[i[good]], node[j[good]]), np.maximum(node[i[good]], node[j[good]])], 1))
-                pairs = np.unique(np.concatenate(found), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+                        pairs = np.unique(np.stack([np.minimum(node[i[good]], node[j[good]]), np.maximum(node[i[good]], node[j[good]])], 1), axis=0)
+                        if len(pairs):
+                            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
     return common.map_arrow(rows, run, "x long, y long")
 
 
-def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) that link: those that counts in fine hash ranges don't exclude are compared, once, by the whole
     sets of their texts.
 
     Each node's text comes from the row of the node's smallest key. Keys are broadcast up to `FETCHED` of them and joined
-    by a shuffle beyond that. The joins with the pairs merge sorted sides at every size."""
-    marks = ids.filter("ranges is not null").groupBy("node").agg(F.max(F.struct("n", "ranges")).alias("m"))
-    a, b = (marks.select(F.col("node").alias(c), F.col("m.n").alias(f"n{c}"), F.col("m.ranges").alias(f"r{c}")) for c in ("x", "y"))
-    marked = pairs.select("x", "y").distinct().join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", "nx", "ny", "rx", "ry")
+    by a shuffle beyond that."""
+    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in ("x", "y"))
+    pairs = common.written(pairs.select("x", "y").distinct(), "join-met")
+    marked = common.spread_join(common.spread_join(pairs, a, "x", ["y"]), b, "y", ["x"], counted=pairs).select("x", "y", "nx", "ny", "rx", "ry")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,9 +432,9 @@ def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent
 
     pairs = common.written(common.map_arrow(marked, near, "x long, y long"), "join-pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    keys = common.written(ids.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key")), "join-keys")
+    keys = common.written(nodes.select("node", "key").join(wanted, "node"), "join-keys")
     few = keys.count() <= FETCHED
-    rows = docs.join(F.broadcast(keys) if few else keys, "key").select("node", "text")
+    rows = (docs.join(F.broadcast(keys), "key") if few else common.spread_join(docs, keys, "key", ["text"], counted=docs.select("key"))).select("node", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -382,7 +445,7 @@ def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent
     found = common.written(common.map_batches(rows, own, "node long, text string"), "join-texts")
     left = found.select(F.col("node").alias("x"), F.col("text").alias("tx"))
     right = found.select(F.col("node").alias("y"), F.col("text").alias("ty"))
-    both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y").select("x", "y", "tx", "ty")
+    both = common.spread_join(common.spread_join(pairs, left, "x", ["y"]), right, "y", ["x"], counted=pairs).select("x", "y", "tx", "ty")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(size), {}
@@ -404,57 +467,67 @@ def verify(docs: DataFrame, ids: DataFrame, pairs: DataFrame, size: int, percent
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in a link; the root is the component's smallest node."""
+    spark = links.sparkSession
     edges = links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct()
-    edges = common.written(edges, "join-edges")
+    edges, path = common.stored(edges, "join-edges")
     before = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        if mark == before or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = mark
-        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = edges.unionByName(turned).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = common.spread_join(turned, least, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large, middle = common.stored(large, "join-edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = common.written(small.filter("u <> v").distinct(), "join-edges")
+        small = common.spread_join(large, least, "u", ["v"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges, new = common.stored(small.filter("u <> v").distinct(), "join-edges")
+        for old in (path, middle):
+            common.remove_folder(spark, old)
+        path = new
 
 
-def link_sets(docs: DataFrame, scanned: DataFrame, column: str, size: int, percent: int) -> DataFrame:
+def link_sets(docs: DataFrame, scanned: DataFrame, nodes: DataFrame, column: str, size: int, percent: int, bits: int) -> DataFrame:
     """(node, root) of every node that links with another; `docs` has the columns key and text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prefix_rows(docs, frequent_order(scanned), column, size, percent, BLOCK)
+    rows = prefix_rows(docs, frequent_order(scanned, bits), column, size, percent, BLOCK)
     rows = rows.repartition(parts, "shingle", "salt").sortWithinPartitions("shingle", "salt")
     met = common.written(first_candidates(rows, percent, BLOCK), "join-met")
-    ids = scanned.filter("shingle is null and key is not null and node is not null").select("key", "node", "n", "ranges")
-    links = verify(docs, ids, met.filter("x is not null"), size, percent)
+    links = verify(docs, nodes, met.filter("x is not null"), size, percent)
     found = common.written(components(links), "join-components")
     blocks = F.col("blocks").cast("long")
     each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda c: F.struct(F.least(F.col("block"), c).alias("low"), F.greatest(F.col("block"), c).alias("high"))))
     rows = (
-        met.filter("x is null").join(found, "node", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("p", each)
+        common.spread_join(met.filter("x is null").drop("x", "y"), found, "node", ["shingle"], "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("p", each)
         .select("shingle", "p.low", "p.high", "block", "node", "n", "place", "sign", F.coalesce("root", "node").alias("part"))
     )
     rows = rows.repartition(parts, "shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
-    more = verify(docs, ids, second_candidates(rows, percent), size, percent)
+    more = verify(docs, nodes, second_candidates(rows, percent), size, percent)
     return components(links.unionByName(more))
 
 
 def join(docs: DataFrame, key: str = "doc_id", column: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id (the smallest key of the component) of every row."""
-    docs = docs.select(F.col(key).alias("key"), F.col(column).alias("text"))
-    scanned = common.written(scan(docs, "key", "text", size), "join-scan")
-    named = docs.filter(F.col("key").isNotNull())
-    found = common.written(link_sets(named, scanned, "text", size, percent), "join-roots")
-    ids = scanned.filter("shingle is null").select("key", "node", "n")
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("text"))
+    bits = range_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scanned = common.written(scan(docs, "key", "text", size, bits), "join-scan")
+    ids = scanned.filter("range is null").select("key", "node", "n")
+    keyed = ids.filter("key is not null and node is not null")
+    nodes = scanned.filter("key is not null and node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max(F.struct("n", "ranges")).alias("m"))
+    nodes = common.written(nodes.select("node", "key", "m.n", "m.ranges"), "join-nodes")
+    found = common.written(link_sets(docs.filter(F.col("key").isNotNull()), scanned, nodes, "text", size, percent, bits), "join-roots")
     # Rows of one key are one document: their sets' components are one.
-    twice = ids.filter("key is not null and node is not null").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
-    doubled = ids.join(twice.filter("a <> b").select("key", "a"), "key").filter("node <> a").select(F.col("node").alias("x"), F.col("a").alias("y"))
+    twice = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key", "a")
+    doubled = common.spread_join(keyed, twice, "key", ["node"]).filter("node <> a").select(F.col("node").alias("x"), F.col("a").alias("y"))
+    doubled = common.written(doubled.distinct(), "join-doubled")
     if doubled.head(1):
         found = common.written(components(found.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(doubled)), "join-roots")
-    rooted = ids.join(found, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
-    least = rooted.filter("key is not null and root is not null").groupBy("root").agg(F.min("key").alias("component_id"))
-    done = rooted.join(least, "root", "left")
+    # The smallest key of each component by its nodes' smallest keys.
+    least = found.join(nodes.select("node", "key"), "node").groupBy("root").agg(F.min("key").alias("component_id"))
+    named = common.spread_join(found, least, "root", ["node"]).select("node", "component_id")
+    named = nodes.select("node", "key").join(named, "node", "left").select("node", F.coalesce("component_id", "key").alias("component_id"))
+    done = common.spread_join(ids, common.written(named, "join-named"), "node", ["key"], "left")
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 

@@ -333,6 +333,36 @@ def test_blocks_of_common_shingles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(rows)
 
 
+def test_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(op6_jaccard_join, "HELD", 500)
+    rows = [(i, t) for i, t in enumerate([*copies(40, 41), *(prose(90, 700 + i) for i in range(20))])]
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(5)
+    counted = {r["shingle"]: r["count"] for r in op6_jaccard_join.exact_counts(op6_jaccard_join.scan(docs, "key", "text", 3, 10), 10).collect()}
+    shingler, wanted = op6_jaccard_join.Shingler(3), collections.Counter()
+    for s in shingler([t for _, t in rows]):
+        wanted.update((s >> np.uint64(22)).tolist())
+    # Copies of one set count once for each window of a task, so counts lie between the sets' and the rows'.
+    distinct = collections.Counter(x for s in {s.tobytes(): s for s in shingler([t for _, t in rows])}.values() for x in (s >> np.uint64(22)).tolist())
+    assert {k for k, n in distinct.items() if n >= 3} <= set(counted) and all(distinct[k] <= n <= wanted[k] for k, n in counted.items())
+
+
+def test_unknown_counts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op6_jaccard_join, "FREQUENT", 1)
+    monkeypatch.setattr(op6_jaccard_join, "BLOCK", 10)
+    monkeypatch.setattr(op6_jaccard_join, "PAIRS", 50)
+    rows = [(i, t) for i, t in enumerate(copies(60, 33))] + [(1000 + i, prose(60, 23) + " " + prose(60, 400 + i)) for i in range(30)]
+    found = op6_jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(rows)
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 1), (None, 7)], "k long, v long")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k long, w string")
+    for how in ("inner", "left"):
+        found = common.spread_join(left, right, "k", ["v"], how, least=5)
+        assert sorted(map(str, found.select("k", "v", "w").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "v", "w").collect()))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_filters_never_lose_a_link(seed):
     r = np.random.default_rng(seed)
@@ -343,7 +373,7 @@ def test_filters_never_lose_a_link(seed):
         both = len(np.intersect1d(a, b))
         if 100 * both < 90 * (len(a) + len(b) - both):
             continue
-        order = (np.sort(base[:20]), np.arange(20))
+        order = op6_jaccard_join.Order(np.unique(base[:20] >> np.uint64(22)), np.arange(3, 23), 2)
         p, q = op6_jaccard_join.prefix(a, order, 90), op6_jaccard_join.prefix(b, order, 90)
         shared = [x for x in p if x in q]
         assert shared
