@@ -14,14 +14,21 @@ step for each depth.
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 left out, the rest joined in page order by one newline. A block is what stands between the borders of block elements.
 Elements of `HIDDEN` never hold text. Null counts as empty; a page without content has an empty text. Rows repeat as they
-come; additional columns are not read. Unclosed and misnested tags are closed by their ancestors' ends.
+come; additional columns are not read, whatever their names.
+
+A page is read in one pass whose time is linear in its length, so pages of any length are taken whole. Unclosed tags
+are closed by their ancestors' ends. An end tag of a block closes what is open in it, but not beyond the table cell it
+stands in; an end tag of an inline element closes no block. A comment without an end lasts to the page's end, as does
+the content of a script or style without one; a tag that the page's end cuts off is dropped. An attribute's quotation mark
+without a partner ends with its tag. Ties: a marginal of exactly one half is not content.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,10 +49,17 @@ HIDDEN = RAW | frozenset("head button select option datalist svg math canvas obj
 ASIDE = frozenset("nav aside footer form header menu dialog".split())
 #: Elements that a start tag closes when they are open below the nearest block of another kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond which the end tag of another block doesn't reach.
+CELLS = ("table", "caption", "td", "th")
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = frozenset("class id role itemprop aria-label".split())
 BARS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<]*\Z", re.S)
-_ATTR = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"[^\s/>]*")
+_ATTR_NAME = re.compile(r"[\s/]*([^\s/>=]*)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_BLANK = re.compile(r"\s*")
 _WORD = re.compile(r"[a-z]+")
 
 #: Fixed groups of words in class, id and role values.
@@ -66,6 +80,7 @@ FEATURES = ["bias", *(f"tag:{t}" for t in TAGS), *(f"word:{g}" for g in WORDS),
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 KINDS = {"list": {"ul", "ol", "li", "dl", "dt", "dd", "menu"}, "table": {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, "text": {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}, "edge": set(ASIDE)}
 KIND_NAMES = ["other", *KINDS]
+_KIND = {t: next(i for i, k in enumerate(KIND_NAMES) if i and t in KINDS[k]) for t in set().union(*KINDS.values())}
 
 
 @dataclass
@@ -87,56 +102,167 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # node, text
 
 
+class Scanner:
+    """Markup pieces of a page, from left to right; nothing is looked at more than a few times."""
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self.missing: set[str] = set()  # strings that don't occur any more
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def __iter__(self) -> Iterator[tuple[str, str, list[str], bool]]:
+        """("text", text, ...), ("open", name, values of the named attributes, closed at once) and ("close", name, ...)."""
+        source, size = self.source, len(self.source)
+        while self.at < size:
+            mark = self.find("<", self.at)
+            while 0 <= mark < size - 1 and not (source[mark + 1] in "/!?" or (source[mark + 1].isascii() and source[mark + 1].isalpha())):
+                mark = self.find("<", mark + 1)
+            if mark < 0 or mark == size - 1:
+                yield "text", source[self.at :], [], False
+                return
+            if mark > self.at:
+                yield "text", source[self.at : mark], [], False
+            after = source[mark + 1]
+            self.at = size
+            if source.startswith("<!--", mark):
+                if source.startswith((">", "->"), mark + 4):
+                    self.at = source.index(">", mark + 4) + 1
+                elif (end := self.find("-->", mark + 4)) >= 0:
+                    self.at = end + 3
+            elif after in "!?" or (after == "/" and not (source[mark + 2 : mark + 3].isascii() and source[mark + 2 : mark + 3].isalpha())):
+                if (end := self.find(">", mark + 1)) >= 0:
+                    self.at = end + 1
+            elif after == "/":
+                name = _NAME.match(source, mark + 2)
+                if (end := self.find(">", name.end())) >= 0:
+                    self.at = end + 1
+                    yield "close", name[0].lower(), [], False
+            else:
+                name = _NAME.match(source, mark + 1)
+                end, values = self.attributes(name.end())
+                if end >= 0:
+                    self.at = end + 1
+                    yield "open", name[0].lower(), values, source[end - 1] == "/"
+
+    def attributes(self, at: int) -> tuple[int, list[str]]:
+        """The place of the tag's end, or -1, and the values of the named attributes."""
+        source, size, values = self.source, len(self.source), []
+        while at < size:
+            name = _ATTR_NAME.match(source, at)
+            at = name.end()
+            if at >= size:
+                return -1, values
+            if source[at] == ">":
+                return at, values
+            if source[at] != "=":
+                continue
+            at = _BLANK.match(source, at + 1).end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = self.find(quote, at + 1)
+                if end < 0:  # without a partner
+                    return self.find(">", at + 1), values
+                value, at = source[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(source, at)
+                value, at = bare[0], bare.end()
+            if name[1].lower() in NAMED:
+                values.append(value)
+        return -1, values
+
+
+def raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A)
+
+
+_RAW_ENDS = {name: raw_end(name) for name in RAW}
+
+
+class Open:
+    """The open elements: their names, nodes and, by name, their places."""
+
+    def __init__(self):
+        self.stack: list[list] = [["html", 0, True]]  # name, node, whether it still counts
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append([name, node, True])
+
+    def pop(self) -> str | None:
+        """The name of the innermost element, None for an inline one that was closed before."""
+        name, _, counts = self.stack.pop()
+        if counts:
+            self.places[name].pop()
+        return name if counts else None
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost element of these names, 0 if none is open."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def count(self, name: str) -> int:
+        return len(self.places.get(name, ()))
+
+
 def parse(source: str | None) -> Page:
     """The tree of block elements and the text blocks in page order."""
     page = Page([Node("html", -1, 0, frozenset(), frozenset())])
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements, inline ones too, with the node that they stand in
-    parts: list[str] = []
-    links = hidden = 0
-    linked = 0
-    at, source = 0, source or ""
-    lowered = source.lower()
+    opened, scanner = Open(), Scanner(source or "")
+    stack, parts = opened.stack, []
+    hidden = linked = 0
+    blocks_at: list[int] = [0]  # places of the open blocks
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            node = page.nodes[stack[-1][1]]
-            page.blocks.append((stack[-1][1], text))
-            node.chars += len(text)
-            node.linked += min(linked, len(text))
-            node.stops += text.count(". ") + text.endswith((".", "!", "?"))
-        parts.clear()
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                node = page.nodes[stack[-1][1]]
+                page.blocks.append((stack[-1][1], text))
+                node.chars += len(text)
+                node.linked += min(linked, len(text))
+                node.stops += text.count(". ") + text.endswith((".", "!", "?"))
+            parts.clear()
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal links, hidden
-        while len(stack) > depth:
-            name = stack[-1][0]
-            if name in BLOCKS:
+    def close(place: int) -> None:
+        nonlocal hidden
+        while len(stack) > place:
+            if stack[-1][0] in BLOCKS:
                 flush()
-            links -= name == "a"
+                blocks_at.pop()
+            name = opened.pop()
             hidden -= name in HIDDEN
-            stack.pop()
-
-    while at < len(source):
-        m = _TAG.search(source, at)
-        chunk = source[at : m.start() if m else len(source)]
-        if chunk and not hidden:
-            parts.append(chunk)
-            linked += len(chunk) if links else 0
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    for kind, name, values, ended in scanner:
+        if kind == "text":
+            if not hidden:
+                parts.append(name)
+                linked += len(name) if opened.count("a") else 0
             continue
-        name = m[2].lower()
-        if m[1]:
-            place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if name == "br":
+        if kind == "close":
+            place = opened.last((name,))
+            if name == "br" and not hidden:
                 parts.append(" ")
-            if place:
+            elif not place:
+                if name == "p":
+                    flush()
+            elif name in BLOCKS:
+                if name in TABLE_PARTS or place > opened.last(CELLS):
+                    close(place)
+            elif place > blocks_at[-1]:
                 close(place)
+            else:  # an inline element that holds open blocks: it ends, they stay
+                opened.places[name].pop()
+                stack[place][2] = False
+                hidden -= name in HIDDEN
             continue
         if name in VOID:
             if name == "hr":
@@ -145,36 +271,37 @@ def parse(source: str | None) -> Page:
                 parts.append(" ")
             continue
         if name in RAW:
-            end = lowered.find(f"</{name}", at)
-            close_at = source.find(">", end) if end >= 0 else -1
-            at = close_at + 1 if close_at >= 0 else len(source)
+            end = _RAW_ENDS[name].search(scanner.source, scanner.at) if name not in scanner.missing else None
+            if end is None:
+                scanner.missing.add(name)
+            scanner.at = end.end() if end else len(scanner.source)
             continue
-        if m[3].endswith("/") and name not in BLOCKS:
-            continue
-        if name in ("html", "body") and any(s[0] == name for s in stack[1:] if name == "body") or name == "html":
+        if (ended and name not in BLOCKS) or name == "html" or (name == "body" and opened.count("body")):
             continue
         if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in BARS[name]:
-                    break
-                if stack[k][0] in CLOSES[name]:
-                    close(k)
-                    break
+            place = opened.last(CLOSES[name])
+            if place > opened.last(BARS[name]):
+                close(min(p for n in CLOSES[name] if (p := (opened.places.get(n) or [0])[-1]) > opened.last(BARS[name])))
         elif name in BLOCKS:
-            opened = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-            if opened:
-                close(opened)
+            place = opened.last(("p",))
+            if place > opened.last(CELLS):
+                close(place)
+            if name in HEADINGS and stack[-1][0] in HEADINGS:
+                close(len(stack) - 1)
+        elif name == "a" and (place := opened.last(("a",))) > blocks_at[-1]:
+            close(place)
         if name in BLOCKS:
             flush()
-            words = _WORD.findall(" ".join(x for t in _ATTR.findall(m[3]) for x in t).lower())
+            words = _WORD.findall(" ".join(values).lower())
             up = stack[-1][1]
             parent = page.nodes[up]
-            above = parent.above | {parent.tag} | {f"word:{g}" for g in parent.groups}
+            above = {parent.tag} | {f"word:{g}" for g in parent.groups}
+            above = parent.above if above <= parent.above else parent.above | above
             page.nodes.append(Node(name, up, parent.depth + 1, frozenset(_GROUP[w] for w in words if w in _GROUP), above))
-            stack.append((name, len(page.nodes) - 1))
+            blocks_at.append(len(stack))
+            opened.push(name, len(page.nodes) - 1)
         else:
-            stack.append((name, stack[-1][1]))
-        links += name == "a"
+            opened.push(name, stack[-1][1])
         hidden += name in HIDDEN
     close(1)
     flush()
@@ -188,7 +315,7 @@ def unary(page: Page) -> list[list[int]]:
         f = ["bias", f"tag:{n.tag}" if n.tag in BLOCKS else "bias"]
         f += [f"word:{g}" for g in n.groups]
         f += [f"in:{t}" for t in n.above if t in ASIDE or t in ("article", "main")]
-        f += [f"in-word:{g[5:]}" for g in n.above if g.startswith("word:")]
+        f += [f"in-{g}" for g in n.above if g.startswith("word:")]
         if 5 * n.linked > n.chars:
             f.append("links:most" if 2 * n.linked > n.chars else "links:some")
         f.append("text:none" if not n.chars else "text:short" if n.chars < 40 else "text:middle" if n.chars < 200 else "text:long")
@@ -204,11 +331,20 @@ def unary(page: Page) -> list[list[int]]:
 class Forest:
     """The nodes of many pages as arrays; parents stand before their children."""
 
-    features: np.ndarray  # node x feature, 0 or 1
+    features: np.ndarray  # feature numbers of all nodes, one node after the other
+    owner: np.ndarray  # the node of each
     parent: np.ndarray
     kind: np.ndarray
     levels: list[np.ndarray]  # nodes of each depth, the roots first
 
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """For each node, the sum of its features' weights."""
+        return np.bincount(self.owner, weights[self.features], len(self.parent))
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """For each feature, the sum of the values of the nodes that have it."""
+        return np.bincount(self.features, values[self.owner], len(FEATURES))
+
 
 def forest(pages: list[Page]) -> Forest:
     parent, depth, kind, rows = [], [], [], []
@@ -218,12 +354,12 @@ def forest(pages: list[Page]) -> Forest:
         for n in page.nodes:
             parent.append(n.parent + base if n.parent >= 0 else -1)
             depth.append(n.depth)
-            kind.append(next((i for i, k in enumerate(KIND_NAMES) if i and n.tag in KINDS[k]), 0))
-    features = np.zeros((len(rows), len(FEATURES)), np.float32)
-    features[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), [x for r in rows for x in r]] = 1
+            kind.append(_KIND.get(n.tag, 0))
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    features = np.fromiter((x for r in rows for x in r), np.int64, len(owner))
     depth = np.array(depth, np.int64)
     order = np.argsort(depth, kind="stable")
-    return Forest(features, np.array(parent, np.int64), np.array(kind, np.int64), np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else [])
+    return Forest(features, owner, np.array(parent, np.int64), np.array(kind, np.int64), np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else [])
 
 
 @dataclass
@@ -237,26 +373,50 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (most + np.log(np.exp(x - most).sum(axis, keepdims=True))).squeeze(axis)
 
 
+#: Levels of fewer nodes are worked on node by node: a page may be one deep chain.
+NARROW = 4
+
+
+def _log_add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def marginals(trees: Forest, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """P(node is content) and, for each node but roots, P(parent, child), by messages up and then down the trees."""
     n = len(trees.parent)
     own = np.zeros((n, 2))
-    own[:, 1] = trees.features @ model.weights
+    own[:, 1] = trees.sums(model.weights)
     up = np.zeros((n, 2))  # of a node to its parent
     below = own.copy()
+    pairs = model.pairs.tolist()
     for level in reversed(trees.levels[1:]):
+        if len(level) < NARROW:
+            for i in level.tolist():
+                a, b = below[i].tolist()
+                (w, x), (y, z) = pairs[trees.kind[i]]
+                up[i] = message = (_log_add(a + w, b + x), _log_add(a + y, b + z))
+                below[trees.parent[i]] += message
+            continue
         up[level] = _log_sum(below[level][:, None, :] + model.pairs[trees.kind[level]], 2)
         np.add.at(below, trees.parent[level], up[level])
     down = np.zeros((n, 2))
-    pair = np.zeros((n, 2, 2))
     for level in trees.levels[1:]:
+        if len(level) < NARROW:
+            for i in level.tolist():
+                above = trees.parent[i]
+                a, b = (below[above] - up[i] + down[above]).tolist()
+                (w, x), (y, z) = pairs[trees.kind[i]]
+                down[i] = (_log_add(a + w, b + y), _log_add(a + x, b + z))
+            continue
         above = trees.parent[level]
         rest = below[above] - up[level] + down[above]
-        joint = rest[:, :, None] + model.pairs[trees.kind[level]]
-        down[level] = _log_sum(joint, 1)
-        joint = joint + below[level][:, None, :]
-        joint = np.exp(joint - joint.max((1, 2), keepdims=True))
-        pair[level] = joint / joint.sum((1, 2), keepdims=True)
+        down[level] = _log_sum(rest[:, :, None] + model.pairs[trees.kind[level]], 1)
+    pair = np.zeros((n, 2, 2))
+    child = np.flatnonzero(trees.parent >= 0)
+    above = trees.parent[child]
+    joint = (below[above] - up[child] + down[above])[:, :, None] + model.pairs[trees.kind[child]] + below[child][:, None, :]
+    joint = np.exp(joint - joint.max((1, 2), keepdims=True)) if len(child) else joint
+    pair[child] = joint / joint.sum((1, 2), keepdims=True)
     belief = below + down
     return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700))), pair
 
@@ -269,15 +429,15 @@ def fit(pages: list[Page], steps: int = STEPS, rate: float = RATE) -> Model:
     trees = forest(pages)
     label = np.array([n.label for p in pages for n in p.nodes])
     child = trees.parent >= 0
-    seen = trees.features.T @ label
+    seen = trees.totals(label)
     seen_pairs = np.zeros_like(model.pairs)
     np.add.at(seen_pairs, (trees.kind[child], label[trees.parent[child]], label[child]), 1)
-    uses, pair_uses = np.maximum(trees.features.sum(0), 1), np.maximum(np.bincount(trees.kind[child], minlength=len(KIND_NAMES)), 1)[:, None, None]
+    uses, pair_uses = np.maximum(np.bincount(trees.features, minlength=len(FEATURES)), 1), np.maximum(np.bincount(trees.kind[child], minlength=len(KIND_NAMES)), 1)[:, None, None]
     for _ in range(steps):
         content, pair = marginals(trees, model)
         expected = np.zeros_like(model.pairs)
         np.add.at(expected, trees.kind[child], pair[child])
-        model.weights += rate * ((seen - trees.features.T @ content) / uses - DECAY * model.weights)
+        model.weights += rate * ((seen - trees.totals(content)) / uses - DECAY * model.weights)
         model.pairs += rate * ((seen_pairs - expected) / pair_uses - DECAY * model.pairs)
     return model
 

@@ -166,7 +166,7 @@ def test_marginals_against_enumeration():
     total, ones = 0.0, np.zeros(n)
     for bits in range(1 << n):
         y = [(bits >> i) & 1 for i in range(n)]
-        s = sum(float(trees.features[i] @ model.weights) * y[i] for i in range(n)) + sum(model.pairs[trees.kind[i], y[trees.parent[i]], y[i]] for i in range(1, n))
+        s = sum(float(trees.sums(model.weights)[i]) * y[i] for i in range(n)) + sum(model.pairs[trees.kind[i], y[trees.parent[i]], y[i]] for i in range(1, n))
         total += math.exp(s)
         ones += np.array(y) * math.exp(s)
     assert op3_html_text.marginals(trees, model)[0] == pytest.approx(ones / total)
@@ -185,6 +185,51 @@ def test_layouts(spark):
     assert op3_html_text.extract(pages.limit(0), op3_html_text.train(pages.limit(0))).count() == 0
 
 
+#: Layouts that training never sees: class names and structures of their own, and the main text of each.
+OTHER_LAYOUTS = [
+    ('<body><div id="page-top"><a>Gazette</a> <a>Log in</a></div><div class="wrap"><div class="leftcol"><ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul></div><div class="centre"><h1>{0}</h1><p>{1}</p><p>{2}</p></div></div><div class="bottomline"><a>Terms</a> <a>Privacy</a></div></body>', "{0}\n{1}\n{2}"),
+    ('<body><nav><a>Home</a></nav><article><h2>{0}</h2><div><p>{1}</p><ol><li>{2}</li><li>{3}</li></ol></div></article><footer><p>Made by hand.</p></footer></body>', "{0}\n{1}\n{2}\n{3}"),
+    ('<body><header><p>Daily</p></header><main><p>{1}</p><blockquote>{2}</blockquote><pre>{3}</pre></main><aside><p>{0}</p></aside></body>', "{1}\n{2}\n{3}"),
+    ('<html><body><ul><li><a>Start</a></li><li><a>Archive</a></li></ul><p>{1}<p>{2}<p>{3}<div><a>Next</a> <a>Previous</a></div></body></html>', "{1}\n{2}\n{3}"),
+    ('<body><section><h1>{0}</h1><p>{1} <b>bold</b> <i>words</i></p><table><tr><th>{2}<td>{3}</table></section><div id="disqus_thread"><p>{1}</p></div></body>', "{0}\n{1} bold words\n{2}\n{3}"),
+]
+
+
+def test_unseen_layouts(spark):
+    semantic = [f"<html><body><nav><a>Home</a></nav><article><h1>T {i}</h1><p>{prose(30, i)}.</p></article><footer>&copy; x</footer></body></html>" for i in range(60)]
+    model = op3_html_text.train(spark.createDataFrame([(i, h) for i, h in enumerate(semantic)], "page_id long, html string"))
+    hit = found = wanted = 0
+    for seed in range(5):
+        fill = [f"{prose(6, 50 + seed).capitalize()}", *(f"{prose(40, 60 + 7 * seed + k).capitalize()}. {prose(25, 90 + k)}." for k in range(3))]
+        for source, main in OTHER_LAYOUTS:
+            got = collections.Counter(op3_html_text.main_texts([source.format(*fill)], model)[0].split("\n"))
+            aim = collections.Counter(main.format(*fill).split("\n"))
+            hit, found, wanted = hit + sum((got & aim).values()), found + sum(got.values()), wanted + sum(aim.values())
+    assert 2 * hit / (found + wanted) >= 0.9
+
+
+@pytest.mark.parametrize("source, blocks", [
+    ('<p class="x>Hello', ["Hello"]), ("<!-->x", ["x"]), ("a < b <", ["a < b <"]), ("<b><p>t</b> more</p>", ["t more"]), ("İ" * 30 + "<SCRIPT>x</sCript><p>next</p>", ["İ" * 30, "next"]),
+    ("<table><tr><td>x</div>y<td>z</table>w", ["xy", "z", "w"]), ("<p>a<h1>b<h2>c</h2>d", ["a", "b", "c", "d"]), ("<script>a", []), ("x</p>y", ["x", "y"]), ("<p>a</zz><zz>b", ["ab"]), ("a<b", ["a"]),
+])
+def test_odd_markup(source, blocks):
+    assert [t for _, t in op3_html_text.parse(source).blocks] == blocks
+
+
+@pytest.mark.parametrize("source", ["<a", "<a ", "<div>", "İ<script>", '<a href="', "<!--", "<b>", "<p><b>", "<li><div>", "<script>", "<td></div>"])
+def test_long_pages_take_linear_time(source):
+    page = "İ<p>first</p>" + source * (200_000 // len(source))
+    assert op3_html_text.main_texts([page], op3_html_text.Model()) == [""]
+    assert [t for _, t in op3_html_text.parse(page).blocks][1] == "first"
+
+
+def test_pages_repeat_and_names_clash(spark):
+    one = f"<article><h1>Title</h1><p>{prose(3000, 5)}.</p></article>"
+    pages = spark.createDataFrame([(1, "u", one, "x", 0), (1, "u", one, "x", 0), (None, None, one, "x", 0), (2, "u", None, "y", 1)], "page_id long, url string, html string, text string, n_chars int")
+    found = op3_html_text.extract(pages, op3_html_text.train(pages)).collect()
+    assert sorted((r["page_id"] or 0, r["text"]) for r in found) == sorted([(1, f"Title\n{prose(3000, 5)}.")] * 2 + [(0, f"Title\n{prose(3000, 5)}."), (2, "")])
+
+
 def test_references_and_space():
     page = op3_html_text.parse("<article><p> a&amp;b&nbsp;&#233;\n c<br>d <span>e</span></p><ul><li>f<li>g</ul><!-- no --><style>p{}</style></article>")
     assert [t for _, t in page.blocks] == ["a&b é c d e", "f", "g"]
