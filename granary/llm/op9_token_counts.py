@@ -9,13 +9,16 @@ the sum over its path. A new token may follow an earlier one if BPE leaves the t
 
 Texts are cut into pieces as the tokenizer's pattern does, by array expressions over code point classes; a piece begins
 in the start state. The bytes of each text lie in chunks of `CHUNK` bytes and all chunks of a batch advance together,
-one array step for each byte. A chunk's state map is constant from its first piece start on, so the part before it is
-all that depends on the state before the chunk. A prefix scan composes the maps: for each chunk, the last synchronised
-chunk before it gives the state, and stretches without a piece start compose by concatenation; these heads advance
-together as well.
+one array step for each byte. A chunk has a map from the state before it to the state behind it and the tokens gained.
+The map of a chunk that holds a piece start is constant from there on, so only the bytes before it, its head, depend on
+what came before. Heads that follow each other without a piece start between them (a long word, a text without spaces)
+are mapped for the states that can occur before them: first for the start state, then for whatever states the maps
+before them lead to, all heads in parallel; a prefix scan by doubling composes the maps, until the path from each
+stretch's true state is known.
 
 Null counts as empty: 0 bytes, 0 tokens. Special strings inside a text count as one token each, as the library's
-default has it. Rows repeat as they come and additional columns are not read.
+default has it. Rows repeat as they come and additional columns are not read, whatever their names. Texts of any length
+are counted whole; an empty table gives an empty result. A count of exactly `limit` is not over it.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ CHUNK = 128
 #: States a task keeps; beyond them the transducer starts anew, compiled from the texts still to come.
 MAX_STATES = 600_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BIAS = 64
-_SHIFT = 7
+#: A transition's change of the count, plus _BIAS, stands in its lowest _SHIFT bits; no change exceeds the longest entry.
+_BIAS = 1 << 11
+_SHIFT = 12
+#: Rounds in which the heads' maps are widened before the rest of a stretch is walked in order.
+WIDEN = 40
 
 
 def byte_symbols() -> dict[str, int]:
@@ -75,6 +81,8 @@ class Transducer:
     """The lazily compiled machine. State 0 is the start of a piece, state 1 takes everything and counts nothing."""
 
     def __init__(self, vocab: list[bytes], ranks: dict[tuple[bytes, bytes], int], max_states: int = MAX_STATES):
+        if max(map(len, vocab), default=0) >= _BIAS:
+            raise ValueError("vocabulary entries are too long to pack changes of the count")
         self.ranks, self.max_states = ranks, max_states
         self.children: list[dict[int, int]] = [{}]
         self.token: list[bytes | None] = [None]
@@ -92,7 +100,7 @@ class Transducer:
     def reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.content: list[tuple] = []
-        self.keys, self.values, self.filled = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.keys, self.values, self.filled = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, np.int64), 0
         self.state(((0, None, 0),))
         self.state(("sink",))
         for byte in range(256):
@@ -114,7 +122,7 @@ class Transducer:
         if 2 * self.filled >= len(self.keys):
             old = self.keys >= 0
             keys, values = self.keys[old], self.values[old]
-            self.keys, self.values, self.filled = np.full(2 * len(self.keys), -1, np.int64), np.zeros(2 * len(self.keys), np.int32), 0
+            self.keys, self.values, self.filled = np.full(2 * len(self.keys), -1, np.int64), np.zeros(2 * len(self.keys), np.int64), 0
             slot, todo = self.slots(keys), np.arange(len(keys))
             while len(todo):
                 free = self.keys[slot[todo]] < 0
@@ -149,26 +157,6 @@ class Transducer:
             self.may_follow[key] = merge((left or b"") + right, self.ranks) == ([left, right] if left else [right])
         return self.may_follow[key]
 
-    def _count_below(self) -> None:
-        for node in range(len(self.token) - 1, -1, -1):  # children have higher numbers than their parents
-            self.below[node] = (self.token[node] is not None) + sum(self.below[c] for c in self.children[node].values())
-
-    def grows(self, node: int, last: bytes | None) -> bool:
-        """Whether some longer vocabulary entry through `node` may follow the token `last`; large subtrees count as yes."""
-        if not self.children[node] or self.below[node] > LARGE:
-            return bool(self.children[node])
-        key = (node, last)
-        if key not in self.may_grow:
-            if len(self.may_grow) > 2_000_000:
-                self.may_grow.clear()
-            todo, found = list(self.children[node].values()), False
-            while todo and not found:
-                n = todo.pop()
-                found = self.token[n] is not None and self.follows(last, self.token[n])
-                todo += self.children[n].values()
-            self.may_grow[key] = found
-        return self.may_grow[key]
-
     def compile(self, state: int, byte: int) -> None:
         """Add the transition from a state by a byte: next state and change of the count, packed."""
         grown = [(self.children[node][byte], last, more) for node, last, more in self.content[state] if byte in self.children[node]]
@@ -294,18 +282,101 @@ def count_tokens(texts: list[str], machine: Transducer) -> np.ndarray:
     last = np.maximum.accumulate(np.where(synced, np.arange(len(owner)), 0))
     previous = np.concatenate([[0], last[:-1]])
     ends = np.flatnonzero((head > 0) & (synced | np.concatenate([owner[1:] != owner[:-1], [True]])))
-    begin = (previous[ends] + 1) * CHUNK
-    stop = ends * CHUNK + head[ends]
-    order = np.argsort(begin - stop, kind="stable")
-    begin, length, at = begin[order], (stop - begin)[order], states[previous[ends]][order]
+    lead = previous[ends]  # the chunk whose state a stretch begins with
+    heads = ends - lead  # heads of a stretch, the last one perhaps shorter than a chunk
+    first = np.cumsum(heads) - heads
+    chunk = np.arange(int(heads.sum())) - np.repeat(first - lead - 1, heads)
+    gain = stretches(machine, cells, real, chunk * CHUNK, np.minimum(head[chunk], CHUNK), first, states[lead].astype(np.int64))
+    counts += np.bincount(owner[ends], gain, len(texts)).astype(np.int64)
+    return counts
+
+
+def advance(machine: Transducer, cells: np.ndarray, real: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States behind stretches of cells and the tokens gained, from the states before them, all together."""
+    order = np.argsort(-length, kind="stable")
+    begin, length, at = begin[order], length[order], at[order].astype(np.int64)
     gain = np.zeros(len(order), np.int64)
     for j in range(int(length.max(initial=0))):
         n = int(np.searchsorted(-length, -j, side="left"))
         spot = begin[:n] + j
-        at[:n], change = machine.step(np.where(real[spot], at[:n], 1), cells[spot])
-        gain[:n] += change
-    counts += np.bincount(owner[ends[order]], gain, len(texts)).astype(np.int64)
-    return counts
+        live = real[spot]
+        new, change = machine.step(np.where(live, at[:n], 1), cells[spot])
+        at[:n] = np.where(live, new, at[:n])
+        gain[:n] += np.where(live, change, 0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return at[back], gain[back]
+
+
+def composed(nexts: np.ndarray, gains: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix compositions of maps over columns, [head, column] -> column before the next head (-1: not known) and gain,
+    by doubling; `lanes` is each head's place in its stretch."""
+    nexts, gains, step = nexts.copy(), gains.copy(), 1
+    while step <= int(lanes.max(initial=0)):
+        some = np.flatnonzero(lanes >= step)  # heads with a prefix that ends `step` before them
+        before = nexts[some - step]
+        known = before >= 0
+        column = np.where(known, before, 0)
+        new = np.where(known, np.take_along_axis(nexts[some], column, 1), -1)
+        more = np.where(known, np.take_along_axis(gains[some], column, 1), 0)
+        nexts[some], gains[some] = new, gains[some - step] + more
+        step *= 2
+    return nexts, gains
+
+
+def stretches(machine: Transducer, cells: np.ndarray, real: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Tokens gained over each stretch of heads: `first` is a stretch's first head, `at` the state before it."""
+    n = len(begin)
+    if not n:
+        return np.zeros(0, np.int64)
+    last = np.append(first[1:], n) - 1
+    lanes = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    # The first heads start from their true states, the others from the start of a piece until more is known.
+    known: list[dict[int, int]] = [{} for _ in range(n)]  # state before a head -> its column
+    start = np.zeros(n, np.int64)
+    start[first] = at
+    ends_at, gains = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)
+    todo, states = np.arange(n), start
+    for _ in range(WIDEN):
+        behind, more = advance(machine, cells, real, begin[todo], length[todo], states)
+        column = np.empty(len(todo), np.int64)
+        for k, (h, s) in enumerate(zip(todo.tolist(), states.tolist())):
+            column[k] = known[h].setdefault(s, len(known[h]))
+        wide = int(column.max()) + 1
+        if wide > ends_at.shape[1]:
+            pad = wide - ends_at.shape[1]
+            ends_at, gains = np.pad(ends_at, ((0, 0), (0, pad)), constant_values=-1), np.pad(gains, ((0, 0), (0, pad)))
+        ends_at[todo, column], gains[todo, column] = behind, more
+        nexts = np.full(ends_at.shape, -1, np.int64)
+        new: list[tuple[int, int]] = []
+        inner = np.flatnonzero(lanes[1:] > 0) if n > 1 else np.empty(0, np.int64)  # heads that have a next one
+        for h in inner.tolist():
+            for k, s in enumerate(ends_at[h].tolist()):
+                if s >= 0:
+                    place = known[h + 1].get(s, -1)
+                    nexts[h, k] = place
+                    if place < 0 and (h + 1, s) not in new[-ends_at.shape[1] :]:
+                        new.append((h + 1, s))
+        nexts[last] = np.where(ends_at[last] >= 0, 0, -1)
+        total_next, total = composed(nexts, gains, lanes)
+        done = total_next[last, 0] >= 0
+        if done.all():
+            return total[last, 0]
+        # Heads of finished stretches need no more states.
+        unfinished = np.repeat(~done, np.diff(np.append(first, n)))
+        new = [x for x in new if unfinished[x[0]]]
+        todo, states = np.array([h for h, _ in new], np.int64), np.array([s for _, s in new], np.int64)
+    found = total[last, 0]
+    for k in np.flatnonzero(~done).tolist():
+        state, found[k] = np.array([at[k]]), 0
+        for h in range(int(first[k]), int(last[k]) + 1):
+            column = known[h].get(int(state[0]))
+            if column is None:
+                state, more = advance(machine, cells, real, begin[h : h + 1], length[h : h + 1], state)
+                found[k] += int(more[0])
+            else:
+                state, found[k] = np.array([ends_at[h, column]]), found[k] + gains[h, column]
+    return found
 
 
 def count_batch(texts: list[str | None], path: str) -> list[int]:

@@ -565,3 +565,29 @@ def test_gradient_raises_the_likelihood():
     for _ in range(20):
         op10_maxent_lm.gradient_pass(w, squares, uses, rows, classes)
     assert op10_maxent_lm.log_softmax(op10_maxent_lm.class_scores(w, rows))[np.arange(4000), classes].mean() > before * 0.6
+
+
+@pytest.mark.parametrize("widen", [1, 2, 40])
+def test_long_pieces_compose(monkeypatch, tokenizer, widen):
+    monkeypatch.setattr(op9_token_counts, "WIDEN", widen)
+    import public_tokenizers
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(5000)), "a" * 3001, "thetionment" * 300, prose(700, 3).replace(" ", ""), "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(900)), "-=" * 700 + " x", "é" * 999]
+    texts += ["".join(r.choice("abxyz漢-") for _ in range(r.randint(100, 900))) + r.choice(["", " tail"]) for _ in range(40)]
+    wanted = [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert op9_token_counts.count_batch(texts, public_tokenizers.path("byte_bpe_50k.json")) == wanted
+
+
+def test_composed_prefixes():
+    r = np.random.default_rng(4)
+    sizes = np.array([1, 7, 2, 16, 5])
+    lanes = np.concatenate([np.arange(k) for k in sizes])
+    nexts, gains = r.integers(-1, 3, (len(lanes), 3)), r.integers(0, 9, (len(lanes), 3))
+    found, total = op9_token_counts.composed(nexts, gains, lanes)
+    for h in range(len(lanes)):
+        for c in range(3):
+            at, n = c, 0
+            for k in range(h - lanes[h], h + 1):
+                n, at = (n + gains[k, at], nexts[k, at]) if at >= 0 else (n, -1)
+            assert found[h, c] == at and (at < 0 or total[h, c] == n)
