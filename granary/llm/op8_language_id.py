@@ -9,9 +9,13 @@ of labelled rows (`sample_docs` whole texts per language, picked by a hash of th
 counts of all training rows. Every text is scored whole, in vectorised dynamic programs over the batch's distinct
 words.
 
-Null texts and texts without a letter are `und` with score 0. Words longer than `SEGMENT` bytes are scored as
-consecutive stretches of that many bytes. Rows repeat as they come; additional columns are not read. With no labelled
-row every text is `und`.
+Every word is summed over all its segmentations into entries of the whole vocabulary, whatever its length: sums of short
+words are kept as probabilities, those of long ones, which would underflow, as their logarithms, which is the same sum.
+
+Null texts and texts without a letter are `und` with score 0. Equal posteriors give the language first in order. Rows
+repeat as they come; additional columns are not read, and a column of the result's name is replaced. With no labelled
+row every text is `und` and `reject` takes away only texts without letters. An empty table gives an empty result. The
+labels are a bounded set: over `MAX_LANGS` of them are an error.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ from granary.llm import common
 #: Whole texts per language that the piece probabilities are fitted on, about.
 SAMPLE_DOCS = 400
 ROUNDS = 3
-MAX_PIECE = 12
-SEGMENT = 32
+MAX_LANGS = 500
+#: Bytes of a word up to which its sums stay above underflow, and cells (bytes x words) of one dynamic program.
+PLAIN, CELLS = 30, 250_000
 #: Words whose log probabilities a task remembers.
 MEMO_WORDS = 250_000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -42,13 +47,12 @@ _VOCAB = "byte_bpe_50k.tiktoken"
 UNKNOWN = "und"
 
 
-def vocabulary(path: str | None = None, max_piece: int = MAX_PIECE) -> dict[bytes, int]:
-    """Pieces of at most `max_piece` bytes, numbered; all single bytes are among them."""
+def vocabulary(path: str | None = None) -> dict[bytes, int]:
+    """All pieces, numbered; all single bytes are among them."""
     import public_tokenizers
 
     with open(path or public_tokenizers.path(_VOCAB), "rb") as lines:
         pieces = [base64.b64decode(line.split()[0]) for line in lines]
-    pieces = [p for p in pieces if len(p) <= max_piece]
     known = set(pieces)
     pieces += [bytes([b]) for b in range(256) if bytes([b]) not in known]
     return {p: i for i, p in enumerate(pieces)}
@@ -65,15 +69,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words with the space before them, A-Z lower-cased, cut into stretches of SEGMENT bytes."""
-    out = []
-    for w in text.encode("utf-8", "replace").translate(_LOWER).split():
-        w = b" " + w
-        if len(w) <= SEGMENT:
-            out.append(w)
-        else:
-            out += [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-    return out
+    """Words with the space before them, A-Z lower-cased."""
+    return [b" " + w for w in text.encode("utf-8", "replace").translate(_LOWER).split()]
 
 
 class Trie:
@@ -120,96 +117,134 @@ def trie(path: str | None = None) -> Trie:
     return Trie(vocabulary(path))
 
 
-def lattice(words: list[bytes], tree: Trie, max_piece: int = MAX_PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """[start, length - 1, word] -> piece number or -1, and the words' lengths."""
+@dataclass
+class Lattice:
+    """Every occurrence of a piece in a group of words, by its start; `edges[i]` is where those that start at i begin."""
+
+    sizes: np.ndarray
+    word: np.ndarray
+    length: np.ndarray
+    piece: np.ndarray
+    edges: np.ndarray
+
+    def at(self, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, ends and pieces; no word has an end twice."""
+        own = slice(self.edges[start], self.edges[start + 1])
+        return self.word[own], start + self.length[own], self.piece[own]
+
+
+def lattice(words: list[bytes], tree: Trie) -> Lattice:
     sizes = np.array([len(w) for w in words])
     most = int(sizes.max())
-    data = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(len(words), most)
-    found = np.full((most, min(max_piece, most), len(words)), -1, np.int32)
-    word, start = np.nonzero(np.arange(most) < sizes[:, None])
-    node = np.zeros(len(word), np.int32)
-    for k in range(found.shape[1]):
+    data = np.frombuffer(b"".join(words), np.uint8)
+    word = np.repeat(np.arange(len(words)), sizes)
+    start = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(data))
+    node = np.zeros(len(data), np.int32)
+    found: list[tuple] = []
+    k = 0
+    while len(word):
         fits = start + k < sizes[word]
-        word, start, node = word[fits], start[fits], node[fits]
-        node = tree.child(node, data[word, start + k])
-        word, start, node = word[node >= 0], start[node >= 0], node[node >= 0]
-        found[start, k, word] = tree.piece[node]
-    return found, sizes
-
-
-def forward(lat: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """alpha[position, word, language]; at a word's length stands the sum over all its segmentations."""
-    size, most, n = lat.shape
-    alpha = np.zeros((size + 1, n, probs.shape[1]))
-    alpha[0] = 1
-    for i in range(size):
-        for k in range(min(most, size - i)):
-            some = np.flatnonzero(lat[i, k] >= 0)
-            if len(some):
-                alpha[i + k + 1, some] += alpha[i, some] * probs[lat[i, k, some]]
+        word, start, place, node = word[fits], start[fits], place[fits], node[fits]
+        node = tree.child(node, data[place + k])
+        some = node >= 0
+        word, start, place, node = word[some], start[some], place[some], node[some]
+        ends = tree.piece[node] >= 0
+        found.append((start[ends], word[ends], np.full(int(ends.sum()), k + 1), tree.piece[node[ends]]))
+        k += 1
+    starts, owners, lengths, pieces = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(starts, kind="stable")
+    edges = np.searchsorted(starts[order], np.arange(most + 1))
+    return Lattice(sizes, owners[order], lengths[order], pieces[order], np.append(edges, len(order))[: most + 1])
+
+
+def forward(lat: Lattice, probs: np.ndarray, logs: bool) -> np.ndarray:
+    """alpha[position, word, language]; at a word's length stands the sum over all its segmentations. `logs`: `probs` and
+    the sums are logarithms."""
+    most, n = int(lat.sizes.max()), len(lat.sizes)
+    alpha = np.full((most + 1, n, probs.shape[1]), -np.inf if logs else 0.0)
+    alpha[0] = 0 if logs else 1
+    for i in range(most):
+        word, end, piece = lat.at(i)
+        if logs:
+            alpha[end, word] = np.logaddexp(alpha[end, word], alpha[i, word] + probs[piece])
+        else:
+            alpha[end, word] += alpha[i, word] * probs[piece]
     return alpha
 
 
-def backward(lat: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    size, most, n = lat.shape
-    beta = np.zeros((size + 1, n, probs.shape[1]))
-    beta[sizes, np.arange(n)] = 1
-    for i in range(size - 1, -1, -1):
-        for k in range(min(most, size - i)):
-            some = np.flatnonzero(lat[i, k] >= 0)
-            if len(some):
-                beta[i, some] += beta[i + k + 1, some] * probs[lat[i, k, some]]
+def backward(lat: Lattice, probs: np.ndarray, logs: bool) -> np.ndarray:
+    most, n = int(lat.sizes.max()), len(lat.sizes)
+    beta = np.full((most + 1, n, probs.shape[1]), -np.inf if logs else 0.0)
+    beta[lat.sizes, np.arange(n)] = 0 if logs else 1
+    for i in range(most - 1, -1, -1):
+        word, end, piece = lat.at(i)
+        order = np.argsort(word, kind="stable")
+        word, end, piece = word[order], end[order], piece[order]
+        if not len(word):
+            continue
+        edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        if logs:
+            beta[i, word[edges]] = np.logaddexp.reduceat(beta[end, word] + probs[piece], edges, axis=0)
+        else:
+            beta[i, word[edges]] = np.add.reduceat(beta[end, word] * probs[piece], edges, axis=0)
     return beta
 
 
-def by_length(words: list[bytes], step: int = 8000) -> Iterator[list[bytes]]:
-    """The words in groups of like lengths."""
-    groups: dict[int, list[bytes]] = {}
-    for w in words:
-        groups.setdefault(-(-len(w) // 5), []).append(w)
-    for group in groups.values():
-        for i in range(0, len(group), step):
-            yield group[i : i + step]
+def by_length(words: list[bytes]) -> Iterator[tuple[list[bytes], bool]]:
+    """The words in groups of like lengths and of CELLS cells at most, or of one word; whether they are long ones."""
+    held: list[bytes] = []
+    for w in sorted(words, key=len):
+        if held and ((len(held) + 1) * len(w) > CELLS or (len(w) > PLAIN) != (len(held[0]) > PLAIN) or len(w) > 1.25 * len(held[0]) + 2):
+            yield held, len(held[0]) > PLAIN
+            held = []
+        held.append(w)
+    if held:
+        yield held, len(held[0]) > PLAIN
 
 
 def log_probs(words: list[bytes], tree: Trie, probs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The words, in another order, and their log probabilities by language."""
-    order, found = [], [np.zeros((0, probs.shape[1]))]
-    for group in by_length(words):
-        lat, sizes = lattice(group, tree)
+    order, found, log = [], [np.zeros((0, probs.shape[1]))], np.log(probs)
+    for group, long in by_length(words):
+        lat = lattice(group, tree)
         order += group
-        found.append(np.log(forward(lat, probs)[sizes, np.arange(len(group))]))
+        sums = forward(lat, log if long else probs, long)[lat.sizes, np.arange(len(group))]
+        found.append(sums if long else np.log(sums))
     return order, np.vstack(found)
 
 
 def expected_counts(counts: dict[bytes, np.ndarray], tree: Trie, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece by language, for words with counts by language."""
-    gathered = np.zeros_like(probs)
-    for group in by_length(list(counts)):
-        lat, sizes = lattice(group, tree)
-        alpha, beta = forward(lat, probs), backward(lat, sizes, probs)
-        weight = np.array([counts[w] for w in group]) / alpha[sizes, np.arange(len(group))]
-        for i in range(lat.shape[0]):
-            for k in range(min(lat.shape[1], lat.shape[0] - i)):
-                some = np.flatnonzero(lat[i, k] >= 0)
-                if len(some):
-                    ids = lat[i, k, some]
-                    np.add.at(gathered, ids, weight[some] * alpha[i, some] * beta[i + k + 1, some] * probs[ids])
+    gathered, log = np.zeros_like(probs), np.log(probs)
+    for group, long in by_length(list(counts)):
+        lat = lattice(group, tree)
+        alpha, beta = forward(lat, log if long else probs, long), backward(lat, log if long else probs, long)
+        whole = alpha[lat.sizes, np.arange(len(group))]
+        weight = np.array([counts[w] for w in group])
+        start = np.repeat(np.arange(len(lat.edges) - 1), np.diff(lat.edges))
+        for at in range(0, len(start), CELLS):
+            i, w, piece = start[at : at + CELLS], lat.word[at : at + CELLS], lat.piece[at : at + CELLS]
+            end = i + lat.length[at : at + CELLS]
+            share = np.exp(alpha[i, w] + beta[end, w] + log[piece] - whole[w]) if long else alpha[i, w] * beta[end, w] * probs[piece] / whole[w]
+            for k in range(probs.shape[1]):
+                gathered[:, k] += np.bincount(piece, share[:, k] * weight[w, k], len(probs))
     return gathered
 
 
 def train(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc_id", column: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """A model from the rows where `training` holds and the label isn't null."""
     rows = docs.filter(training & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(column).alias("text"))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    totals = {r["lang"]: r["n"] for r in per_lang.limit(MAX_LANGS + 1).collect()}
+    if len(totals) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages among the labels")
     langs = sorted(totals)
     vocab, tree = vocabulary(), trie()
     if not langs:
         return Model([], np.zeros(0), np.zeros((len(vocab), 0)))
-    parts = F.lit(0)
-    for name in langs:
-        parts = F.when(F.col("lang") == name, F.lit(min(1_000_000, sample_docs * 1_000_000 // totals[name] + 1))).otherwise(parts)
-    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < parts)
+    shares = docs.sparkSession.createDataFrame([(name, min(1_000_000, sample_docs * 1_000_000 // n + 1)) for name, n in totals.items()], "lang string, share long")
+    picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +270,11 @@ def train(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc
 
 
 def predict(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred", "score"), column: str = "text") -> DataFrame:
-    """`docs` with the predicted language and its posterior probability."""
+    """`docs` with the predicted language and its posterior probability, in place of columns of their names."""
+    if column in into:
+        raise ValueError("the text's column can't hold the result")
+    kept_names = [c for c in docs.columns if c not in into]
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept_names))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -269,7 +308,10 @@ def predict(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred",
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.5, column: str = "text") -> DataFrame:
-    """`docs` without rows of no language: those without letters and those whose best posterior is under `least`."""
+    """`docs` without rows of no language: those without letters and those whose best posterior is under `least`. A model
+    that learnt from no labelled row rejects only the former."""
+    if not model.langs:
+        return docs.filter(F.col(f"`{column}`").rlike(r"\p{L}"))
     names = docs.columns
     numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
     judged = predict(numbered, model, ("lang_pred", "score"), f"c{names.index(column)}")

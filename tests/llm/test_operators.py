@@ -482,6 +482,41 @@ def test_forward_sums_segmentations():
         assert gain / step == pytest.approx(gathered[p], rel=1e-3, abs=1e-4)
 
 
+def test_long_words_sum_all_segmentations():
+    tree, vocab = op8_language_id.trie(), op8_language_id.vocabulary()
+    probs = np.random.default_rng(3).random((len(vocab), 2)) ** 3 + 1e-9
+    probs /= probs.sum(0)
+    longest = max(map(len, vocab))
+    words = [b" " + ("ab漢字é" * 60).encode()[:500], b" " + b"-" * 300, b" " + prose(60, 5).replace(" ", "").encode(), b" short", b" " + b"a" * 29, b" " + b"a" * 30]
+
+    def total(word):  # by logs, from the end
+        log = np.log(probs)
+        sums = [np.full(2, -np.inf) for _ in word] + [np.zeros(2)]
+        for i in range(len(word) - 1, -1, -1):
+            for k in range(1, min(longest, len(word) - i) + 1):
+                if word[i : i + k] in vocab:
+                    sums[i] = np.logaddexp(sums[i], log[vocab[word[i : i + k]]] + sums[i + k])
+        return sums[0]
+
+    for w, x in zip(*op8_language_id.log_probs(words, tree, probs)):
+        assert x == pytest.approx(total(w), rel=1e-9)
+    gathered = op8_language_id.expected_counts({words[0]: np.ones(2)}, tree, probs)
+    piece, moved = int(gathered.sum(1).argmax()), probs.copy()
+    moved[piece] *= 1 + 1e-5
+    gain = op8_language_id.log_probs([words[0]], tree, moved)[1] - op8_language_id.log_probs([words[0]], tree, probs)[1]
+    assert gain[0] / 1e-5 == pytest.approx(gathered[piece], rel=1e-3)
+
+
+def test_language_columns_clash_and_no_labels(spark):
+    rows = [(1, "kalo mipe suta", "xx", "old", 9.0), (2, "漢字" * 400, "zh", "old", 9.0), (3, "kalo rone", "xx", "old", 9.0), (4, "123", None, "old", 9.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    found = {r["doc_id"]: r for r in op8_language_id.predict(docs, op8_language_id.train(docs, F.lit(True))).collect()}
+    assert [found[k]["lang_pred"] for k in (1, 2, 3, 4)] == ["xx", "zh", "xx", "und"] and found[4]["score"] == 0
+    bare = op8_language_id.train(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    kept = op8_language_id.reject(docs, bare)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+
+
 def test_languages(spark, odd, empty):
     kinds = {"xx": "kalo mipe suta rone", "yy": "zgrk bwtl ptsk mnvd", "zz": "éàö üñç ßøå îêô"}
     rows = []
