@@ -582,6 +582,47 @@ def test_language_model(spark, odd, empty):
     assert op10_maxent_lm.score_all(empty, F.lit(True)).count() == 0
 
 
+def test_score_is_a_normalised_product(spark):
+    rows = [(i, " ".join(random.Random(i).choice((VOCAB[:40], VOCAB[200:300])[i % 2]) for _ in range(50))) for i in range(120)] + [(200, "x" * 300 + " new é " + "y" * 65)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = op10_maxent_lm.train(docs.filter("doc_id <> 200").select("text"))
+    found = {r["doc_id"]: r["score"] for r in op10_maxent_lm.score(docs, model, counts).collect()}
+    c = collections.Counter(w for k, t in rows if k != 200 for w in words(t) + [b""])
+    other = [w for w in c if w not in model.leaves]
+    n = [sum(c[w] for w in other if model.class_of(w) == k) for k in range(op10_maxent_lm.CLASSES)]
+    v = [sum(model.class_of(w) == k for w in other) for k in range(op10_maxent_lm.CLASSES)]
+    bits = len(model.weights).bit_length() - 1
+    for key in (0, 1, 5, 200):
+        tokens = op10_maxent_lm.tokens_of(dict(rows)[key])
+        numbers = np.array([zlib.crc32(w) << 8 | model.class_of(w) for w in tokens], np.uint64)
+        outer, inner = op10_maxent_lm.features(numbers, np.arange(len(tokens)), bits)
+        total = 0.0
+        for i, w in enumerate(tokens):
+            k, leaf = model.class_of(w), model.leaves.get(w, 0)
+            for table, at, pick, prior in ((model.weights, outer[i], k, model.class_prior), (model.inner, inner[i], leaf, model.leaf_prior[k])):
+                scores = prior + sum(table[j].astype(float) for j in at)
+                total += scores[pick] - math.log(np.exp(scores).sum())
+            total += 0 if leaf else math.log((c[w] + 1) / (n[k] + v[k] + 1))
+        assert found[key] == pytest.approx(total / math.log(10), rel=1e-5)
+    for k in range(op10_maxent_lm.CLASSES):  # what the leaf of other words gives its words, and one more for all new ones, is 1
+        assert sum((c[w] + 1) / (n[k] + v[k] + 1) for w in other if model.class_of(w) == k) + 1 / (n[k] + v[k] + 1) == pytest.approx(1)
+    assert model.leaves and all(len(w) <= 64 for w in model.hot)
+
+
+def test_neighbours_are_counted_over_all_texts(spark):
+    docs = spark.createDataFrame([(prose(30, i),) for i in range(60)], "text string").repartition(7)
+    counts = op10_maxent_lm.neighbour_counts(docs, [w.encode() for w in VOCAB[:30]], "text")
+    wanted = np.zeros_like(counts)
+    for i in range(60):
+        t = prose(30, i).split()
+        for a in range(len(t)):
+            for gap in (1, 2):
+                if a >= gap and t[a] in VOCAB[:30] and t[a - gap] in VOCAB[:30]:
+                    wanted[VOCAB.index(t[a]), VOCAB.index(t[a - gap])] += 1
+                    wanted[VOCAB.index(t[a - gap]), 30 + VOCAB.index(t[a])] += 1
+    assert (counts == wanted).all()
+
+
 def test_rare_tokens_take_the_join(spark, monkeypatch):
     docs = spark.createDataFrame([(i, prose(80, i)) for i in range(40)], "doc_id long, text string")
     whole = {r["doc_id"]: r["base_score"] for r in op10_maxent_lm.score_all(docs, F.lit(True)).collect()}
@@ -595,11 +636,11 @@ def test_gradient_raises_the_likelihood():
     rows = r.integers(0, 50, (4000, 4)).astype(np.int32)
     classes = rows[:, 0].astype(np.int64) % op10_maxent_lm.CLASSES
     w = np.zeros((1 << op10_maxent_lm.BITS, op10_maxent_lm.CLASSES), np.float32)
-    before = op10_maxent_lm.log_softmax(op10_maxent_lm.class_scores(w, rows))[np.arange(4000), classes].mean()
+    before = op10_maxent_lm.log_softmax(op10_maxent_lm.class_scores(w, rows, np.zeros(16)))[np.arange(4000), classes].mean()
     squares, uses = np.ones_like(w), np.zeros(len(w), np.int64)
     for _ in range(20):
-        op10_maxent_lm.gradient_pass(w, squares, uses, rows, classes)
-    assert op10_maxent_lm.log_softmax(op10_maxent_lm.class_scores(w, rows))[np.arange(4000), classes].mean() > before * 0.6
+        op10_maxent_lm.gradient_pass(w, squares, uses, rows, classes, np.zeros(16, np.float32))
+    assert op10_maxent_lm.log_softmax(op10_maxent_lm.class_scores(w, rows, np.zeros(16)))[np.arange(4000), classes].mean() > before * 0.6
 
 
 @pytest.mark.parametrize("widen", [1, 2, 40])
