@@ -11,8 +11,9 @@ which it ends, it takes the documents whose hash lies below the share that remai
 the plan has at most `MAX_BLOCKS` + one row for each source, so it is broadcast; with more sources than that it is
 joined by its key. `turn` orders the result: within each source evenly over 0 to 1, so the sources interleave by weight.
 
-A null source is a source of its own, null texts have no tokens, sources without tokens stay as they are (each
-document once). Rows with equal keys fall into one block and are taken together. An empty table gives an empty result.
+Tokens are white-space words, as a tokenizer's ids would need Python. A null source is a source of its own, null texts have no tokens, sources without tokens stay as they are (each
+document once). Rows with equal keys fall into one block and are taken together, ties between blocks go by
+their number. Texts of any length are counted whole. An empty table gives an empty result.
 Additional columns pass through whatever their names are.
 """
 
@@ -105,9 +106,16 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     whole = budget if budget is not None else (sums.most * z / (sums.most / sums.total) ** t if sums.n else 0.0)
     per_block = max(BLOCK_TOKENS, sums.total // MAX_BLOCKS + 1)
     plan = shares.select("source", weight.alias("weight"), F.when(F.col("tokens") > 0, weight * F.lit(float(whole)) / F.col("tokens")).otherwise(F.lit(1.0)).alias("repeat"), F.ceil((F.col("tokens") + 1) / F.lit(per_block)).alias("blocks"))
-    few = sums.n <= MAX_BLOCKS
-    held = (lambda x: F.broadcast(x)) if few else (lambda x: x)
-    placed = lambda rows: rows.join(held(plan), "source").withColumn("block", F.pmod("hash", F.col("blocks")))
+    few = shares.limit(MAX_BLOCKS + 1).count() <= MAX_BLOCKS  # sources without tokens have a row of the plan as well
+
+    def held(rows: DataFrame, plan: DataFrame, on: list[str], counted: DataFrame) -> DataFrame:
+        """Rows with the plan of their source (and block): broadcast while it is small, else joined by a salted key."""
+        if few:
+            return rows.join(F.broadcast(plan), on)
+        by = F.to_json(F.struct(*on))
+        return common.spread_join(rows.withColumn("_on", by), plan.withColumn("_on", by).drop(*on), "_on", ["hash"], counted=counted.select(by.alias("_on"))).drop("_on")
+
+    placed = lambda rows: held(rows, plan, ["source"], narrow).withColumn("block", F.pmod("hash", F.col("blocks")))
     # Tokens of each block, then where each block begins in each epoch's own order.
     counted = placed(narrow).groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("repeat").alias("repeat"), F.first("weight").alias("weight"))
     rounds = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.round(F.col("repeat"), 9)) - 1).cast("int")))
@@ -122,7 +130,8 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     taken = epochs.select("source", "block", "epoch", share.alias("share"), ((F.col("epoch") * F.col("all") + F.col("before")) / span).alias("turn")).filter("share > 0")
     plans = taken.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "share", "turn"))).alias("plan"))
     rank = F.pmod(F.xxhash64("hash"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    chosen = placed(base).select("doc", "source", "tokens", "weight", "block", rank.alias("rank")).join(held(plans), ["source", "block"])
+    base = placed(base).select("doc", "source", "tokens", "weight", "block", "hash", rank.alias("rank"))
+    chosen = held(base, plans, ["source", "block"], placed(narrow).select("source", "block") if not few else narrow)
     chosen = chosen.select("*", F.explode(F.filter("plan", lambda p: F.col("rank") < p["share"])).alias("p"))
     return chosen.select("doc", F.when(F.col("source") != _NULL, F.col("source")).alias("source"), "tokens", "weight", F.col("p.epoch").alias("epoch"), "block", F.col("p.turn").alias("turn"))
 

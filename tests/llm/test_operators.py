@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from granary.llm import common, op1_sorted_shards, op2_url_filter, op3_html_text, op4_mixing, op5_decontaminate, op6_jaccard_join, op7_quality_rules, op8_language_id, op9_token_counts, op10_maxent_lm
@@ -259,6 +260,65 @@ def test_mixing(spark, odd, empty):
     assert 0.4 < half.count() / 3000 < 0.6
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs (8 bytes) and, marked by a one-tuple, ints (4 bytes)."""
+    h = 42
+    for v in values:
+        data = v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_mixing(rows, entropy, repeats, per_block):
+    """Bisection over shares, then block permutations listed source by source."""
+    n = {k: len(words(t)) for k, t, _ in rows}
+    shares = collections.Counter()
+    for k, _, s in rows:
+        shares[s] += n[k]
+    total = sum(shares.values())
+    weights = lambda t: {s: (x / total) ** t for s, x in shares.items() if x}
+
+    def holds(t):
+        w = weights(t)
+        z = sum(w.values())
+        return -sum(x / z * math.log(x / z) for x in w.values()) >= entropy * math.log(len(w))
+
+    spread = min(x for x in shares.values() if x) / max(shares.values())
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if holds(middle) else (low, middle)
+    t = 1.0 if holds(1.0) else low
+    t = max(t, 1 + math.log(repeats) / math.log(spread)) if spread < 1 else t
+    w = weights(t)
+    largest = max(shares.values())
+    found = []
+    for s, x in shares.items():
+        repeat = (w[s] / x) / (w[max(shares, key=shares.get)] / largest) if x else 1.0
+        own = [(k, n[k], spark_hash(k, (17,))) for k, _, source in rows if source == s]
+        blocks = -(-(x + 1) // per_block)
+        size = collections.Counter()
+        for k, m, h in own:
+            size[h % blocks] += m
+        for epoch in range(math.ceil(round(repeat, 9))):
+            left = round((repeat - epoch) * x, 6)
+            for b in sorted(size, key=lambda b: (spark_hash(b, (epoch,)), b)):
+                share = 1.0 if repeat - epoch >= 1 - 1e-9 else (float(left > 0) if not size[b] else max(0.0, min(1.0, left / size[b])))
+                left -= size[b]
+                found += [(k, epoch, b) for k, _, h in own if h % blocks == b and spark_hash(h) % 1_000_000 / 1e6 < share]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_mixing_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(op4_mixing, "BLOCK_TOKENS", 500)
+    rows = [(i, prose(1 + i % 60, i) if i % 17 else "", "hot" if i % 3 else f"s{i % 4}") for i in range(600)] + [(900 + i, "", f"none{i}") for i in range(5)]
+    total = sum(len(words(t)) for _, t, _ in rows)
+    monkeypatch.setattr(op4_mixing, "MAX_BLOCKS", most)
+    found = op4_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), 0.95, 3.0)
+    assert sorted((r["doc_id"], r["epoch"], r["block"]) for r in found.select("doc.doc_id", "epoch", "block").collect()) == brute_mixing(rows, 0.95, 3.0, max(500, total // most + 1))
+
+
 def test_exponent_hits_the_entropy(spark):
     class Fixed(op4_mixing.Sums):
         def __init__(self, held):
