@@ -7,14 +7,18 @@ by Witten-Bell weights. The score is the difference of the log likelihoods for e
 its score lies below a threshold: 0, or lower where needed so that at most about `FALSE_BLOCKS` of the accepted URLs that were
 kept from training for this calibration would be blocked.
 
-The models learn from the table itself: URLs whose host has one of the seed words of spam are rejected ones, the others
-accepted ones; what a rule says is about places, not about the make of a URL, and labels only if no URL has a seed
-word. Counts cover all URLs; they are summed within tasks first, and the most frequent
-grams are kept, at most `GRAMS` as a histogram proves, which is what a variable order means here: rarer contexts
-fall back on shorter ones.
-
-Null URLs and URLs without `://` have an empty host and path, fit no rule, and are allowed. Rows repeat as they come;
-additional columns pass through `judge`. Without rejected or without accepted URLs the models allow everything.
+The models learn from the table itself: URLs whose host has one of the seed words of spam as a word of its own (letters
+between other characters) are rejected ones, the others accepted ones; what a rule says is about places, not about the make
+of a URL, and labels only if no URL has a seed word. Counts cover all URLs and are summed within tasks first. Each model
+keeps, for each length, the grams that make up a `SHARE`-th or more of all its grams of that length, so at most `SHARE` of
+them at any size of the table and whatever the other model holds, and the exact totals of their contexts. That is what a
+variable order means here: rarer contexts fall back on shorter ones, and what a kept context has in grams that are not kept
+falls back as well, so the probabilities of all characters still sum to one.
+
+Null URLs and URLs without `://` have an empty host and path, fit no rule, and are allowed. URLs of any length are judged
+whole. A score equal to the threshold is allowed; of rules that fit equally long ones cannot differ. Rows repeat as they
+come; additional columns pass through `judge` in its column `row`. Without rejected or without accepted URLs the models
+allow everything; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from granary.llm import common
 from granary.session import ship, table
 
 ORDER = 5
-GRAMS = 200_000
+#: A gram is kept when it makes up one in so many of its model's grams of its length, or more.
+SHARE = 20_000
 FALSE_BLOCKS = 0.01
 ALPHABET = 128
 SEEDS = ("spam", "pills", "casino", "bets", "viagra", "porn", "xxx", "lottery", "payday")
@@ -89,24 +94,29 @@ def grams(text: str) -> Iterator[str]:
 
 @dataclass
 class Markov:
-    """Counts of grams; a gram is a context and the character after it."""
+    """Counts of grams (a context and the character after it), and of contexts: all their uses, different characters and
+    uses in kept grams."""
 
     counts: dict[str, int] = field(default_factory=dict)
     total: dict[str, int] = field(default_factory=dict)
     kinds: dict[str, int] = field(default_factory=dict)
+    held: dict[str, int] = field(default_factory=dict)
     memo: dict[str, float] = field(default_factory=dict)
 
     def add(self, gram: str, n: int) -> None:
         self.counts[gram] = n
-        self.total[gram[:-1]] = self.total.get(gram[:-1], 0) + n
-        self.kinds[gram[:-1]] = self.kinds.get(gram[:-1], 0) + 1
+        self.held[gram[:-1]] = self.held.get(gram[:-1], 0) + n
+
+    def context(self, context: str, total: int, kinds: int) -> None:
+        self.total[context], self.kinds[context] = total, kinds
 
     def probability(self, gram: str) -> float:
         found = self.memo.get(gram)
         if found is None:
-            shorter = self.probability(gram[1:]) if len(gram) > 1 else 1 / ALPHABET
-            n, kinds = self.total.get(gram[:-1], 0), self.kinds.get(gram[:-1], 0)
-            found = (self.counts.get(gram, 0) + kinds * shorter) / (n + kinds) if n else shorter
+            context = gram[:-1]
+            shorter = self.probability(gram[1:]) if context else 1 / ALPHABET
+            n, kinds = self.total.get(context, 0), self.kinds.get(context, 0)
+            found = (self.counts.get(gram, 0) + (kinds + n - self.held.get(context, 0)) * shorter) / (n + kinds) if n else shorter
             if len(self.memo) > 500_000:
                 self.memo.clear()
             self.memo[gram] = found
@@ -142,16 +152,22 @@ def fit_counts(urls: DataFrame) -> tuple[Markov, Markov]:
         yield common.out(schema, gram=[g for g, _ in seen], bad=[b for _, b in seen], n=list(seen.values()))
 
     counts = common.written(common.map_batches(urls.select("url", "bad"), count, "gram string, bad boolean, n long").groupBy("gram", "bad").agg(F.sum("n").alias("n")), "url-grams")
-    step = F.floor(4 * F.log2("n")).cast("int")
-    taken, least = 0, 1 << 30
-    for b in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
-        taken += b["n"]
-        if taken > GRAMS:
-            break
-        least = b["step"]
+    size = F.length("gram")
+    sums = {(r["bad"], r["size"]): r["n"] for r in counts.groupBy("bad", size.alias("size")).agg(F.sum("n").alias("n")).collect()}
+
+    def least(bad: Column, length: Column) -> Column:
+        """The uses from which on a gram of this length is kept."""
+        found = F.lit(1.0)
+        for (b, k), n in sums.items():
+            found = F.when((bad == F.lit(b)) & (length == k), F.lit(n / SHARE)).otherwise(found)
+        return found
+
     models = Markov(), Markov()
-    for r in counts.filter(step >= least).toLocalIterator():
+    for r in counts.filter(F.col("n") >= least(F.col("bad"), size)).toLocalIterator():
         models[r["bad"]].add(r["gram"], r["n"])
+    contexts = counts.groupBy("bad", F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+    for r in contexts.filter(F.col("n") >= least(F.col("bad"), F.length("context") + 1)).toLocalIterator():
+        models[r["bad"]].context(r["context"], r["n"], r["kinds"])
     return models
 
 
@@ -177,7 +193,7 @@ def train(urls: DataFrame, rules: tuple[Rule, ...] = RULES, seeds: tuple[str, ..
     _, block = rule_of(rules, host, path)
     spam = F.lit(False)
     for s in seeds:
-        spam = spam | host.contains(s)
+        spam = spam | host.rlike(f"(^|[^a-z]){s}($|[^a-z])")
     rows = urls.filter(F.col("url").isNotNull() & (host != "")).select("url", spam.alias("bad"), F.coalesce(block, F.lit(False)).alias("ruled"), (F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0).alias("kept"))
     if not rows.filter("bad").head(1):
         rows = rows.withColumn("bad", F.col("ruled"))
