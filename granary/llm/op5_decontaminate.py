@@ -10,7 +10,9 @@ word by word before it counts.
 `decontaminate` reports spans, removes them from the text, or drops the documents that hold enough of them.
 
 Null and empty texts have no words and no hits. Items without words have no window. Repeated items each count.
-Windows that several items share count for each of them.
+Windows that several items share count for each of them. Texts of any length are scanned whole; an empty table gives an
+empty result, an empty benchmark no hits. Additional columns are not read, `decontaminate` passes them on whatever their
+names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ TOGETHER = 4
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: A document is contaminated when its hit words times this reach its words.
 LEAST_SHARE = 20
-FOUND = "struct<n_words:bigint,hits:array<struct<start:bigint,size:bigint,items:array<string>>>>"
+FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,7 +141,8 @@ def benchmark_slices(benchmark: DataFrame, n: int = N, most: int = MAX_WINDOWS,
 
 
 def find_hits(docs: DataFrame, parts: Iterable[Slice], into: str, column: str = "text") -> DataFrame:
-    """`docs` with a column `into`: struct<n_words, hits: array<struct<start, size, items>>> over word positions.
+    """`docs` with a column `into`: struct<n_words, spans: array<struct<start, end>>, items: array<string>>, the merged spans of
+    hit words by word positions and the items that own the windows, each once.
 
     The rows are stored after every `TOGETHER` passes, so a task holds that many slices at most."""
     df = docs.withColumn(into, F.lit(None).cast(FOUND))
@@ -153,7 +156,7 @@ def find_hits(docs: DataFrame, parts: Iterable[Slice], into: str, column: str =
 
 def _pass(df: DataFrame, shared, into: str, column: str) -> DataFrame:
     names = df.columns
-    kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("items", pa.list_(pa.string()))])))])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: Slice = shared.value
@@ -163,8 +166,12 @@ def _pass(df: DataFrame, shared, into: str, column: str) -> DataFrame:
             for text, before in zip(common.texts(batch, column), batch.column(names.index(into)).to_pylist()):
                 words = words_of(text)
                 ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                new = [{"start": s, "size": z, "items": part.items[z][r]} for s, z, r in hits(part, ids)]
-                rows.append({"n_words": len(words), "hits": (before["hits"] if before else []) + new})
+                new = hits(part, ids)
+                items = set(before["items"] if before else ())
+                for z, r in {(z, r) for _, z, r in new}:
+                    items.update(part.items[z][r])
+                old = [(s["start"], s["end"]) for s in before["spans"]] if before else []
+                rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in merged(old + [(s, s + z) for s, z, _ in new])], "items": sorted(items)})
             arrays = list(batch.columns)
             arrays[names.index(into)] = pa.array(rows, kind)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -172,25 +179,23 @@ def _pass(df: DataFrame, shared, into: str, column: str) -> DataFrame:
     return common.map_batches(df, scan, df.schema)
 
 
-def spans(found: list[dict]) -> list[tuple[int, int]]:
-    """Merged [start, end) word spans of a row's hits."""
-    merged: list[list[int]] = []
-    for start, end in sorted((h["start"], h["start"] + h["size"]) for h in found or []):
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans [start, end) that touch or overlap, as one."""
+    found: list[list[int]] = []
+    for start, end in sorted(spans):
+        if found and start <= found[-1][1]:
+            found[-1][1] = max(found[-1][1], end)
         else:
-            merged.append([start, end])
-    return [tuple(m) for m in merged]
+            found.append([start, end])
+    return [tuple(m) for m in found]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str = "doc_id", column: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per row: n_words, n_hit, n_items, items_sha256 and contaminated (hit words are a twentieth or more)."""
     found = find_hits(docs.select(F.col(key).alias("key"), F.col(column).alias("text")), benchmark_slices(benchmark, n, max_windows), "found", "text")
     zero = F.lit(0).cast("long")
-    ordered = F.array_sort(F.transform("found.hits", lambda h: F.struct(h["start"].alias("a"), (h["start"] + h["size"]).alias("b"))))
-    start = F.struct(zero.alias("n"), zero.alias("to"))
-    covered = F.aggregate(ordered, start, lambda s, h: F.struct((s["n"] + F.greatest(zero, h["b"] - F.greatest(h["a"], s["to"]))).alias("n"), F.greatest(s["to"], h["b"]).alias("to")), lambda s: s["n"])
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("found.hits", lambda h: h["items"]))))
+    covered = F.aggregate("found.spans", zero, lambda n, s: n + s["end"] - s["start"])
+    items = F.col("found.items")
     n_hit, total = F.col("n_hit"), F.col("n_words")
     return found.select(F.col("key"), F.col("found.n_words").alias("n_words"), covered.alias("n_hit"), items.alias("items")).select(
         F.col("key").alias(key),
@@ -216,10 +221,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
         for batch in batches:
             keep, new = [], []
             for text, got in zip(common.texts(batch, column), batch.column(len(names)).to_pylist()):
-                merged = spans(got["hits"])
-                hit = sum(b - a for a, b in merged)
+                found_spans = [(s["start"], s["end"]) for s in got["spans"]]
+                hit = sum(b - a for a, b in found_spans)
                 keep.append(not (drop and hit > 0 and LEAST_SHARE * hit >= got["n_words"]))
-                new.append(text if drop or not merged else cut(text, merged))
+                new.append(text if drop or not found_spans else cut(text, found_spans))
             arrays = list(batch.columns)[: len(names)]
             arrays[place] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
@@ -227,7 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
     return common.map_batches(found, act, docs.schema)
 
 
-def cut(text: str, merged: list[tuple[int, int]]) -> str:
+def cut(text: str, found: list[tuple[int, int]]) -> str:
     raw = text.encode("utf-8", "replace")
     plain = raw.translate(_TABLE)
     bounds, at = [], 0
@@ -236,7 +241,7 @@ def cut(text: str, merged: list[tuple[int, int]]) -> str:
         bounds.append((at, at + len(w)))
         at += len(w)
     out, last = [], 0
-    for a, b in merged:
+    for a, b in found:
         out.append(raw[last : bounds[a][0]])
         last = bounds[b - 1][1]
     return b"".join([*out, raw[last:]]).decode("utf-8")
