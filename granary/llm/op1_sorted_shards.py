@@ -15,8 +15,9 @@ null (null sorts first). A value is the ids of one document, two or four bytes e
 search the index and the block's restarts by bisection, and read one block.
 
 Writing: rows are dealt to shards by ranges of (key, hash of the text), so that a repeated key spreads as well, sorted in
-each task, encoded there in a stream, and written under a name of the attempt that is renamed when complete: a task
-that runs twice leaves one file. The manifest has one row for each shard. Reading streams the shards block by block.
+each task, encoded there in a stream, and written to a file of the attempt's own. The manifest has the file of each
+shard's attempt that counted; what lost or doubled attempts left is deleted when all are done. Reading streams the shards
+block by block.
 
 Null texts count as empty and hold the end id alone. Rows with equal keys are all kept, next to each other. An empty
 table gives no shard. Very long texts have a block of their own. Additional columns are not read.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from granary.llm import common
-from granary.llm.op9_token_counts import byte_symbols, piece_starts
+from granary.llm.op9_token_counts import byte_symbols, known_make, piece_starts
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -246,7 +247,8 @@ class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     The library cuts a text into pieces by a fixed pattern and its BPE model encodes each by itself, so pieces met before
-    are taken from memory and only new ones go to the model. Texts with special strings go to the library whole.
+    are taken from memory and only new ones go to the model. Texts with special strings go to the library whole, and so do
+    all texts where the tokenizer is of another make.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -255,11 +257,13 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        model, self.path = data["model"], path
+        self.path, self.known = path, known_make(data)
         self.special = [t["content"] for t in data["added_tokens"]]
-        self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0)
         self.symbols = {b: c for c, b in byte_symbols().items()}
-        largest = max([end_id, *model["vocab"].values(), *(t["id"] for t in data["added_tokens"])])
+        if self.known:
+            model = data["model"]
+            self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0)
+        largest = max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.width = 2 if largest < 1 << 16 else 4
         self.end = int(end_id).to_bytes(self.width, "little")
         self.memo: dict[str, bytes] = {}
@@ -279,7 +283,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian bytes."""
         texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        whole = [i for i, t in enumerate(texts) if not self.known or any(s in t for s in self.special)]
         found: list[bytes] = [b""] * len(texts)
         for i in whole:
             found[i] = self._pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
@@ -337,15 +341,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, name = context.partitionId(), f"shard-{context.partitionId():07d}.sst"
+        part, name = context.partitionId(), f"shard-{context.partitionId():07d}-{context.taskAttemptId()}.sst"
         held = encoder(tokenizer, end_id)
         writer = None
         for batch in common.small(batches):
             if writer is None:
                 store, root = filesystem(folder)
                 store.create_dir(root, recursive=True)
-                trial = f"{root}/.{name}.{context.taskAttemptId()}"
-                stream = store.open_output_stream(trial)
+                stream = store.open_output_stream(f"{root}/{name}")
                 writer = ShardWriter(stream, held.width)
             for k, ids in zip(batch.column(0).to_pylist(), held.encode(common.texts(batch))):
                 writer.add(key_bytes(k), ids)
@@ -353,10 +356,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         if writer is not None:
             writer.finish()
             stream.close()
-            store.move(trial, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([writer.tokens])], names=["part", "path", "tokens"])
 
     made = sorted(common.map_arrow(dealt, write, "part long, path string, tokens long").collect())
+    kept = {r["path"].rsplit("/", 1)[1] for r in made}
+    if made:
+        store, root = filesystem(folder)
+        for f in store.get_file_info(fs.FileSelector(root)):
+            if f.base_name.startswith("shard-") and f.base_name not in kept:
+                store.delete_file(f.path)
     base, found = 0, []
     for r in made:
         found.append(Shard(r["path"], base, is_text))

@@ -53,11 +53,22 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def known_make(data: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE without normaliser whose pieces are those that `piece_starts` cuts; any
+    other one encodes whole texts by the library."""
+    pre, model = data.get("pre_tokenizer") or {}, data["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    options = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return model.get("type") == "BPE" and data.get("normalizer") is None and plain and not options
+
+
 @functools.lru_cache(4)
 def load(path: str) -> tuple[list[bytes], dict[tuple[bytes, bytes], int], tuple[str, ...]]:
     """Vocabulary entries, merge ranks and special strings of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    if not known_make(data):
+        raise ValueError(f"{path} is not a byte-level BPE of the make that is compiled here")
     to_byte = byte_symbols()
     plain = lambda s: bytes(to_byte[c] for c in s)
     special = tuple(t["content"] for t in data["added_tokens"])

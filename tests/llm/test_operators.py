@@ -114,6 +114,29 @@ def test_encoder_agrees(tokenizer):
     assert held.encode(texts) == wanted
 
 
+def test_other_makes_encode_by_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = "word_bpe_49k.json"
+    held, library = op1_sorted_shards.encoder(name, 0), Tokenizer.from_file(public_tokenizers.path(name))
+    texts = strings(60)
+    wanted = [(e.ids + [0]) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, f"<u{held.width}").tolist() for x in held.encode(texts)] == wanted
+    if not held.known:
+        with pytest.raises(ValueError):
+            op9_token_counts.load(public_tokenizers.path(name))
+
+
+def test_files_of_lost_attempts_go(spark, tmp_path):
+    docs = spark.createDataFrame([(i, prose(9, i)) for i in range(20)], "doc_id long, text string")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "shard-0000000-99999.sst").write_bytes(b"half")
+    shards = op1_sorted_shards.write_shards(docs, f"file://{tmp_path}/s", shards=2)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("shard")) == sorted(x.path.rsplit("/", 1)[1] for x in shards)
+    assert op1_sorted_shards.read_shards(spark, shards).count() == 20
+
+
 # 2: URL filter
 
 
@@ -147,12 +170,41 @@ def test_urls(spark):
     assert op2_url_filter.judge(none, op2_url_filter.train(none)).count() == 0
 
 
-def test_markov_sums_to_one():
-    held = op2_url_filter.Markov()
-    for g, n in collections.Counter(g for w in VOCAB for g in op2_url_filter.grams(op2_url_filter.symbols(w))).items():
-        held.add(g, n)
-    for context in ("", "\x02", "ae", "qq"):
-        assert math.fsum(held.probability(context + chr(c)) for c in range(128)) == pytest.approx(1)
+@pytest.mark.parametrize("share", [20_000, 30])
+def test_markov_sums_to_one(spark, monkeypatch, share):
+    monkeypatch.setattr(op2_url_filter, "SHARE", share)
+    rows = [(f"http://{w}.org/{i}", i % 5 == 0) for i, w in enumerate(VOCAB)]
+    for held, bad in zip(op2_url_filter.fit_counts(spark.createDataFrame(rows, "url string, bad boolean")), (False, True)):
+        every = collections.Counter(g for u, b in rows if b == bad for g in op2_url_filter.grams(op2_url_filter.symbols(u)))
+        by = collections.Counter()
+        for g, n in every.items():
+            by[len(g)] += n
+        assert held.counts == {g: n for g, n in every.items() if n >= by[len(g)] / share}
+        for context in ("", "\x02", "ae", "qq", "://", "http"):
+            assert math.fsum(held.probability(context + chr(c)) for c in range(128)) == pytest.approx(1)
+
+
+def test_unseeded_spam_is_caught(spark):
+    """Two seed words are held out: hosts that only they mark are caught by what they share with the others."""
+    r = random.Random(8)
+    tails = ["win", "cheap", "best", "free", "bonus", "deal"]
+    spam = [f"https://{a}-{b}.example.org/{r.choice(tails)}/{i}" for i, (a, b) in enumerate((r.choice(("casino", "pills", "lottery", "payday")), r.choice(tails)) for _ in range(300))]
+    unseen = [f"https://{a}-{b}.example.org/{r.choice(tails)}/{i}" for i, (a, b) in enumerate((r.choice(("viagra", "bets")), r.choice(tails)) for _ in range(100))]
+    good = [f"https://{w}.example.org/fr/{i}" for i, w in enumerate(VOCAB)] + ["https://alphabets.example.org/fr/1"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(spam + unseen + good)], "page_id long, url string")
+    seeds = tuple(s for s in op2_url_filter.SEEDS if s not in ("viagra", "bets"))
+    # The held-out ones are labelled accepted, so the calibration must leave room for them.
+    model = op2_url_filter.train(spark.createDataFrame([(i, u) for i, u in enumerate(spam + good)], "page_id long, url string"), seeds=seeds)
+    found = {x["page_id"]: x["verdict"] for x in op2_url_filter.judge(pages, model).select("row.page_id", "verdict").collect()}
+    assert sum(found[300 + i] == "block" for i in range(100)) >= 80
+    assert sum(found[400 + i] == "allow" for i in range(len(good))) >= 0.97 * len(good) and found[len(found) - 1] == "allow"
+
+
+def test_urls_repeat_and_may_be_long(spark):
+    long = "http://" + "a" * 200_000 + ".org/fr/" + "b" * 200_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "http://casino.example.org/fr/1")], "page_id long, url string")
+    found = op2_url_filter.judge(pages, op2_url_filter.train(pages)).collect()
+    assert len(found) == 4 and sum(r["path"] == "/fr/" + "b" * 200_000 for r in found) == 3
 
 
 # 3: HTML extraction
@@ -359,7 +411,9 @@ def test_contamination(spark, odd, empty, most):
     assert found == sorted(((r["doc_id"], *brute_contamination(r["text"], items)) for r in docs.collect()), key=str)
     wide = odd.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
     kept = op5_decontaminate.decontaminate(wide, bench, max_windows=most)
-    assert kept.columns == odd.columns and {100, 102} - {101, 103} == {r["doc_id"] for r in kept.filter("doc_id >= 100 and doc_id <> 104").collect()} | ({100} if brute_contamination(extra[0][1], items)[4] else set())
+    assert kept.columns == odd.columns
+    clean = [r["doc_id"] for r in wide.collect() if not brute_contamination(r["text"], items)[4]]
+    assert sorted(map(str, clean)) == sorted(str(r["doc_id"]) for r in kept.collect())
     cut = op5_decontaminate.decontaminate(wide, bench, "cut", max_windows=most)
     assert cut.count() == wide.count()
     assert all(brute_contamination(r["text"], items)[1] == 0 for r in cut.filter("doc_id in (100, 101, 102)").collect())
