@@ -7,13 +7,16 @@ Measures of a text
     n_dup_lines     lines with a word that equal an earlier line of the text
     n_repeat_words  words inside five-word windows that occur twice or more in the text
 
-The base rule rejects texts of under ten words and texts whose repeated words exceed a fifth of all words. The other
-rules (`RULES`) form the cascade: on a bounded sample of whole texts the planner measures each rule's time and the
-share it rejects, orders the rules by rejection per cost, and each text then meets the rules in that order until one
-rejects it. Rejection is a conjunction, so the order changes the cost and never the verdict.
-
-Null text counts as empty; an empty text has no words, all measures 0, fails the base rule and isn't kept. Repeated
-rows are judged one by one. Additional columns pass through unread.
+The base rule rejects texts of under ten words and texts whose repeated words exceed a fifth of all words; it stands in
+the cascade as two rules (`too_few_words`, `repetition`) beside the others in `RULES`. A rule computes the measures it needs
+when it needs them, so its cost is real: on a bounded sample of whole texts the planner measures each rule's time and the
+share it rejects, orders the rules by rejection per cost, and the texts of a batch then meet the rules in that order,
+those that are rejected leaving at once. Rejection is a conjunction, so the order changes the cost and never the verdict.
+`quality_filter` computes for a text no more than the rules it meets; with `measures` all measures of every text as well.
+
+Null text counts as empty; an empty text has no words, all measures 0, fails the base rule and isn't kept. Texts of any
+length are judged whole. A measure at its threshold passes. Repeated rows are judged one by one, rules of equal merit are
+ordered by name. An empty table gives an empty result. Additional columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,28 +41,59 @@ WINDOW = 5
 SAMPLE_ROWS = 2000
 
 
-@dataclass
 class Text:
-    """One text with the measures that the rules share."""
+    """One text with the measures that the rules share, each computed when it is first asked for."""
+
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode("utf-8", "replace")
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
+
+    @cached_property
+    def word_chars(self) -> int:
+        return sum(map(len, self.words)) if self.raw.isascii() else len(b"".join(self.words).decode("utf-8"))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.raw) - len(self.raw.translate(None, _DROP_SYMBOLS))
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return duplicate_lines(self.raw)
 
-    raw: bytes
-    words: list[bytes]
-    word_chars: int
-    n_symbols: int
-    n_dup_lines: int
+    n_repeat_words: int | None = None  # of several texts at once, by `count_repeats`
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Callable[[Text], bool]
+    prepare: Callable[[list[Text]], None] | None = None
 
+    def of(self, texts: list[Text]) -> list[bool]:
+        if self.prepare:
+            self.prepare(texts)
+        return [self.rejects(t) for t in texts]
 
-_UPPER_WORD = re.compile(rb"[A-Z]{2,}[^a-z\s]*")
+
+def count_repeats(texts: list[Text]) -> None:
+    todo = [t for t in texts if t.n_repeat_words is None]
+    for t, n in zip(todo, repeat_words([t.words for t in todo]).tolist()):
+        t.n_repeat_words = n
+
+
+_UPPER_WORD = re.compile(rb"[A-Z]{2}")
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
-#: The rules of the cascade; thresholds are those of published web-corpus filters.
-RULES = (
+#: The two rules of the base verdict; the first names a text that fails both.
+BASE = (
+    Rule("too_few_words", lambda t: len(t.words) < 10),
+    Rule("repetition", lambda t: 100 * t.n_repeat_words > 20 * len(t.words), count_repeats),
+)
+#: The cascade; thresholds are those of published web-corpus filters.
+RULES = BASE + (
     Rule("symbols_per_word", lambda t: 10 * t.n_symbols > len(t.words)),
     Rule("mean_word_length", lambda t: not 2 * len(t.words) <= t.word_chars <= 20 * len(t.words)),
     Rule("duplicate_lines", lambda t: 10 * t.n_dup_lines > 3 * max(1, t.raw.count(b"\n") + 1)),
@@ -123,13 +158,6 @@ def _repeat_words_exact(words: list[bytes]) -> int:
     return len({i + k for p in places.values() if len(p) > 1 for i in p for k in range(WINDOW)})
 
 
-def measured(text: str | None) -> Text:
-    raw = (text or "").encode("utf-8", "replace")
-    words = raw.split()
-    chars = sum(map(len, words)) if raw.isascii() else len(b"".join(words).decode("utf-8"))
-    return Text(raw, words, chars, len(raw) - len(raw.translate(None, _DROP_SYMBOLS)), duplicate_lines(raw))
-
-
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
@@ -145,11 +173,11 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [measured(t) for t in common.texts(batch, column)]
             rows = []
             for rule in rules:
+                items = [Text(t) for t in common.texts(batch, column)]  # without measures, so that each rule pays its own
                 began = time.perf_counter()
-                gone = sum(rule.rejects(t) for t in items)
+                gone = sum(rule.of(items))
                 rows.append((rule.name, len(items), gone, time.perf_counter() - began))
             name, seen, gone, took = zip(*rows)
             yield common.out(schema, rule=name, seen=seen, rejected=gone, seconds=took)
@@ -160,26 +188,46 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     return sorted((r.name for r in rules), key=lambda name: (-by.get(name, 0.0), name))
 
 
-def quality_filter(docs: DataFrame, order: list[str] | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Measures, base verdict, final verdict and the first rule that rejected, for each row of `docs`."""
+def cascade(items: list[Text], chain: list[Rule]) -> list[str | None]:
+    """The first rule of the chain that rejects each text, or None."""
+    why: list[str | None] = [None] * len(items)
+    left = list(range(len(items)))
+    for rule in chain:
+        if not left:
+            break
+        gone = rule.of([items[i] for i in left])
+        for i, g in zip(left, gone):
+            if g:
+                why[i] = rule.name
+        left = [i for i, g in zip(left, gone) if not g]
+    return why
+
+
+def quality_filter(docs: DataFrame, order: list[str] | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", column: str = "text", measures: bool = False) -> DataFrame:
+    """Verdict and the first rule that rejected, for each row of `docs`; with `measures` the measures and the base verdict
+    of every text, which are computed whatever rule rejects it."""
     named = {r.name: r for r in rules}
     chain = [named[n] for n in (order or cascade_order(docs, rules, column=column))]
-    key_type = docs.schema[key].dataType
-    schema = f"{key} {key_type.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
+    kind = docs.schema[key].dataType.simpleString()
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if measures else []
+    schema = f"`{key}` {kind}, " + "".join(f"{c} long, " for c in counts) + ("base_failed boolean, " if measures else "") + "kept boolean, rejected_by string"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [measured(t) for t in common.texts(batch, column)]
-            repeats = repeat_words([t.words for t in items])
-            base = [base_failed(len(t.words), int(r)) for t, r in zip(items, repeats)]
-            why = ["base" if b else next((r.name for r in chain if r.rejects(t)), None) for t, b in zip(items, base)]
-            keys = batch.column(batch.schema.get_field_index(key))
-            arrays = [keys, pa.array([len(t.words) for t in items], pa.int64()), pa.array([t.word_chars for t in items], pa.int64()), pa.array([t.n_symbols for t in items], pa.int64()), pa.array([t.n_dup_lines for t in items], pa.int64()), pa.array(repeats, pa.int64()), pa.array(base), pa.array([w is None for w in why]), pa.array(why, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
+            items = [Text(t) for t in common.texts(batch, column)]
+            why = cascade(items, chain)
+            arrays, names = [batch.column(0)], [key]
+            if measures:
+                count_repeats(items)
+                columns = [[len(t.words) for t in items], *([getattr(t, c) for t in items] for c in counts[1:])]
+                arrays += [pa.array(c, pa.int64()) for c in columns] + [pa.array([base_failed(a, b) for a, b in zip(columns[0], columns[4])], pa.bool_())]
+                names += [*counts, "base_failed"]
+            arrays += [pa.array([w is None for w in why], pa.bool_()), pa.array(why, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "kept", "rejected_by"])
 
-    return common.map_batches(docs.select(key, column), judge, schema)
+    return common.map_batches(docs.select(F.col(f"`{key}`"), F.col(f"`{column}`")), judge, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the rejecting rule, which depends on the order that the planner measured."""
-    return quality_filter(common.documents(spark, sf_dir)).drop("rejected_by")
+    return quality_filter(common.documents(spark, sf_dir), measures=True).drop("rejected_by")

@@ -558,7 +558,7 @@ def brute_quality(text):
 def test_quality(spark, odd, empty):
     extra = [(200 + i, t) for i, t in enumerate(["a b c d e " * 30, "a b c d e f a b c d e", "# x | y", " ".join("abcdefgh") + " " + " ".join("abcdefgh"), "l\n" * 50])]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    found = op7_quality_rules.quality_filter(docs).collect()
+    found = op7_quality_rules.quality_filter(docs, measures=True).collect()
     wanted = collections.Counter((r["doc_id"], *brute_quality(r["text"])) for r in docs.collect())
     assert wanted == collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in found)
     for r in found:
@@ -569,6 +569,15 @@ def test_quality(spark, odd, empty):
     assert len(verdicts) == 1
     assert sorted(op7_quality_rules.cascade_order(empty)) == sorted(names)
     assert op7_quality_rules.quality_filter(empty).count() == 0
+    lean = op7_quality_rules.quality_filter(docs.withColumnRenamed("doc_id", "doc id"), names, key="doc id").collect()
+    assert collections.Counter((r["doc id"], r["kept"]) for r in lean) == collections.Counter((r["doc_id"], r["kept"]) for r in found)
+
+
+def test_cascade_computes_no_more_than_it_needs():
+    by = {r.name: r for r in op7_quality_rules.RULES}
+    few, many = op7_quality_rules.Text("only three words"), op7_quality_rules.Text(prose(30, 1))
+    assert op7_quality_rules.cascade([few, many], [by["too_few_words"], by["duplicate_lines"], by["repetition"]]) == ["too_few_words", None]
+    assert "n_dup_lines" not in vars(few) and few.n_repeat_words is None and "n_dup_lines" in vars(many) and many.n_repeat_words == 0
 
 
 # 8: language ID
