@@ -71,3 +71,26 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in whole.collect()) == sorted((f[0], f[2], f[3]) for f in found)
     assert len(VOCAB) == 400
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty, with repeated rows and keys, nulls in every column, columns of the operators' own names, and no labels."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key long, score double, node string"
+    long = prose(20_000, 50)
+    rows = [(1, prose(60, 1), None, "a", 1, 7, 0.5, "n"), (1, prose(60, 1), None, "a", 1, 7, 0.5, "n"), (1, prose(60, 2), None, "a", 1, 7, 0.5, "n"), (2, None, None, None, None, None, None, None), (None, prose(60, 3), None, None, 1, 7, 0.5, "n"), (3, long, None, "a", 1, 7, 0.5, "n"), (4, long + " end", None, "b", 1, 7, 0.5, "n")]
+    bench = spark.createDataFrame([(1, prose(40, 70)), (2, None)], "item_id long, text string")
+    for name, some in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        sizes = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            result = stage(spark, docs, folder)
+            assert result.columns == docs.columns
+            result.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            sizes.append(docs.count())
+        assert sizes[:3] == ([6, 3, 3] if some else [0, 0, 0]) and sizes[3] <= 2 * sizes[2]
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+        assert sorted({r["doc_id"] or 0 for r in last.collect()}) == ([0, 1, 3] if some else [])
