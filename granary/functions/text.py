@@ -87,7 +87,7 @@ def identifier(c: Column, default: str = "item") -> Column:
 
 def category_code(c: Column) -> Column:
     """Upper-case code of [A-Z0-9_] without a prefix such as A01_."""
-    return F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z0-9_]", ""), "^[A-Z][0-9]{2}_", "")
+    return F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z0-9_]", ""), "^[A-Z][0-9]+_", "")
 
 
 def numbered_items(c: Column) -> Column:

@@ -13,12 +13,15 @@ from granary.functions import text as T
 
 
 def keep_first(df: DataFrame, keys: list[str], text: str, order: str, short: int = 20) -> DataFrame:
-    """The first row of each text; texts of under `short` characters are all kept. Only a digest of the text is shuffled
-    to find the first rows."""
-    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    first = df.select(*keys, digest.alias("__d"), F.col(order).alias("__o")).groupBy(*keys, "__d").agg(F.min("__o").alias("__first"))
-    marked = df.withColumn("__d", digest).join(first, [*keys, "__d"])
-    return marked.filter((F.col(order) == F.col("__first")) | (F.char_length(text) < short)).select(*df.columns)
+    """The first row of each text; null texts and texts of under `short` characters are all kept. Only a digest of the other
+    texts is shuffled, and the rows that go are taken away by their place in the order, which must be unique."""
+    long = df.filter(F.char_length(text) >= short).select(*keys, F.sha2(F.col(text).cast("binary"), 256).alias("__d"), order)
+    groups = long.groupBy(*keys, "__d").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    same = F.lit(True)
+    for k in (*keys, "__d"):
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    gone = long.alias("a").join(groups.alias("b"), same).filter(F.col(f"a.{order}") > F.col("b.__first")).select(F.col(f"a.{order}").alias(order))
+    return df.join(gone, order, "left_anti").select(*df.columns)
 
 
 def keep_best(df: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:
@@ -43,6 +46,16 @@ def similar_pairs(df: DataFrame, block: list[str], key: str, text: str, least: f
     return a.join(b, block).filter(F.col("a") < F.col("b")).withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select(*block, "a", "b", "similarity")
 
 
+def gram_pairs(df: DataFrame, key: str, text: str, least: float, n: int = 3) -> DataFrame:
+    """Pairs (a, b, similarity) of rows whose sets of character n-grams have that Jaccard similarity or more. Candidates share
+    a gram, so this is for names and other short values; whole texts need filters on rare shingles."""
+    rows = df.select(F.col(key).alias("k"), F.array_distinct(T.grams(F.col(text), n)).alias("g"))
+    grams = rows.select("k", F.size("g").alias("n"), F.explode("g").alias("x"))
+    a, b = grams.select(F.col("k").alias("a"), F.col("n").alias("na"), "x"), grams.select(F.col("k").alias("b"), F.col("n").alias("nb"), "x")
+    both = a.join(b, "x").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def quotation_similarity(a: str, b: str) -> float:
     """1 for containment, else the ratio of matching blocks."""
     a, b = "".join((a or "").lower().split()), "".join((b or "").lower().split())

@@ -16,27 +16,24 @@ def symmetric(df: DataFrame) -> DataFrame:
     return df.unionByName(df.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")).distinct()
 
 
-def same_key_edges(df: DataFrame, item: str, shared: str, most: int | None = 1000) -> DataFrame:
-    """Symmetric edges between items that share a key. A key of over `most` items links each of them to the key's smallest
-    item, so that a common key gives a star and not every pair; `star` says so. With `most` None every key gives every pair."""
-    cites = df.select(F.col(item).alias("item"), F.col(shared).alias("key")).distinct()
-    if most is None:
-        pairs = cites.select("key", F.col("item").alias("src")).join(cites.select("key", F.col("item").alias("dst")), "key")
-        return pairs.filter("src <> dst").select("src", "dst", F.lit(False).alias("star")).distinct()
-    sizes = cites.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first"))
-    sized = cites.join(sizes, "key")
-    few = sized.filter(F.col("n") <= most)
-    pairs = few.select("key", F.col("item").alias("src")).join(few.select("key", F.col("item").alias("dst")), "key").filter("src <> dst").select("src", "dst", F.lit(False).alias("star"))
-    hub = sized.filter((F.col("n") > most) & (F.col("item") != F.col("first"))).select(F.col("item").alias("src"), F.col("first").alias("dst"))
-    stars = hub.unionByName(hub.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("star", F.lit(True))
-    return pairs.unionByName(stars).distinct()
+def same_key_classes(df: DataFrame, item: str, shared: str) -> DataFrame:
+    """(key, item, items, first) for each item of a key that several items share: every two items of a class are linked.
+    A class of n items takes n rows and not n * (n - 1) edges, whatever its size; `first` is its smallest item."""
+    cites = df.select(shared, item).distinct()
+    sizes = cites.groupBy(shared).agg(F.count(F.lit(1)).alias("items"), F.min(item).alias("first")).filter("items > 1")
+    return cites.join(sizes, shared).select(shared, item, "items", "first")
+
+
+def class_edges(classes: DataFrame, item: str, shared: str) -> DataFrame:
+    """The classes' symmetric edges one by one, for classes whose size the caller has bounded."""
+    a, b = (classes.select(shared, F.col(item).alias(n)) for n in ("src", "dst"))
+    return a.join(b, shared).filter("src <> dst").select("src", "dst").distinct()
 
 
 def links_of_several(df: DataFrame, item: str, kind: str, agent: str) -> DataFrame:
-    """Unordered pairs of items of one kind that several agents found."""
+    """The classes of items of one kind that several agents found."""
     several = df.groupBy(kind).agg(F.countDistinct(agent).alias("__n")).filter("__n >= 2").select(kind)
-    rows = df.select(kind, item).distinct().join(several, kind)
-    return rows.select(kind, F.col(item).alias("a")).join(rows.select(kind, F.col(item).alias("b")), kind).filter("a < b")
+    return same_key_classes(df.join(several, kind, "left_semi"), item, kind)
 
 
 def context(items: DataFrame, key: str, *edge_tables: tuple[str, DataFrame]) -> DataFrame:

@@ -17,6 +17,51 @@ def precision_recall(df: DataFrame, actual: Column, predicted: Column, *keys: st
     return counts.withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn)).withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
 
 
+#: Fixed names of severities in labels and predictions.
+SEVERITIES = {"critical": "critical 重大 严重", "high": "high 高 高风险", "medium": "medium 中 中风险", "low": "low 低 低风险", "info": "info 提示"}
+
+
+def folded(c: Column) -> Column:
+    """Lower case without white space and punctuation; null is empty."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[\s\p{P}]+", "")
+
+
+def severity_group(c: Column) -> Column:
+    """The severity that a name stands for; other names stay, none is `unknown`."""
+    found = F.when(folded(c) == "", "unknown").otherwise(folded(c))
+    for group, names in SEVERITIES.items():
+        found = F.when(folded(c).isin(names.split()), group).otherwise(found)
+    return found
+
+
+def type_matches(gold_code: Column, code: Column, gold_type: Column, kind: Column, aliases: Column) -> Column:
+    """Whether a prediction is of the gold finding's type: equal codes, or its type contains one of the gold's type, code and
+    aliases, or is contained in one."""
+    plain = lambda c: F.regexp_replace(folded(c), "^[a-z][0-9]+", "")
+    target = folded(kind)
+    names = F.concat(F.array(folded(gold_type), folded(gold_code)), F.transform(F.coalesce(aliases, F.array().cast("array<string>")), folded))
+    near = F.exists(F.filter(names, lambda n: n != ""), lambda n: F.contains(target, n) | F.contains(n, target))
+    return ((plain(gold_code) != "") & (plain(gold_code) == plain(code))) | ((target != "") & near)
+
+
+def critical_metrics(rows: DataFrame, is_gold: Column, is_found: Column, gold_critical: Column, critical: Column, gold_severity: Column, severity: Column) -> DataFrame:
+    """One row of measures over gold findings and predictions, matched ones in one row: shares of critical gold findings that
+    were found, found and flagged, and found with their severity; the share of critical predictions that flag a critical
+    gold finding; the share of matches with equal severity."""
+    both = is_gold & is_found
+    count = lambda c: F.count_if(c)
+    same = severity_group(gold_severity) == severity_group(severity)
+    sums = rows.agg(
+        count(is_gold & gold_critical).alias("critical_gold"), count(both & gold_critical).alias("hit"), count(both & gold_critical & critical).alias("flagged"),
+        count(is_found & critical).alias("predicted"), count(both & gold_critical & same).alias("same_critical"), count(both & same).alias("same"), count(both).alias("matched"),
+    )
+    c = F.col
+    return sums.select(
+        "critical_gold", ratio(c("hit"), c("critical_gold")).alias("detection_recall"), ratio(c("flagged"), c("critical_gold")).alias("flag_recall"), ratio(c("flagged"), c("predicted")).alias("flag_precision"),
+        ratio(c("same_critical"), c("critical_gold")).alias("severity_recall"), ratio(c("same"), c("matched")).alias("severity_agreement"),
+    )
+
+
 def release_gate(metrics: DataFrame, **least: float) -> DataFrame:
     """Whether every named metric reaches its threshold."""
     good = F.lit(True)

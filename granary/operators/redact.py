@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed patterns in the order in which they apply; mobile and landline numbers share a label. (?U) makes classes Unicode-aware.
+#: Fixed patterns in the order in which they apply; mobile and landline numbers share a label. (?U) makes classes, digits and
+#: word borders Unicode-aware, so that full-width digits count as digits.
 PATTERNS = [
     ("email", r"(?U)[\w.\-+]+@[\w.\-]+\.[a-zA-Z]{2,}"),
-    ("id", r"[0-9]{17}[0-9Xx]"),
+    ("id", r"(?U)\d{17}[\dXx]"),
     ("credit_code", r"(?U)(?i)\b[0-9A-HJ-NPQRTUWXY]{18}\b"),
-    ("bank", r"(?U)\b[0-9]{16,19}\b"),
-    ("phone", r"1[3-9][0-9]-?[0-9]{4}-?[0-9]{4}"),
-    ("phone", r"0[0-9]{2,3}[-\s]?[0-9]{7,8}"),
+    ("bank", r"(?U)\b\d{16,19}\b"),
+    ("phone", r"(?U)1[3-9]\d-?\d{4}-?\d{4}"),
+    ("phone", r"(?U)0\d{2,3}[-\s]?\d{7,8}"),
 ]
+LABELS = tuple(dict.fromkeys(label for label, _ in PATTERNS))
+VAULT = "array<struct<label:string,value:string,n:int,placeholder:string>>"
 MODES = {"off": False, "false": False, "none": False, "low": True, "standard": True, "true": True, "on": True}
 
 
@@ -24,42 +27,75 @@ def redaction_on(mode: str) -> bool:
     return MODES[mode.strip().lower()]
 
 
-def _labelled(found: Column, label: str, order: int) -> Column:
-    return F.transform(found, lambda v, k: F.struct(F.lit(label).alias("label"), v.alias("value"), F.lit(order).alias("pass"), k.alias("place")))
+def _entry(label: str, above: Column):
+    """From a value and its place to its entry in the vault, numbered from `above` on."""
 
+    def entry(v: Column, k: Column) -> Column:
+        n = (above + k + 1).cast("int")
+        return F.struct(F.lit(label).alias("label"), v.alias("value"), n.alias("n"), F.concat(F.lit(f"[{label}_"), n.cast("string"), F.lit("]")).alias("placeholder"))
 
-def findings(text: Column) -> Column:
-    """array<struct<label, value, pass, place>> of what the patterns find; each pattern sees the text without what the ones
-    before it took."""
-    rest, parts = text, []
-    for i, (label, pattern) in enumerate(PATTERNS):
-        parts.append(_labelled(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), label, i))
-        rest = F.regexp_replace(rest, pattern, "\u0001")
-    return F.coalesce(F.concat(*parts), F.array().cast("array<struct<label:string,value:string,pass:int,place:int>>"))
+    return entry
 
 
-def vault(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, label, value, n, placeholder): each value once, numbered by its first occurrence within (key, label)."""
-    found = docs.select(key, F.explode(findings(F.col(text))).alias("f")).select(key, "f.*")
-    first = found.groupBy(key, "label", "value").agg(F.min(F.struct("pass", "place")).alias("at"))
-    n = F.row_number().over(Window.partitionBy(key, "label").orderBy("at", "value"))
-    return first.withColumn("n", n).select(key, "label", "value", "n", F.format_string("[%s_%d]", "label", "n").alias("placeholder"))
+def with_vault(docs: DataFrame, text: str, into: str = "vault", labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """`docs` with an array of what the patterns find in each row's text: each value once, numbered by its first occurrence
+    under its label, with its placeholder. Only `labels` are listed.
+
+    Each pattern sees the text without what the ones before it took; every rewritten text is computed once, and nothing
+    leaves the row. Numbers start above those of placeholders that the text itself holds, so these are never given back as
+    somebody's data. A null text has an empty vault."""
+    last = max(i for i, (label, _) in enumerate(PATTERNS) if label in labels)
+    names = docs.columns
+    rows = docs.withColumn("__r0", F.col(text))
+    for i, (label, pattern) in enumerate(PATTERNS[: last + 1]):
+        if label in labels:
+            rows = rows.withColumn(f"__f{i}", F.regexp_extract_all(f"__r{i}", F.lit(pattern), F.lit(0)))
+        if i < last:
+            rows = rows.withColumn(f"__r{i + 1}", F.regexp_replace(f"__r{i}", pattern, "\u0001"))
+    parts = []
+    for label in labels:
+        values = F.array_distinct(F.concat(*(F.col(f"__f{i}") for i, (own, _) in enumerate(PATTERNS) if own == label)))
+        held = F.regexp_extract_all(F.col(text), F.lit(rf"\[{label}_([0-9]{{1,8}})\]"), F.lit(1))
+        above = F.when(F.contains(F.col(text), F.lit(f"[{label}_")), F.coalesce(F.array_max(F.transform(held, lambda x: x.cast("int"))), F.lit(0))).otherwise(0)
+        entry = _entry(label, above)
+        parts.append(F.when(F.size(values) > 0, F.transform(values, entry)).otherwise(F.array().cast(VAULT)))
+    return rows.select(*(F.col(f"`{c}`") for c in names if c != into), F.coalesce(F.concat(*parts), F.array().cast(VAULT)).alias(into))
+
+
+def _replaced(text: Column, vault: Column, old: str, new: str) -> Column:
+    """The text with each entry's `old` replaced by its `new`, longest first, so that no value breaks a longer one."""
+    entries = F.array_sort(F.transform(vault, lambda e: F.struct((-F.char_length(e[old])).alias("o"), e[old].alias("old"), e[new].alias("new"))))
+    return F.when(F.size(vault) > 0, F.aggregate(entries, text, lambda t, e: F.replace(t, e["old"], e["new"]))).otherwise(text)
+
+
+def redacted(docs: DataFrame, text: str, into: str = "vault") -> DataFrame:
+    """`docs` with placeholders in the text and each row's vault beside it."""
+    return with_vault(docs, text, into).withColumn(text, _replaced(F.col(text), F.col(into), "value", "placeholder"))
+
+
+def restored(docs: DataFrame, text: str, vault: str = "vault") -> DataFrame:
+    """`docs` with the values of each row's vault given back, without the vault."""
+    return docs.withColumn(text, _replaced(F.col(text), F.col(vault), "placeholder", "value")).drop(vault)
+
+
+def vault(docs: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """(key, label, value, n, placeholder): the rows' vaults as a table."""
+    return with_vault(docs.select(key, text), text, "__v", labels).select(key, F.explode("__v").alias("e")).select(key, "e.*")
+
+
+def _with_entries(docs: DataFrame, vaults: DataFrame, key: str) -> DataFrame:
+    entries = vaults.groupBy(key).agg(F.collect_list(F.struct("label", "value", "n", "placeholder")).alias("__v"))
+    return docs.join(entries, key, "left").withColumn("__v", F.coalesce("__v", F.array().cast(VAULT)))
 
 
 def redact(docs: DataFrame, vaults: DataFrame, key: str, text: str) -> DataFrame:
-    """The text with each value of its vault replaced, longest first, so that no value breaks a longer one."""
-    entries = vaults.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.char_length("value")).alias("o"), "value", "placeholder"))).alias("__v"))
-    joined = docs.join(entries, key, "left")
-    done = F.aggregate(F.coalesce("__v", F.array().cast("array<struct<o:int,value:string,placeholder:string>>")), F.col(text), lambda t, e: F.replace(t, e["value"], e["placeholder"]))
-    return joined.withColumn(text, done).drop("__v")
+    """The text redacted by a vault table that is kept elsewhere; `redacted` needs no join."""
+    return _with_entries(docs, vaults, key).withColumn(text, _replaced(F.col(text), F.col("__v"), "value", "placeholder")).drop("__v")
 
 
 def restore(docs: DataFrame, vaults: DataFrame, key: str, text: str) -> DataFrame:
-    """The text with placeholders given back, longest first."""
-    entries = vaults.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.char_length("placeholder")).alias("o"), "placeholder", "value"))).alias("__v"))
-    joined = docs.join(entries, key, "left")
-    done = F.aggregate(F.coalesce("__v", F.array().cast("array<struct<o:int,placeholder:string,value:string>>")), F.col(text), lambda t, e: F.replace(t, e["placeholder"], e["value"]))
-    return joined.withColumn(text, done).drop("__v")
+    """The text restored from a vault table that is kept elsewhere."""
+    return _with_entries(docs, vaults, key).withColumn(text, _replaced(F.col(text), F.col("__v"), "placeholder", "value")).drop("__v")
 
 
 def summary(vaults: DataFrame) -> DataFrame:

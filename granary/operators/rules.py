@@ -107,6 +107,42 @@ def candidate_categories(text: Column, rules=EVIDENCE) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, lambda p: evidence_category(p, rules)), lambda c: c.isNotNull()))
 
 
+#: Fixed groups of words: a quotation is critical evidence of a category when it has a word of each of its groups.
+CRITICAL = [
+    ("LOCAL_REGISTRATION", ("注册 分公司 分支机构", "本市 本区 本县 所在地 外地")),
+    ("BRAND_LOCK", ("品牌 商标 型号", "仅 只能 唯一 不接受 指定")),
+    ("UNRELATED_CERT", ("认证 证书 荣誉 示范企业", "资格 无效 废标 不通过 必须 须 无关")),
+    ("REGIONAL_PERFORMANCE", ("业绩 案例 合同", "本市 本区 本县 本省 当地 所在区县")),
+    ("SCALE_THRESHOLD", ("注册资本 营业收入 资产总额 净资产", "不得低于 不少于 以上 资格")),
+]
+#: Fixed text: the reason of a critical finding, around its category.
+CRITICAL_REASON = ("命中重大问题分类 ", "，且原文证据满足红线判定条件。")
+
+
+def critical_evidence(code: Column, quotation: Column, rules=CRITICAL) -> Column:
+    """Whether the quotation has a word of each group of its category; false for categories without groups."""
+    found = F.lit(False)
+    for name, groups in rules:
+        holds = code == name
+        for words in groups:
+            holds = holds & T.any_of(quotation, words.split())
+        found = found | holds
+    return F.coalesce(found, F.lit(False))
+
+
+def normalised_findings(findings: DataFrame, rules=CRITICAL) -> DataFrame:
+    """Findings with canonical category, the category's display name as their type, and the critical flag, severity and reason
+    that their quotation gives, whatever they said before. A finding without risk or quotation is never critical."""
+    quotation = F.trim(F.coalesce(F.col("source_quote"), F.lit("")))
+    rows = findings.withColumn("category_code", canonical_category(F.col("source_quote"), F.col("category_code"), F.col("risk_type")))
+    rows = rows.withColumn("risk_type", F.coalesce(display_name(F.col("category_code")), F.col("risk_type")))
+    critical = (quotation != "") & critical_evidence(F.col("category_code"), quotation, rules)
+    rows = rows.withColumn("is_critical", ~F.coalesce(F.col("no_risk"), F.lit(False)) & critical)
+    rows = rows.withColumn("severity", F.when(F.col("is_critical"), "high").otherwise(F.col("severity")))
+    before, after = CRITICAL_REASON
+    return rows.withColumn("critical_reason", F.when(F.col("is_critical"), F.concat(F.lit(before), "category_code", F.lit(after))).otherwise(""))
+
+
 def owner(code: Column) -> Column:
     return T.cascade(F.lit(DEFAULT_OWNER), [(code == c, F.lit(o)) for c, _, o in CATEGORIES])
 

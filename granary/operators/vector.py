@@ -28,16 +28,19 @@ def cosine(a: Column, b: Column) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", max_queries: int = 10_000) -> DataFrame:
     """The `k` nearest rows of each query (query_id, q) by cosine, ties by key: exact, over all rows.
 
-    The queries are a stated set and are broadcast after their number is checked; each task keeps k rows a query before
-    the shuffle, since the rank's filter limits within tasks."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries at once; give at most {max_queries}")
-    q = F.broadcast(queries.select("query_id", normalised(F.col("q")).alias("q")))
+    The queries are a stated set. They are broadcast in blocks of about `max_queries`, dealt by a hash, so any number of
+    them can be searched; each task keeps k rows a query before the shuffle, since the rank's filter limits within tasks."""
+    blocks = -(-queries.count() // max_queries) or 1
+    q = queries.select("query_id", normalised(F.col("q")).alias("q"))
     rows = vectors.select(key, *(c for c in vectors.columns if c not in (key, embedding)), normalised(F.col(embedding)).alias("__v"))
-    scored = rows.join(q, F.lit(True)).withColumn("score", dot(F.col("__v"), F.col("q"))).drop("__v", "q")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    found = None
+    for i in range(blocks):
+        some = F.broadcast(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q)
+        scored = rows.join(some, F.lit(True)).withColumn("score", dot(F.col("__v"), F.col("q"))).drop("__v", "q")
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def low_scores(hits: DataFrame, least: float = 0.5) -> DataFrame:

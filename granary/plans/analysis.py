@@ -34,10 +34,10 @@ def query_normalise(spark, d):
 
 @query("text_measures", r"""
 SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, len(regexp_extract_all(text, '[A-Za-z]+')) AS latin_words,
-  md5(regexp_replace(substr(text, 1, 500), '[^A-Za-z0-9_]', '', 'g')) AS identifier FROM documents""")
+  md5(regexp_replace(text, '[^A-Za-z0-9_]', '', 'g')) AS identifier FROM documents""")
 def text_measures(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.char_len(t).cast("long").alias("chars"), T.byte_len(t).cast("long").alias("bytes"), F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0))).cast("long").alias("latin_words"), F.md5(T.identifier(F.substring(t, 1, 500), "").cast("binary")).alias("identifier"))
+    return table(spark, d, "documents").select("doc_id", T.char_len(t).cast("long").alias("chars"), T.byte_len(t).cast("long").alias("bytes"), F.size(F.regexp_extract_all(t, F.lit("[A-Za-z]+"), F.lit(0))).cast("long").alias("latin_words"), F.md5(T.identifier(t, "").cast("binary")).alias("identifier"))
 
 
 @query("snippets", r"""SELECT doc_id, substr(regexp_extract(text, '^([^。.\n]*[。.]?)', 1), 1, 120) AS snippet FROM documents""")
@@ -45,39 +45,41 @@ def snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-PII = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_.-]+\.[a-zA-Z]{2,}"
+WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+#: The patterns of redaction as DuckDB writes them.
+PII = {
+    "email": rf"[{WORD}.\-+]+@[{WORD}.\-]+\.[a-zA-Z]{{2,}}", "id": r"\p{Nd}{17}[\p{Nd}Xx]", "credit_code": r"(?i)\b[0-9A-HJ-NPQRTUWXY]{18}\b", "bank": r"\b\p{Nd}{16,19}\b",
+    "phone": r"1[3-9]\p{Nd}-?\p{Nd}{4}-?\p{Nd}{4}", "landline": r"0\p{Nd}{2,3}[-\s]?\p{Nd}{7,8}",
+}
+_REST = ["text"]
+for _p in list(PII.values())[:-1]:
+    _REST.append(f"regexp_replace({_REST[-1]}, '{_p}', chr(1), 'g')")
+_FOUND = {k: f"regexp_extract_all({r}, '{p}')" for (k, p), r in zip(PII.items(), _REST)}
+VALUES = "SELECT doc_id, label, len(list_distinct(v)) AS n FROM documents, " + f"""
+LATERAL (SELECT unnest(['email', 'id', 'credit_code', 'bank', 'phone']) AS label, unnest([{_FOUND['email']}, {_FOUND['id']}, {_FOUND['credit_code']}, {_FOUND['bank']}, list_concat({_FOUND['phone']}, {_FOUND['landline']})]) AS v) WHERE len(v) > 0"""
 
 
-@query("redact_counts", f"""
-SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '{PII}'))) AS BIGINT) AS emails FROM documents WHERE len(regexp_extract_all(text, '{PII}')) > 0 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query("redact_counts", VALUES)
 def redact_counts(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return redact.vault(docs, "doc_id", "text").filter("label = 'email'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("emails"))
+    """Different values of each label in each document."""
+    return redact.vault(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("redact_counts_all")
-def redact_counts_all(spark, d):
-    return redact.vault(table(spark, d, "documents"), "doc_id", "text").filter("label = 'email'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("emails"))
-
-
-@query("redact_summary")
+@query("redact_summary", f"WITH v AS ({VALUES}) SELECT coalesce(label, 'total') AS label, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY ROLLUP (label)")
 def redact_summary(spark, d):
     return redact.summary(redact.vault(table(spark, d, "documents"), "doc_id", "text"))
 
 
 @query("redact_text")
 def redact_text(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return redact.redact(docs, redact.vault(docs, "doc_id", "text"), "doc_id", "text")
+    return redact.redacted(table(spark, d, "documents").select("doc_id", "text"), "text").drop("vault")
 
 
 @query("redact_round_trip", "SELECT count(*) AS rows, count(*) AS same FROM documents")
 def redact_round_trip(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    vault = redact.vault(docs, "doc_id", "text")
-    back = redact.restore(redact.redact(docs, vault, "doc_id", "text"), vault, "doc_id", "text")
-    both = docs.withColumnRenamed("text", "before").join(back, "doc_id")
-    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") == F.col("text")).alias("same"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    back = redact.restored(redact.redacted(docs, "text"), "text")
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before").eqNullSafe(F.col("text"))).alias("same"))
 
 
 STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
@@ -106,14 +108,13 @@ def numbers_and_conflicts(spark, d):
 
 
 @query("trigram_jaccard", """
-WITH s AS (SELECT doc_id, source, substr(text, 1, 60) AS t FROM documents WHERE length(text) <= 400),
-g AS (SELECT doc_id, source, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS g FROM s)
-SELECT x.source, x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 4) AS similarity
-FROM g x JOIN g y ON x.source = y.source AND x.doc_id < y.doc_id WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) >= 0.3""")
+WITH s AS (SELECT DISTINCT p_name AS t FROM part),
+g AS (SELECT t, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS g FROM s)
+SELECT x.t AS a, y.t AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 4) AS similarity
+FROM g x JOIN g y ON x.t < y.t WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) >= 0.3""")
 def trigram_jaccard(spark, d):
-    short = table(spark, d, "documents").filter(F.char_length("text") <= 400).select("doc_id", "source", F.substring("text", 1, 60).alias("t"))
-    found = dedup.similar_pairs(short, ["source"], "doc_id", "t", 0.3, lambda a, b: T.jaccard(T.grams(a, 3), T.grams(b, 3)))
-    return found.withColumn("similarity", F.round("similarity", 4))
+    names = table(spark, d, "part").select(F.col("p_name").alias("t")).distinct()
+    return dedup.gram_pairs(names, "t", "t", 0.3).withColumn("similarity", F.round("similarity", 4))
 
 
 @query("greedy_merge")
@@ -250,14 +251,8 @@ def threshold_verdict(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", calc.within(x, calc.threshold(F.lit("1000 < x <= 1500"))).alias("inside"))
 
 
-@query("formula_values", """
-SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + l_tax) - 2, 3) AS value FROM lineitem WHERE l_orderkey % 20 = 0""")
+@query("formula_values", "SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + l_tax) - 2, 3) AS value FROM lineitem")
 def formula_values(spark, d):
-    return formula_results(table(spark, d, "lineitem").filter("l_orderkey % 20 = 0"))
-
-
-@query("formula_values_all", "SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + l_tax) - 2, 3) AS value FROM lineitem")
-def formula_values_all(spark, d):
     return formula_results(table(spark, d, "lineitem"))
 
 
@@ -267,30 +262,18 @@ def formula_results(lines):
 
 
 @query("same_key_edges", """
-SELECT DISTINCT CAST(a.l_orderkey AS VARCHAR) AS src, CAST(b.l_orderkey AS VARCHAR) AS dst FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey WHERE a.l_partkey % 100 = 7""")
+WITH c AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem), s AS (SELECT l_partkey, count(*) AS items, min(l_orderkey) AS first FROM c GROUP BY 1 HAVING count(*) > 1)
+SELECT l_partkey, l_orderkey, items, first FROM c JOIN s USING (l_partkey)""")
 def same_key_edges(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_partkey % 100 = 7").select(F.col("l_orderkey").cast("string").alias("item"), "l_partkey")
-    return graph.same_key_edges(lines, "item", "l_partkey").select("src", "dst")
-
-
-@query("same_key_edges_all", """
-SELECT DISTINCT CAST(a.l_orderkey AS VARCHAR) AS src, CAST(b.l_orderkey AS VARCHAR) AS dst FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey""")
-def same_key_edges_all(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("item"), "l_partkey")
-    return graph.same_key_edges(lines, "item", "l_partkey", most=None).select("src", "dst")
+    """Edges between orders of one part, as the part's class: every two items of a class are linked."""
+    return graph.same_key_classes(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("agent_links", """
-WITH s AS (SELECT l_partkey FROM lineitem WHERE l_partkey % 50 = 3 GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2), r AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem JOIN s USING (l_partkey))
-SELECT l_partkey, a.l_orderkey AS a, b.l_orderkey AS b FROM r a JOIN r b USING (l_partkey) WHERE a.l_orderkey < b.l_orderkey""")
+WITH s AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS items, min(l_orderkey) AS first FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2 AND count(DISTINCT l_orderkey) > 1)
+SELECT DISTINCT l_partkey, l_orderkey, items, first FROM lineitem JOIN s USING (l_partkey)""")
 def agent_links(spark, d):
-    return graph.links_of_several(table(spark, d, "lineitem").filter("l_partkey % 50 = 3"), "l_orderkey", "l_partkey", "l_suppkey")
-
-
-@query("agent_links_all", """
-WITH s AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2), r AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem JOIN s USING (l_partkey))
-SELECT l_partkey, a.l_orderkey AS a, b.l_orderkey AS b FROM r a JOIN r b USING (l_partkey) WHERE a.l_orderkey < b.l_orderkey""")
-def agent_links_all(spark, d):
+    """Links between orders of one part that several suppliers serve, as the part's class."""
     return graph.links_of_several(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
 
 
@@ -374,13 +357,8 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", jsonx.value(p, "$.k", kind="long", default=-1).alias("k"), jsonx.value(p, "$.missing", default="none").alias("missing"))
 
 
-@query("file_sizes", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || 'B' ELSE format('{:.2f}KB', floor(strlen(text) * 100 / 1024.0 + 0.5) / 100) END AS size FROM documents WHERE strlen(text) < 1048576")
+@query("file_sizes", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || 'B' WHEN strlen(text) < 1048576 THEN format('{:.2f}KB', floor(strlen(text) * 100 / 1024.0 + 0.5) / 100) ELSE format('{:.2f}MB', floor(strlen(text) * 100 / 1048576.0 + 0.5) / 100) END AS size FROM documents")
 def file_sizes(spark, d):
-    return table(spark, d, "documents").filter(F.octet_length("text") < 1048576).select("doc_id", T.file_size(F.octet_length("text").cast("long")).alias("size"))
-
-
-@query("file_sizes_all")
-def file_sizes_all(spark, d):
     return table(spark, d, "documents").select("doc_id", T.file_size(F.octet_length("text").cast("long")).alias("size"))
 
 
@@ -422,3 +400,33 @@ def duplicate_texts(spark, d):
 SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3""")
 def top_per_group(spark, d):
     return relational.top_per_group(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).drop("o_totalprice")
+
+
+@query("critical_evidence", """
+SELECT doc_id, code, CASE code WHEN 'A' THEN contains(text, 'license') AND (contains(text, 'the') OR contains(text, 'und')) WHEN 'B' THEN (contains(text, 'que') OR contains(text, 'les')) AND contains(text, 'tion') ELSE false END AS critical
+FROM documents, LATERAL (SELECT CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS code)""")
+def critical_evidence(spark, d):
+    """The critical flag of a category by groups of words that the quotation must have."""
+    code = F.when(F.col("doc_id") % 3 == 0, "A").when(F.col("doc_id") % 3 == 1, "B").otherwise("C")
+    flag = rules.critical_evidence(F.col("code"), F.col("text"), [("A", ("license", "the und")), ("B", ("que les", "tion"))])
+    return table(spark, d, "documents").select("doc_id", code.alias("code"), "text").select("doc_id", "code", flag.alias("critical"))
+
+
+@query("critical_metrics", """
+WITH r AS (SELECT toxic = 1 AS g, quality = 0 AS p, doc_id % 4 <> 0 AS found, CASE WHEN doc_id % 5 = 0 THEN 'High' ELSE 'low' END AS gs, CASE WHEN doc_id % 7 < 3 THEN 'high' ELSE 'low' END AS ps FROM labels),
+c AS (SELECT count(*) FILTER (WHERE g) AS gold, count(*) FILTER (WHERE g AND found) AS hit, count(*) FILTER (WHERE g AND found AND p) AS flagged, count(*) FILTER (WHERE found AND p) AS predicted, count(*) FILTER (WHERE found) AS matched, count(*) FILTER (WHERE found AND lower(gs) = ps) AS same, count(*) FILTER (WHERE g AND found AND lower(gs) = ps) AS same_critical FROM r)
+SELECT gold AS critical_gold, round(hit / gold, 4) AS detection_recall, round(flagged / gold, 4) AS flag_recall, round(flagged / predicted, 4) AS flag_precision, round(same_critical / gold, 4) AS severity_recall, round(same / matched, 4) AS severity_agreement FROM c""")
+def critical_metrics(spark, d):
+    rows = table(spark, d, "labels")
+    found = F.col("doc_id") % 4 != 0
+    gold_severity, severity = F.when(F.col("doc_id") % 5 == 0, "High").otherwise("low"), F.when(F.col("doc_id") % 7 < 3, "high").otherwise("low")
+    return measures.critical_metrics(rows, F.lit(True), found, F.col("toxic") == 1, found & (F.col("quality") == 0), gold_severity, severity)
+
+
+@query("type_matches", r"""
+WITH f AS (SELECT p_partkey, regexp_replace(lower(p_name), '[\s\p{P}]+', '', 'g') AS n, regexp_replace(lower(p_brand), '[\s\p{P}]+', '', 'g') AS b, regexp_replace(lower(p_type), '[\s\p{P}]+', '', 'g') AS t FROM part)
+SELECT p_partkey, t = b OR contains(n, t) OR contains(t, n) OR contains(n, b) OR contains(b, n) OR contains(n, 'widget') OR contains(n, 'redgear') AS matches FROM f""")
+def type_matches(spark, d):
+    """Whether a part's name fits its type, brand or one of two aliases; the brand stands for the predicted code."""
+    alias = F.array(F.lit("Widget"), F.lit("RED gear"))
+    return table(spark, d, "part").select("p_partkey", measures.type_matches(F.col("p_type"), F.col("p_brand"), F.col("p_brand"), F.col("p_name"), alias).alias("matches"))

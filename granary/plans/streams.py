@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -84,16 +83,14 @@ def _streamed(spark, d):
 @query("stream_equals_batch")
 def stream_equals_batch(spark, d):
     """The difference of the streamed fold and its batch twin, both ways: no rows if they agree."""
-    name = "s" + uuid.uuid4().hex[:12]
-    found = stream.run(stream.sessions(_streamed(spark, d), ["user_id"]), name, "complete", shared_folder(spark, "stream"))
+    found = stream.run(stream.sessions(_streamed(spark, d), ["user_id"]), "complete", shared_folder(spark, "stream"))
     batch = stream.sessions(table(spark, d, "events"), ["user_id"])
     return found.exceptAll(batch).withColumn("side", F.lit("stream")).unionByName(batch.exceptAll(found).withColumn("side", F.lit("batch")))
 
 
 @query("stream_windows", "SELECT event_type, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, count(*) AS events FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    name = "s" + uuid.uuid4().hex[:12]
-    found = stream.run(stream.tumbling(_streamed(spark, d), ["event_type"], "1 day"), name, "complete", shared_folder(spark, "stream"))
+    found = stream.run(stream.tumbling(_streamed(spark, d), ["event_type"], "1 day"), "complete", shared_folder(spark, "stream"))
     return found.select("event_type", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "events")
 
 
@@ -138,7 +135,6 @@ def pii_by_label(spark, d):
     """The flagship: which chunks of which documents carry personal data, and how their redacted texts begin."""
     rows = structure.fixed_chunks(structure.lines(table(spark, d, "documents").select("doc_id", "text")))
     rows = rows.withColumn("chunk_id", F.format_string("%d_%03d", "doc_id", "chunk"))
-    vault = redact.vault(rows, "chunk_id", "text")
-    counts = vault.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("values"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
-    hidden = redact.redact(rows.select("doc_id", "chunk_id", "text"), vault, "chunk_id", "text")
-    return hidden.join(counts, "chunk_id").select("doc_id", "chunk_id", "labels", "values", T.snippet(F.col("text"), 80).alias("snippet"), rules.tier(F.col("text")).alias("tier"))
+    hidden = redact.redacted(rows.select("doc_id", "chunk_id", "text"), "text").filter(F.size("vault") > 0)
+    labels = F.array_join(F.array_sort(F.array_distinct(F.transform("vault", lambda e: e["label"]))), ",")
+    return hidden.select("doc_id", "chunk_id", labels.alias("labels"), F.size("vault").cast("long").alias("values"), T.snippet(F.col("text"), 80).alias("snippet"), rules.tier(F.col("text")).alias("tier"))

@@ -14,11 +14,17 @@ def read(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parqu
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files).load(folder)
 
 
-def run(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is into a table in memory and give that table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what there is into Parquet files below `folder` and give them as a table: of the last batch for
+    complete results, of all batches for appended ones. A batch that runs twice overwrites its own files."""
+    spark = stream.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def important(events: DataFrame, severity: Column, topics: dict[str, str]) -> DataFrame:

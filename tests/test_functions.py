@@ -85,6 +85,19 @@ def test_json(spark):
     assert tuple(one(spark, jsonx.token_usage(F.lit('{"usage": {"input_tokens": 5, "output_tokens": 2}}')))) == (5, 2)
 
 
+def test_redaction_within_rows(spark):
+    texts = ["１１０１０５１９４９１２３１００２Ｘ and １１０１０５１９４９１２３１００２X, card ６２２２０２１２３４５６７８９０", "[email_1] wrote to a@b.com and c@d.org, a@b.com", "phone 13８-1234-５６７８", None, "plain [phone_3]", "x@y.zz " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = {r["doc_id"]: r for r in redact.redacted(docs, "text").collect()}
+    assert [e["label"] for e in hidden[0]["vault"]][:1] == ["id"] and "bank" in [e["label"] for e in hidden[0]["vault"]]
+    assert hidden[1]["text"] == "[email_1] wrote to [email_2] and [email_3], [email_2]"
+    assert hidden[2]["text"] == "phone [phone_1]" and hidden[3]["text"] is None and hidden[4]["text"] == texts[4] and hidden[4]["vault"] == []
+    assert hidden[5]["text"] == "[email_1] " * 3000
+    back = redact.restored(redact.redacted(docs, "text"), "text").collect()
+    assert {r["doc_id"]: r["text"] for r in back} == dict(enumerate(texts))
+    assert {r["label"] for r in redact.vault(docs, "doc_id", "text", ("phone",)).collect()} == {"phone"}
+
+
 def test_redaction_round_trip(spark):
     text = "mail 张三 a@b.com or a@b.com, id 11010519491231002X, phone 13800138000 and 010-12345678, 金额 100万元"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")

@@ -4,16 +4,48 @@ import json
 from pyspark.sql import functions as F
 
 from granary import plugins
-from granary.operators import graph, ordered, relational, structure, vector
+from granary.operators import dedup, graph, measures, ordered, relational, rules, structure, vector
 from granary.sources import files
 from granary.streaming import events as stream
 
 
-def test_skewed_keys_make_stars(spark):
-    df = spark.createDataFrame([(i, "hot") for i in range(50)] + [(1, "k"), (2, "k")], "item long, key string")
-    found = graph.same_key_edges(df, "item", "key", most=10)
-    assert found.filter("star").count() == 2 * 49
-    assert {(r["src"], r["dst"]) for r in found.filter("not star").collect()} == {(1, 2), (2, 1)}
+def test_classes_of_common_keys(spark):
+    df = spark.createDataFrame([(i, "hot") for i in range(50)] + [(1, "k"), (2, "k"), (2, "k"), (3, "alone")], "item long, key string")
+    found = graph.same_key_classes(df, "item", "key")
+    assert found.filter("key = 'hot'").count() == 50 and found.filter("key = 'alone'").count() == 0
+    assert {tuple(r) for r in found.filter("key = 'k'").collect()} == {("k", 1, 2, 1), ("k", 2, 2, 1)}
+    edges = graph.class_edges(found, "item", "key")
+    assert edges.count() == 50 * 49 and edges.filter("src = 1 and dst = 2").count() == 1
+
+
+def test_many_queries_are_searched_in_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<float>")
+    q = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    one = sorted(map(tuple, vector.search(df, q, 3).select("query_id", "rank", "vec_id").collect()))
+    assert sorted(map(tuple, vector.search(df, q, 3, max_queries=7).select("query_id", "rank", "vec_id").collect())) == one and len(one) == 180
+
+
+def test_keep_first_keeps_nulls_and_short_texts(spark):
+    df = spark.createDataFrame([(1, "k", "a" * 30), (2, "k", "a" * 30), (3, None, "a" * 30), (4, None, "a" * 30), (5, "k", None), (6, "k", None), (7, "k", "ab"), (8, "k", "ab")], "o long, k string, t string")
+    assert sorted(r["o"] for r in dedup.keep_first(df, ["k"], "t", "o").collect()) == [1, 3, 5, 6, 7, 8]
+
+
+def test_critical_metrics(spark):
+    rows = [("g", "p", True, True, "重大", "High"), ("g", "p", True, False, "high", "高"), ("g", None, True, None, "high", None), (None, "p", None, True, None, "low"), ("g", "p", False, False, "low", "低风险")]
+    df = spark.createDataFrame(rows, "g string, p string, gc boolean, pc boolean, gs string, ps string")
+    c = F.col
+    found = measures.critical_metrics(df, c("g").isNotNull(), c("p").isNotNull(), c("gc"), c("pc"), c("gs"), c("ps")).first()
+    assert tuple(found) == (3, 0.6667, 0.3333, 0.5, 0.3333, 0.6667)
+    types = spark.createDataFrame([("A01_BRAND", "brand", "x", "", []), ("A01_X", "B2_Y", "品牌 锁定", "品牌锁定问题", []), ("P", "Q", "R", "one two", ["TWO"]), ("P", "Q", "R", None, ["TWO"])], "gc string, pc string, gt string, pt string, al array<string>")
+    assert [r[0] for r in types.select(measures.type_matches(c("gc"), c("pc"), c("gt"), c("pt"), c("al"))).collect()] == [True, True, True, False]
+
+
+def test_findings_are_normalised(spark):
+    rows = [("BRAND_LOCK", "x", "仅接受指定品牌", False, "low"), ("A01_BRAND_LOCK", "x", "普通文字", False, "high"), ("BRAND_LOCK", "x", "仅接受指定品牌", True, "info"), ("", "", "", False, "high")]
+    df = spark.createDataFrame(rows, "category_code string, risk_type string, source_quote string, no_risk boolean, severity string")
+    found = rules.normalised_findings(df).collect()
+    assert [r["is_critical"] for r in found] == [True, False, False, False]
+    assert found[0]["severity"] == "high" and "BRAND_LOCK" in found[0]["critical_reason"] and found[1]["critical_reason"] == "" and found[1]["severity"] == "high"
 
 
 def test_parent_and_boundary(spark):

@@ -2,12 +2,12 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 from granary import plans
-from granary.operators import graph
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,26 +48,29 @@ def test_query(spark, duck, name):
     assert found == rows(sql.columns, sql.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
-def test_runs(spark, name):
-    df = plans.QUERIES[name](spark, SF)
-    n = df.count()
-    assert n == 0 if name == "stream_equals_batch" else n >= 0
+#: Without SQL: `stream_equals_batch` gives what differs, `greedy_match` finds nothing on the smallest tables.
+NO_ROWS = {"stream_equals_batch", "greedy_match"}
 
 
-@pytest.mark.parametrize("name, key, modulus", [("formula_values", "l_orderkey", 20), ("agent_links", "l_partkey", 50), ("interval_cover", "o_custkey", 10)])
-def test_whole_tables(spark, name, key, modulus):
-    residues = {r[0] for r in plans.QUERIES[f"{name}_all"](spark, SF).selectExpr(f"{key} % {modulus}").distinct().collect()}
-    assert len(residues) > 1
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
+def test_runs(spark, name):
+    rows = plans.QUERIES[name](spark, SF).collect()
+    assert not rows if name in NO_ROWS else rows
+    if name == "redact_text":
+        assert not any(re.search(r"[\w.]+@[\w.]+\.[a-z]{2,}", r["text"] or "") for r in rows)
+    if name == "line_sections":
+        assert any(r["title"] for r in rows) and len({(r["doc_id"], r["ord"]) for r in rows}) == len(rows)
+    if name == "document_chunks":
+        assert all(0 < r["chars"] and 1 <= r["part"] <= r["total"] for r in rows if r["part"] is not None)
 
 
-def test_every_pair_of_a_common_key(spark):
-    lines = spark.range(1001).selectExpr("cast(id AS string) AS item", "1 AS k")
-    assert graph.same_key_edges(lines, "item", "k", most=None).count() == 1001 * 1000
+def test_whole_tables(spark):
+    for name, key, modulus in (("formula_values", "l_orderkey", 20), ("agent_links", "l_partkey", 50), ("interval_cover", "o_custkey", 10)):
+        assert len({r[0] for r in plans.QUERIES[name](spark, SF).selectExpr(f"{key} % {modulus}").distinct().collect()}) > 1
 
 
 def test_whole_texts(spark, tmp_path):
-    for name, text, wanted in (("redact_counts_all", "é x@y.org, a.b@c.de and x@y.org", 2), ("file_sizes_all", "ß" * 800_000, "1.53MB")):
+    for name, text, wanted in (("redact_counts", "é x@y.org, a.b@c.de and x@y.org", 2), ("file_sizes", "ß" * 800_000, "1.53MB")):
         spark.createDataFrame([(0, text), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        found = {r[0]: r[1] for r in plans.QUERIES[name](spark, f"{tmp_path}/{name}").collect()}
+        found = {r[0]: r[-1] for r in plans.QUERIES[name](spark, f"{tmp_path}/{name}").collect()}
         assert found[0] == wanted
