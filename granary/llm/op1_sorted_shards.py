@@ -263,7 +263,10 @@ class Encoder:
         if self.known:
             model = data["model"]
             self.model = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], cache_capacity=0)
-        largest = max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values())
+            ids = [*model["vocab"].values(), *(t["id"] for t in data["added_tokens"])]
+        else:
+            ids = self.tokenizer.get_vocab(with_added_tokens=True).values()
+        largest = max(end_id, *ids)
         self.width = 2 if largest < 1 << 16 else 4
         self.end = int(end_id).to_bytes(self.width, "little")
         self.memo: dict[str, bytes] = {}
