@@ -67,16 +67,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def normalise_dates(c: Column) -> Column:
-    """Dates of several forms as yyyy-m-d."""
-    return F.regexp_replace(c, "([0-9]{4})[年/.-]0?([0-9]{1,2})[月/.-]0?([0-9]{1,2})日?", "$1-$2-$3")
+def trigrams(c: Column) -> Column:
+    """Distinct runs of three letters or digits, other characters left out; none in shorter texts."""
+    kept = F.regexp_replace(c, "[^\\p{IsAlphabetic}\\p{N}]+", "")
+    return F.when(F.char_length(kept) >= 3, grams(kept, 3)).otherwise(F.array().cast("array<string>"))
 
 
 def evidence_similarity(a: Column, b: Column) -> Column:
-    """1 for equal or contained evidence, else the Jaccard share of character trigrams."""
-    x, y = normalise_dates(F.regexp_replace(a, "\\s+", "")), normalise_dates(F.regexp_replace(b, "\\s+", ""))
-    inside = (x == y) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)))
-    return F.when(inside, F.lit(1.0)).otherwise(jaccard(grams(x, 3), grams(y, 3)))
+    """1 for equal or contained evidence, else the Jaccard share of trigrams; 0 if one is empty or null. Dates such as
+    2024年1月2日 and their mask [日期] count as equal, and blanks don't count."""
+    a, b = (F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)^\\s+|\\s+$", "") for c in (a, b))
+    x, y = (F.replace(F.regexp_replace(c, "\\p{Nd}{4}年\\p{Nd}{1,2}月\\p{Nd}{1,2}日|\\[日期\\]", "日期"), F.lit(" "), F.lit("")) for c in (a, b))
+    inside = F.contains(a, b) | F.contains(b, a) | F.contains(x, y) | F.contains(y, x)
+    return F.when((a == "") | (b == ""), F.lit(0.0)).when(inside, F.lit(1.0)).otherwise(jaccard(trigrams(x), trigrams(y)))
+
+
+def plain_heading(kind: Column, text: Column) -> Column:
+    """struct(title, pattern, level) of a heading block that no numbering marks: its first clean line, if of 2 to 30 characters."""
+    clean = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~page_noise(x))
+    first = F.get(clean, F.lit(0))
+    fits = (kind == "heading") & F.char_length(first).between(2, 30)
+    return F.when(fits, F.struct(first.alias("title"), F.lit("plain_heading").alias("pattern"), F.lit(5).alias("level")))
 
 
 def identifier(c: Column, default: str = "item") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,18 @@ def path_rollup(df: DataFrame, path: str, severity_rank: str) -> DataFrame:
     """Findings and highest severity of every prefix of the path."""
     prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, F.lit(1), n)))
     return df.filter(F.size(path) > 0).select(prefixes.alias("prefix"), severity_rank).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.max(severity_rank).alias("worst"))
+
+
+def tree_order(df: DataFrame, risks: str, title: str, language: str = "zh") -> DataFrame:
+    """Most findings first, then titles as the language sorts them."""
+    return df.orderBy(F.desc(risks), F.collate(title, language), title)
+
+
+def snapshot(folder: str, **tables: DataFrame) -> None:
+    """Nodes and edges as Parquet, a folder for each table; tables are written by tasks and none is gathered."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_snapshot(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

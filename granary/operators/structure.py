@@ -13,7 +13,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -61,6 +61,31 @@ def paths(found: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
     return rows.drop("__at").withColumn("path", F.filter("path", lambda t: t != ""))
 
 
+def section_statistics(found: DataFrame, level: str = "level", orphan: Column | None = None) -> DataFrame:
+    """One row: sections, how many of each level, and orphans if a condition says which these are."""
+    per = found.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lit(False) if orphan is None else orphan).alias("o"))
+    levels = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(level).isNotNull(), F.struct(level, "n")))))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), levels.alias("levels"), F.coalesce(F.sum("o"), F.lit(0)).alias("orphans"))
+
+
+def pipe_tables(blocks: DataFrame, keys: list[str], order: str, text: str, kind: str | None = None, mark: str = "|", known: DataFrame | None = None) -> DataFrame:
+    """(keys, table, first, last, rows): runs of two or more adjacent paragraphs of one number of cells, at least two, as
+    tables with trimmed cells; empty cells are null. `keys` are a page; `known` (keys, tables) says how many tables it has,
+    and new ones are numbered after those. A page's blocks are one window."""
+    cells = F.transform(F.split(text, T.quote(mark), -1), lambda x: F.when(F.trim(x) != "", F.trim(x)))
+    paragraph = F.lit(True) if kind is None else F.col(kind) == "paragraph"
+    shaped = blocks.select(*keys, F.col(order).alias("o"), F.when(paragraph, cells).alias("c")).withColumn("n", F.when(F.size("c") >= 2, F.size("c")))
+    w = Window.partitionBy(*keys).orderBy("o")
+    changed = F.when(F.lag("n").over(w).eqNullSafe(F.col("n")), 0).otherwise(1)
+    runs = shaped.withColumn("new", changed).withColumn("run", F.sum("new").over(w)).filter("n is not null")
+    found = runs.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("o", "c"))).alias("rows")).filter(F.size("rows") >= 2)
+    found = found.select(*keys, "run", F.col("rows")[0]["o"].alias("first"), F.element_at("rows", -1)["o"].alias("last"), F.transform("rows", lambda x: x["c"]).alias("rows"))
+    found = found.withColumn("table", F.row_number().over(Window.partitionBy(*keys).orderBy("run")) - 1)
+    if known is not None:
+        found = found.join(known.select(*keys, F.col("tables").alias("before")), keys, "left").withColumn("table", F.col("table") + F.coalesce("before", F.lit(0))).drop("before")
+    return found.select(*keys, "table", "first", "last", "rows")
+
+
 def numbering_breaks(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Headings of one pattern whose numbering doesn't rise over the one before."""
     numbered = found.withColumn("numbers", T.numbering(F.col("title"))).filter(F.size("numbers") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import calc, jsonx
 from granary.functions import text as T
-from granary.operators import dedup, graph, measures, ordered, redact, relational, rules, vector
+from granary.operators import dedup, findings, graph, measures, ordered, redact, relational, rules, structure, vector
 from granary.session import table
 
 Q: dict = {}
@@ -430,3 +430,73 @@ def type_matches(spark, d):
     """Whether a part's name fits its type, brand or one of two aliases; the brand stands for the predicted code."""
     alias = F.array(F.lit("Widget"), F.lit("RED gear"))
     return table(spark, d, "part").select("p_partkey", measures.type_matches(F.col("p_type"), F.col("p_brand"), F.col("p_brand"), F.col("p_name"), alias).alias("matches"))
+
+
+@query("merged_findings")
+def merged_findings(spark, d):
+    """Turns of a conversation as findings of its roles, four turns a clause, each told by two agents of whom one leaves out
+    punctuation, merged in two stages."""
+    none, t, who = F.array().cast("array<string>"), F.col("turn"), F.col("who")
+    told = table(spark, d, "conversations").select("conv_id", "role", "turn", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("who"))
+    name = F.concat(F.lit("agent "), ((t + who) % 3).cast("string"))
+    rows = told.select(
+        "conv_id", "role", (t * 2 + who).alias("ord"), F.array((t / 4).cast("int").cast("string")).alias("clause_ids"), F.when(who == 0, F.col("text")).otherwise(F.regexp_replace("text", "\\p{P}+", "")).alias("source_quote"),
+        ((t + 3 * who) % 7 / 7.0).alias("confidence"), name.alias("agent"), F.lit("seen").alias("reason"), F.lit("check").alias("suggestion"), F.lit("medium").alias("severity"),
+        F.array(F.concat(F.lit("law "), ((t + who) % 5).cast("string"))).alias("legal_basis"), none.alias("hypothesized_by"), F.array(name).alias("verified_by"),
+        (t % 5 == 0).alias("is_critical"), F.when(t % 5 == 0, "urgent").otherwise("").alias("critical_reason"),
+    )
+    return findings.merge_findings(rows, ["conv_id", "role"], "ord").select("conv_id", "role", "ord", "confidence", "severity", "clause_ids", "verified_by", "legal_basis", "merged")
+
+
+@query("skipped_findings", "SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AND NOT l_linestatus = 'O' AS skipped FROM lineitem")
+def skipped_findings(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", findings.skipped(F.col("l_returnflag") == "N", F.col("l_linestatus") == "O").alias("skipped"))
+
+
+@query("debated_findings", """
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 30 AND l_discount <= 0.05 AND l_returnflag <> 'N' AND l_linestatus = 'F'""")
+def debated_findings(spark, d):
+    c = F.col
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(c("l_quantity") >= 30, "high").otherwise("low").alias("severity"), c("l_discount").alias("confidence"), (c("l_returnflag") == "N").alias("no_risk"), F.when(c("l_linestatus") == "F", "verified").otherwise("hypothesis").alias("finding_role"))
+    return findings.debated(rows, 0.05).select("l_orderkey", "l_linenumber")
+
+
+@query("relevant_results", r"""
+WITH r AS (SELECT doc_id, source, text, 'http://' || source || CASE doc_id % 4 WHEN 0 THEN '.gov.example/' WHEN 1 THEN '.apple.com/' ELSE '.example/' END AS url FROM documents),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT doc_id, url FROM r LEFT JOIN n ON r.source IS NOT DISTINCT FROM n.source
+WHERE n <= 5 OR (NOT contains(coalesce(url, ''), 'apple.com') AND length(coalesce(text, '')) >= 10
+  AND (contains(coalesce(url, ''), 'gov.') OR contains(coalesce(text, ''), 'government') OR contains(coalesce(text, ''), 'procurement') OR regexp_matches(coalesce(text, ''), '[\x{4e00}-\x{9fff}]')))""")
+def relevant_results(spark, d):
+    """Documents as results of a search for their source."""
+    k = F.col("doc_id") % 4
+    url = F.concat(F.lit("http://"), "source", F.when(k == 0, ".gov.example/").when(k == 1, ".apple.com/").otherwise(".example/"))
+    return findings.relevant_results(table(spark, d, "documents").select("doc_id", "source", "text", url.alias("url")), "source", "url", "text").select("doc_id", "url")
+
+
+@query("clause_keywords", """
+SELECT doc_id, array_to_string(list_filter(['App', 'the', 'que', 'und', 'los', 'tion'], lambda w: contains(text, w))[1:3], ' ') AS words FROM documents""")
+def clause_keywords(spark, d):
+    return table(spark, d, "documents").select("doc_id", findings.clause_keywords(F.col("text"), words="App the que und los tion").alias("words"))
+
+
+@query("process_counts", """
+SELECT count(*) AS input, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS retained, count(*) FILTER (WHERE toxic = 1) AS rejected, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS deduplicated FROM labels""")
+def process_counts(spark, d):
+    return findings.process_counts(table(spark, d, "labels"), F.col("toxic") == 1, F.col("quality") == 0)
+
+
+@query("comma_tables", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS o FROM documents),
+c AS (SELECT *, CASE WHEN len(string_split(line, ',')) >= 2 THEN len(string_split(line, ',')) END AS n FROM l),
+m AS (SELECT *, CASE WHEN n IS NOT DISTINCT FROM lag(n) OVER (PARTITION BY doc_id ORDER BY o) THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM m),
+g AS (SELECT doc_id, run, min(o) AS first, max(o) AS last, count(*) AS rows, string_agg(array_to_string(list_transform(string_split(line, ','), lambda x: CASE WHEN trim(x) = '' THEN '-' ELSE trim(x) END), '|'), '/' ORDER BY o) AS t
+  FROM r WHERE n IS NOT NULL GROUP BY doc_id, run HAVING count(*) >= 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS "table", first, last, rows, md5(t) AS digest FROM g""")
+def comma_tables(spark, d):
+    """Runs of lines with one number of comma-separated cells as tables."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    text = F.array_join(F.transform("rows", lambda cells: F.array_join(cells, "|", "-")), "/")
+    found = structure.pipe_tables(lines, ["doc_id"], "ord", "line", mark=",")
+    return found.select("doc_id", F.col("table").cast("long").alias("table"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.size("rows").cast("long").alias("rows"), F.md5(text.cast("binary")).alias("digest"))

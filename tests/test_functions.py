@@ -49,7 +49,8 @@ def test_heading(spark, line, wanted):
 
 def test_similarity(spark):
     f = lambda a, b: one(spark, T.evidence_similarity(F.col("a"), F.col("b")), a=a, b=b)
-    assert f("2024年1月2日开标", "2024-1-2开标") == 1.0
+    assert f("2024年1月2日 开标", " [日期]开标") == 1.0 and f("2024-1-2开标", "[日期]开标") == 0.0
+    assert f("", "") == 0.0 and f(None, "x") == 0.0 and f("a-b,c", "x") == 0.0 and f("评审 因素", "评审因素") == 1.0
     assert f("abcdef", "abcxyz") == pytest.approx(1 / 7)
     assert f("abc", "xyz") == 0.0
 

@@ -60,6 +60,8 @@ def test_runs(spark, name):
         assert not any(re.search(r"[\w.]+@[\w.]+\.[a-z]{2,}", r["text"] or "") for r in rows)
     if name == "line_sections":
         assert any(r["title"] for r in rows) and len({(r["doc_id"], r["ord"]) for r in rows}) == len(rows)
+    if name == "merged_findings":
+        assert any(r["merged"] for r in rows) and len({(r["conv_id"], r["role"], x) for r in rows for x in (r["ord"], *r["merged"])}) == sum(1 + len(r["merged"]) for r in rows)
     if name == "document_chunks":
         assert all(0 < r["chars"] and 1 <= r["part"] <= r["total"] for r in rows if r["part"] is not None)
 
