@@ -1,4 +1,4 @@
-"""SQL that gives the rows of queries where SQL can express them: 5, 6 and 7."""
+"""SQL that gives the rows of queries where SQL can express them: 5, 6, 7, 12 and 13."""
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,4 +37,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 10 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) >= 8 * n_words AND 2 * len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][A-Z]'))) <= n_words
   AND 3 * (length(t) - length(replace(t, '!', ''))) <= n_words AS kept FROM b"""
 
-ORACLES = {"op5_decontaminate": OP5, "op6_jaccard_join": OP6, "op7_quality_rules": OP7}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS fails FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS f, filter_order[:step - 1] AS earlier, filter_order[:step] AS upto FROM o, unnest(range(1, 6)) u(step)),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (translate(fails, upto, '') = fails), 0) AS kept, coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, earlier, '') = fails), 0) AS removed,
+  coalesce(sum(n) FILTER (contains(fails, f) AND translate(fails, earlier, '') <> fails), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (contains(fails, f) AND translate(fails, earlier, '') = fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (contains(fails, f) AND translate(fails, earlier, '') = fails), 0) AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES = {"op12_filter_audit": OP12, "op13_fill_in_middle": OP13, "op5_decontaminate": OP5, "op6_jaccard_join": OP6, "op7_quality_rules": OP7}
