@@ -124,8 +124,12 @@ def letter_share(c: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    """Without script and style elements and tags, runs of white space as one blank."""
-    bare = F.regexp_replace(F.regexp_replace(c, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
+    """Without script and style elements and tags, runs of white space as one blank.
+
+    From an element or tag that isn't closed on, nothing is: the rest of the text is taken at once (and put back), so the time
+    is in proportion to the text."""
+    bare = F.regexp_replace(c, "(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>|(<(?:script|style).*)", "$1 ")
+    bare = F.regexp_replace(bare, "(?s)<[^>]*>|(<.*)", "$1 ")
     return F.trim(F.regexp_replace(bare, "[ \\t\\r\\n]+", " "))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,15 +14,17 @@ from granary.functions import text as T
 
 
 def keep_first(df: DataFrame, keys: list[str], text: str, order: str, short: int = 20) -> DataFrame:
-    """The first row of each text; null texts and texts of under `short` characters are all kept. Only a digest of the other
-    texts is shuffled, and the rows that go are taken away by their place in the order, which must be unique."""
+    """The first row of each text under the same keys; null texts and texts of under `short` characters are all kept. Only a
+    digest of the other texts is shuffled. The rows that go are taken away by keys and order, which together must be unique;
+    null keys are equal to each other."""
     long = df.filter(F.char_length(text) >= short).select(*keys, F.sha2(F.col(text).cast("binary"), 256).alias("__d"), order)
     groups = long.groupBy(*keys, "__d").agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    same = F.lit(True)
-    for k in (*keys, "__d"):
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    gone = long.alias("a").join(groups.alias("b"), same).filter(F.col(f"a.{order}") > F.col("b.__first")).select(F.col(f"a.{order}").alias(order))
-    return df.join(gone, order, "left_anti").select(*df.columns)
+
+    def same(a: str, b: str, names: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names))
+
+    gone = long.alias("a").join(groups.alias("b"), same("a", "b", [*keys, "__d"])).filter(F.col(f"a.{order}") > F.col("b.__first")).select(*(F.col(f"a.{k}").alias(k) for k in [*keys, order]))
+    return df.alias("c").join(gone.alias("d"), same("c", "d", [*keys, order]), "left_anti").select(*df.columns)
 
 
 def keep_best(df: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:

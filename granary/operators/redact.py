@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed patterns in the order in which they apply; mobile and landline numbers share a label. (?U) makes classes, digits and
 #: word borders Unicode-aware, so that full-width digits count as digits.
 PATTERNS = [
-    ("email", r"(?U)[\w.\-+]+@[\w.\-]+\.[a-zA-Z]{2,}"),
+    # An address begins where no address character stands before it, or where the last match ended: a run is read once, not
+    # from each of its characters.
+    ("email", r"(?U)(?:\G|(?<![\w.\-+]))[\w.\-+]++@[\w.\-]+\.[a-zA-Z]{2,}"),
     ("id", r"(?U)\d{17}[\dXx]"),
     ("credit_code", r"(?U)(?i)\b[0-9A-HJ-NPQRTUWXY]{18}\b"),
     ("bank", r"(?U)\b\d{16,19}\b"),
@@ -37,29 +41,51 @@ def _entry(label: str, above: Column):
     return entry
 
 
+def _numbered(label: str, above: Column) -> Callable[[Column], Column]:
+    """From the values of a label to their entries."""
+    return lambda values: F.when(F.size(values) > 0, F.transform(values, _entry(label, above))).otherwise(F.array().cast(VAULT))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it: the optimiser doesn't look into lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _entries(text: Column, labels: tuple[str, ...]) -> Column:
+    """The vault of one text. Patterns follow each other; a text is rewritten only for a pattern that found something."""
+    last = max(i for i, (label, _) in enumerate(PATTERNS) if label in labels)
+
+    def scan(i: int, rest: Column, held: list[tuple[str, Column]]) -> Column:
+        def with_found(found: Column) -> Column:
+            now = [*held, (PATTERNS[i][0], found)]
+            if i == last:
+                return vault_of(now)
+            return _let(F.when(F.size(found) > 0, F.regexp_replace(rest, PATTERNS[i][1], "\u0001")).otherwise(rest), lambda t: scan(i + 1, t, now))
+
+        return _let(F.regexp_extract_all(rest, F.lit(PATTERNS[i][1]), F.lit(0)), with_found)
+
+    def vault_of(held: list[tuple[str, Column]]) -> Column:
+        parts = []
+        for label in labels:
+            values = F.array_distinct(F.concat(*(found for own, found in held if own == label)))
+            taken = F.regexp_extract_all(text, F.lit(rf"\[{label}_([0-9]{{1,8}})\]"), F.lit(1))
+            above = F.when(F.contains(text, F.lit(f"[{label}_")), F.coalesce(F.array_max(F.transform(taken, lambda x: x.cast("int"))), F.lit(0))).otherwise(0)
+            parts.append(_let(values, _numbered(label, above)))
+        return F.concat(*parts)
+
+    return scan(0, text, [])
+
+
 def with_vault(docs: DataFrame, text: str, into: str = "vault", labels: tuple[str, ...] = LABELS) -> DataFrame:
     """`docs` with an array of what the patterns find in each row's text: each value once, numbered by its first occurrence
     under its label, with its placeholder. Only `labels` are listed.
 
-    Each pattern sees the text without what the ones before it took; every rewritten text is computed once, and nothing
-    leaves the row. Numbers start above those of placeholders that the text itself holds, so these are never given back as
-    somebody's data. A null text has an empty vault."""
-    last = max(i for i, (label, _) in enumerate(PATTERNS) if label in labels)
-    names = docs.columns
-    rows = docs.withColumn("__r0", F.col(text))
-    for i, (label, pattern) in enumerate(PATTERNS[: last + 1]):
-        if label in labels:
-            rows = rows.withColumn(f"__f{i}", F.regexp_extract_all(f"__r{i}", F.lit(pattern), F.lit(0)))
-        if i < last:
-            rows = rows.withColumn(f"__r{i + 1}", F.regexp_replace(f"__r{i}", pattern, "\u0001"))
-    parts = []
-    for label in labels:
-        values = F.array_distinct(F.concat(*(F.col(f"__f{i}") for i, (own, _) in enumerate(PATTERNS) if own == label)))
-        held = F.regexp_extract_all(F.col(text), F.lit(rf"\[{label}_([0-9]{{1,8}})\]"), F.lit(1))
-        above = F.when(F.contains(F.col(text), F.lit(f"[{label}_")), F.coalesce(F.array_max(F.transform(held, lambda x: x.cast("int"))), F.lit(0))).otherwise(0)
-        entry = _entry(label, above)
-        parts.append(F.when(F.size(values) > 0, F.transform(values, entry)).otherwise(F.array().cast(VAULT)))
-    return rows.select(*(F.col(f"`{c}`") for c in names if c != into), F.coalesce(F.concat(*parts), F.array().cast(VAULT)).alias(into))
+    Each pattern sees the text without what the ones before it took, and nothing leaves the row. The time is in proportion to
+    the text: each pattern reads it once, and the vault is made behind a generator, so that filters on it don't make it again.
+    Numbers start above those of placeholders that the text itself holds, so these are never given back as somebody's data. A
+    null text has an empty vault."""
+    made = F.coalesce(_entries(F.col(f"`{text}`"), labels), F.array().cast(VAULT))
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != into), F.explode_outer(F.array(made)).alias(into))
 
 
 def _replaced(text: Column, vault: Column, old: str, new: str) -> Column:
@@ -80,7 +106,7 @@ def restored(docs: DataFrame, text: str, vault: str = "vault") -> DataFrame:
 
 def vault(docs: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """(key, label, value, n, placeholder): the rows' vaults as a table."""
-    return with_vault(docs.select(key, text), text, "__v", labels).select(key, F.explode("__v").alias("e")).select(key, "e.*")
+    return with_vault(docs.select(key, text), text, "__v", labels).select(key, F.explode_outer("__v").alias("e")).filter("e IS NOT NULL").select(key, "e.*")
 
 
 def _with_entries(docs: DataFrame, vaults: DataFrame, key: str) -> DataFrame:

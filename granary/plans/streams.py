@@ -40,21 +40,29 @@ def gap_sessions(spark, d):
     return found.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), F.unix_micros(F.col("end").cast("timestamp")).alias("end"), "events")
 
 
-CHANGES = "CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' ELSE 'updated' END"
-
-
 def _changes(events):
     e = F.col("event_type")
-    return events.select("user_id", "event_id", F.when(e == "signup", "added").when(e == "error", "removed").otherwise("updated").alias("op"), F.when(e == "click", F.round("value", 3)).alias("a"), F.when(e == "view", F.round("value", 3)).alias("b"))
+    value = F.round("value", 3)
+    return events.select(
+        "user_id", "event_id", F.when(e == "signup", "added").when(e == "error", "removed").otherwise("updated").alias("op"),
+        F.when(e.isin("signup", "click"), value).alias("a"), F.when(e.isin("signup", "view"), value).alias("b"), F.array(F.when(e == "click", "a").when(e == "view", "b").otherwise("")).alias("patched"),
+    )
+
 
+CHANGELOG = """
+WITH c AS (SELECT user_id, list({'kind': event_type, 'a': round(value, 3), 'b': round(value, 3), 'held': false} ORDER BY event_id) AS changes FROM events GROUP BY 1),
+f AS (SELECT user_id, list_reduce(changes, lambda s, x: CASE
+  WHEN x.kind = 'signup' THEN {'kind': '', 'a': x.a, 'b': x.b, 'held': true}
+  WHEN x.kind = 'error' THEN {'kind': '', 'a': NULL, 'b': NULL, 'held': false}
+  WHEN s.held AND x.kind = 'click' THEN {'kind': '', 'a': x.a, 'b': s.b, 'held': true}
+  WHEN s.held AND x.kind = 'view' THEN {'kind': '', 'a': s.a, 'b': x.b, 'held': true}
+  ELSE s END, {'kind': '', 'a': NULL::DOUBLE, 'b': NULL::DOUBLE, 'held': false}) AS s FROM c)
+SELECT user_id, s.a AS a, s.b AS b FROM f WHERE s.held"""
 
-@query("changelog_fold", f"""
-WITH c AS (SELECT user_id, event_id, {CHANGES} AS op, CASE WHEN event_type = 'click' THEN round(value, 3) END AS a, CASE WHEN event_type = 'view' THEN round(value, 3) END AS b FROM events),
-l AS (SELECT user_id, arg_max(op, event_id) AS last, max(CASE WHEN op = 'added' THEN event_id END) AS since FROM c GROUP BY 1)
-SELECT user_id, coalesce(arg_max(a, event_id) FILTER (WHERE a IS NOT NULL), -1) AS a, coalesce(arg_max(b, event_id) FILTER (WHERE b IS NOT NULL), -1) AS b FROM c JOIN l USING (user_id) WHERE last <> 'removed' AND (since IS NULL OR event_id >= since) GROUP BY 1""")
+
+@query("changelog_fold", CHANGELOG)
 def changelog_fold(spark, d):
-    found = stream.fold_changes(_changes(table(spark, d, "events")), "user_id", "event_id", "op", ["a", "b"])
-    return found.select("user_id", F.coalesce("a", F.lit(-1.0)).alias("a"), F.coalesce("b", F.lit(-1.0)).alias("b"))
+    return stream.fold_changes(_changes(table(spark, d, "events")), "user_id", "event_id", "op", ["a", "b"], "patched")
 
 
 @query("latest_per_key", "SELECT user_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 3) AS value FROM events GROUP BY 1")
@@ -88,6 +96,12 @@ def stream_equals_batch(spark, d):
     return found.exceptAll(batch).withColumn("side", F.lit("stream")).unionByName(batch.exceptAll(found).withColumn("side", F.lit("batch")))
 
 
+@query("changelog_stream", CHANGELOG)
+def changelog_stream(spark, d):
+    """The same present rows from the events as they come in."""
+    return stream.run(stream.fold_changes(_changes(_streamed(spark, d)), "user_id", "event_id", "op", ["a", "b"], "patched"), "complete", shared_folder(spark, "stream"))
+
+
 @query("stream_windows", "SELECT event_type, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start, count(*) AS events FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     found = stream.run(stream.tumbling(_streamed(spark, d), ["event_type"], "1 day"), "complete", shared_folder(spark, "stream"))

@@ -72,13 +72,18 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def fold_changes(changes: DataFrame, key: str, seq: str, op: str, fields: list[str]) -> DataFrame:
-    """The present rows of a changelog: the last non-null value of each field since the row was last added; removed rows are
-    gone. One aggregation, so a key's history is never gathered."""
-    added = F.max(F.when(F.col(op) == "added", F.col(seq)))
-    last = changes.groupBy(key).agg(F.max_by(op, seq).alias("__last"), added.alias("__since"))
-    alive = changes.join(last.filter(F.col("__last") != "removed"), key).filter(F.col("__since").isNull() | (F.col(seq) >= F.col("__since")))
-    return alive.groupBy(key).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col(seq))).alias(f) for f in fields))
+def fold_changes(changes: DataFrame, key: str, seq: str, op: str, fields: list[str], patched: str) -> DataFrame:
+    """The present rows of a changelog, as its changes one after the other leave them: `added` sets all fields, `updated` sets
+    those named in the array `patched`, null included, of a row that is there, and `removed` takes the row away; updates
+    and removals of what isn't there do nothing. A row added again is set anew.
+
+    An add sets every field, so a field's value is that of the last change that set it: one aggregation, with a state of one row for
+    a key, on tables and on streams alike. `seq` orders the changes of a key; a stream keeps removed keys in its state."""
+    at = F.col(seq)
+    added, removed = (F.max(F.when(F.col(op) == kind, at)) for kind in ("added", "removed"))
+    values = [F.max_by(f, F.when((F.col(op) == "added") | ((F.col(op) == "updated") & F.array_contains(patched, f)), at)).alias(f) for f in fields]
+    found = changes.groupBy(key).agg(added.alias("__added"), removed.alias("__removed"), *values)
+    return found.filter(F.col("__added").isNotNull() & (F.col("__removed").isNull() | (F.col("__added") > F.col("__removed")))).select(key, *fields)
 
 
 def latest(events: DataFrame, key: str, seq: str, *fields: str) -> DataFrame:

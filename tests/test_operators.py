@@ -115,12 +115,6 @@ def test_dead_letters(spark, tmp_path):
     assert good == [0]
 
 
-def test_changelog(spark):
-    rows = [(1, 1, "added", "a", None), (1, 2, "updated", None, "b"), (2, 3, "added", "x", None), (2, 4, "removed", None, None), (3, 5, "added", "o", "o"), (3, 6, "removed", None, None), (3, 7, "added", "n", None)]
-    found = stream.fold_changes(spark.createDataFrame(rows, "k long, s long, op string, f string, g string"), "k", "s", "op", ["f", "g"])
-    assert {r["k"]: (r["f"], r["g"]) for r in found.collect()} == {1: ("a", "b"), 3: ("n", None)}
-
-
 def test_plugins(spark):
     df = spark.createDataFrame([("c1", "投标保证金为5%"), ("c2", "x")], "chunk_id string, text string")
     assert [(r["chunk_id"], r["agent"]) for r in plugins.rule_reviewer(df).collect()] == [("c1", "ProcedureAgent")]
