@@ -275,7 +275,6 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, c
                     row += 1
             long = pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(doc, long), pa.array(start, long), pa.array(length, pa.int32()), pa.array(ids, pa.binary()), pa.array(crc, long), pa.array(total, long), pa.array(number, long)], names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "row"])
-        held.memo.clear()
 
     return common.map_arrow(rows, work, "doc_id long, start long, length int, ids binary, ids_crc32 long, doc_tokens long, row long")
 

@@ -25,10 +25,12 @@ table gives no shard. Very long texts have a block of their own. Additional colu
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -139,10 +141,13 @@ def seek(block: bytes, key: bytes) -> Iterator[tuple[bytes, bytes]]:
     return (e for e in entries(block, places[max(0, low - 1)] if n else 0) if e[0] >= key)
 
 
-def bloom_places(key: bytes, bits: int, hashes: int = HASHES) -> list[int]:
+def key_hash(key: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(key)
+    return xxhash.xxh3_64_intdigest(key)
+
+
+def bloom_places(h: int, bits: int, hashes: int = HASHES) -> list[int]:
     step = (h >> 32) | 1
     return [(h + i * step) % bits for i in range(hashes)]
 
@@ -155,15 +160,16 @@ class ShardWriter:
 
         self.stream, self.width, self.place = stream, width, 0
         self.packer = zstandard.ZstdCompressor(level=1)
-        self.block, self.index, self.keys = BlockWriter(), BlockWriter(), []
+        self.block, self.index, self.last, self.hashes = BlockWriter(), BlockWriter(), None, array.array("Q")
         self.n = self.tokens = 0
 
     def add(self, key: bytes, ids: bytes) -> None:
         if self.block.n and len(self.block.body) + len(ids) > BLOCK_BYTES:
             self._flush()
         self.block.add(key, ids)
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
+        if self.last != key:
+            self.hashes.append(key_hash(key))
+            self.last = key
         self.n, self.tokens = self.n + 1, self.tokens + len(ids) // self.width
 
     def _write(self, data: bytes) -> tuple[int, int]:
@@ -180,10 +186,10 @@ class ShardWriter:
 
     def finish(self) -> None:
         self._flush()
-        bits = max(64, len(self.keys) * BITS_PER_KEY)
+        bits = max(64, len(self.hashes) * BITS_PER_KEY)
         field = np.zeros(bits, bool)
-        for key in self.keys:
-            field[bloom_places(key, bits)] = True
+        for h in self.hashes:
+            field[bloom_places(h, bits)] = True
         bloom = self._write(struct.pack("<BQ", HASHES, bits) + np.packbits(field).tobytes())
         index = self._write(self.index.finish())
         self._write(FOOTER.pack(*bloom, *index, self.n, self.tokens, self.width, MAGIC))
@@ -228,7 +234,7 @@ class ShardReader:
 
     def may_have(self, key: bytes) -> bool:
         hashes, bits, data = self.bloom
-        return all(data[p >> 3] >> (7 - (p & 7)) & 1 for p in bloom_places(key, bits, hashes))
+        return all(data[p >> 3] >> (7 - (p & 7)) & 1 for p in bloom_places(key_hash(key), bits, hashes))
 
     def get(self, key: int | str | None) -> list[np.ndarray]:
         """The ids of every document of a key."""
@@ -305,8 +311,8 @@ class Encoder:
         cuts = np.flatnonzero(piece_starts(np.frombuffer(joined.encode("utf-32-le"), "<u4"), first))
         ends = [*cuts[1:].tolist(), len(joined)]
         pieces = [joined[a:b] for a, b in zip(cuts.tolist(), ends)]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+        if len(self.memo) > MEMO_PIECES:  # what this batch has of them, the frequent ones, stays
+            self.memo = {p: self.memo[p] for p in set(pieces) if p in self.memo}
         ids = list(map(self.memo.get, pieces))
         for i in [i for i, x in enumerate(ids) if x is None]:
             piece = pieces[i]
@@ -336,7 +342,9 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, shards: int | None = None, key: str = "doc_id", column: str = "text") -> list[Shard]:
-    """Write `docs` in key order below `folder` (a URI that all executors reach); the shards, in key order."""
+    """Write `docs` in key order into a new folder below `folder` (a URI that all executors reach), so that several tables may be
+    written to one place; the shards, in key order."""
+    folder = f"{folder}/{uuid.uuid4().hex}"
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_text = isinstance(docs.schema[key].dataType, StringType)
     rows = docs.select((F.col(key) if is_text else F.col(key).cast("long")).alias("key"), F.coalesce(F.col(column), F.lit("")).alias("text"))

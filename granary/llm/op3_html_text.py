@@ -178,11 +178,14 @@ class Scanner:
         return -1, values
 
 
-def raw_end(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A)
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 
 
-_RAW_ENDS = {name: raw_end(name) for name in RAW}
+def raw_end(name: str, source: str, at: int) -> tuple[int, int] | None:
+    """Where the end tag of a raw element begins and ends. If the first one has no `>`, no later one has."""
+    found = _RAW_ENDS[name].search(source, at)
+    close = source.find(">", found.end()) if found else -1
+    return (found.start(), close + 1) if close >= 0 else None
 
 
 class Open:
@@ -271,10 +274,10 @@ def parse(source: str | None) -> Page:
                 parts.append(" ")
             continue
         if name in RAW:
-            end = _RAW_ENDS[name].search(scanner.source, scanner.at) if name not in scanner.missing else None
+            end = raw_end(name, scanner.source, scanner.at) if name not in scanner.missing else None
             if end is None:
                 scanner.missing.add(name)
-            scanner.at = end.end() if end else len(scanner.source)
+            scanner.at = end[1] if end else len(scanner.source)
             continue
         if (ended and name not in BLOCKS) or name == "html" or (name == "body" and opened.count("body")):
             continue

@@ -31,7 +31,6 @@ ENTROPY, REPEATS = 0.98, 2.0
 MAX_BLOCKS, BLOCK_TOKENS = 20_000, 100_000
 #: Sources whose shares the driver holds; with more of them each bisection step is an aggregation.
 MAX_SOURCES = 100_000
-_NULL = "\0null"
 
 
 def tokens(column: str):
@@ -93,7 +92,7 @@ def exponent(sums: Sums, entropy: float = ENTROPY, repeats: float = REPEATS, bud
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Rows (doc, source, tokens, weight, epoch, block, turn): one for each time that a document is taken."""
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit(_NULL)).alias("source"), tokens(text).alias("tokens"), F.xxhash64(F.col(key), F.lit(17)).alias("hash"))
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("source"), tokens(text).alias("tokens"), F.xxhash64(F.col(key), F.lit(17)).alias("hash"))
     # Texts are counted once: sources and blocks are summed from this narrow table.
     narrow = common.written(base.select("source", "hash", "tokens"), "mix-tokens")
     shares = source_shares(narrow)
@@ -133,7 +132,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     base = placed(base).select("doc", "source", "tokens", "weight", "block", "hash", rank.alias("rank"))
     chosen = held(base, plans, ["source", "block"], placed(narrow).select("source", "block") if not few else narrow)
     chosen = chosen.select("*", F.explode(F.filter("plan", lambda p: F.col("rank") < p["share"])).alias("p"))
-    return chosen.select("doc", F.when(F.col("source") != _NULL, F.col("source")).alias("source"), "tokens", "weight", F.col("p.epoch").alias("epoch"), "block", F.col("p.turn").alias("turn"))
+    return chosen.select("doc", F.when(F.col("source") != "", F.expr("substring(source, 2)")).alias("source"), "tokens", "weight", F.col("p.epoch").alias("epoch"), "block", F.col("p.turn").alias("turn"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

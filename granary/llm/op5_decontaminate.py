@@ -2,7 +2,8 @@
 
 Words are runs of digits, a-z and non-ASCII characters after A-Z are lower-cased. A window is `n` consecutive words of
 a benchmark item; an item of fewer words is one window of its length. The windows' hashes are broadcast in slices of
-at most `max_windows` windows, so what a task holds has a bound that is checked; a larger benchmark takes several
+at most `max_windows` pairs of window and item, so what a task holds has a bound that is checked, also where items share
+windows; a larger benchmark takes several
 passes over the training texts, each a narrow map, and the passes' hits meet in the row itself. Each task numbers the
 benchmark's words, rolls hashes over runs of known words, looks them up by binary search, and compares every hash hit
 word by word before it counts.
@@ -29,7 +30,7 @@ from granary.llm import common
 from granary.session import table
 
 N = 13
-#: Windows of one broadcast slice; about 150 bytes each in a task.
+#: Pairs of a window and its item in one broadcast slice; about 150 bytes each in a task.
 MAX_WINDOWS = 200_000
 #: Slices that one task holds, at most.
 TOGETHER = 4
@@ -73,26 +74,36 @@ def rolled_rows(ids: np.ndarray) -> np.ndarray:
     return key
 
 
+def item_windows(text: str | None, n: int = N) -> Iterator[tuple]:
+    """The windows of one item, one after the other."""
+    words = words_of(text)
+    size = min(n, len(words))
+    for i in range(len(words) - size + 1 if size else 0):
+        yield tuple(words[i : i + size])
+
+
 def windows_of(items: list[tuple], n: int = N) -> dict[tuple, set]:
     """Every window (a tuple of words) with the ids of the items that hold it."""
     found: dict[tuple, set] = {}
     for item, text in items:
-        words = words_of(text)
-        size = min(n, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            found.setdefault(tuple(words[i : i + size]), set()).add(item)
+        for window in item_windows(text, n):
+            found.setdefault(window, set()).add(item)
     return found
 
 
 def slices(items: Iterable[tuple], n: int = N, most: int = MAX_WINDOWS) -> Iterator[Slice]:
-    """Slices of about `most` windows each, one at a time; a window that two slices hold counts for the items of both."""
+    """Slices of at most `most` pairs of a window and an item that holds it, one at a time; a window that two slices hold counts
+    for the items of both."""
     held: dict[tuple, set] = {}
+    pairs = 0
     for item, text in items:
-        for window, who in windows_of([(item, text)], n).items():
-            held.setdefault(window, set()).update(who)
-            if len(held) >= most:
+        for window in item_windows(text, n):
+            who = held.setdefault(window, set())
+            pairs += item not in who
+            who.add(item)
+            if pairs >= most:
                 yield _slice(held)
-                held = {}
+                held, pairs = {}, 0
     if held:
         yield _slice(held)
 

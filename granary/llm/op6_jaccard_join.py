@@ -437,12 +437,15 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perce
     rows = (docs.join(F.broadcast(keys), "key") if few else common.spread_join(docs, keys, "key", ["text"], counted=docs.select("key"))).select("node", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler, seen = Shingler(size), set()  # repeated rows of a node: the first of a task stays
         for batch in batches:
             nodes = batch.column(0).to_pylist()
-            yield batch.filter(pa.array([node_of(s) == n for s, n in zip(shingler(common.texts(batch)), nodes)], pa.bool_()))
+            good = [node_of(s) == n and not (n in seen or seen.add(n)) for s, n in zip(shingler(common.texts(batch)), nodes)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     found = common.written(common.map_batches(rows, own, "node long, text string"), "join-texts")
+    if found.groupBy("node").count().filter("count > 1").head(1):  # and one of those of several tasks
+        found = common.written(found.groupBy("node").agg(F.min("text").alias("text")), "join-texts")
     left = found.select(F.col("node").alias("x"), F.col("text").alias("tx"))
     right = found.select(F.col("node").alias("y"), F.col("text").alias("ty"))
     both = common.spread_join(common.spread_join(pairs, left, "x", ["y"]), right, "y", ["x"], counted=pairs).select("x", "y", "tx", "ty")

@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ MAX_LANGS = 500
 PLAIN, CELLS = 30, 250_000
 #: Words whose log probabilities a task remembers.
 MEMO_WORDS = 250_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _VOCAB = "byte_bpe_50k.tiktoken"
 UNKNOWN = "und"
 
