@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -43,12 +42,6 @@ def distinct_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return keep_best(df.filter(F.trim(F.col(key)) != ""), [key], [F.col(order)])
 
 
-def similar_pairs(df: DataFrame, block: list[str], key: str, text: str, least: float, similarity: Callable[[Column, Column], Column] = T.evidence_similarity) -> DataFrame:
-    """Pairs of rows of one block whose texts are similar. The block bounds the work; it should be selective."""
-    a, b = df.select(*block, F.col(key).alias("a"), F.col(text).alias("ta")), df.select(*block, F.col(key).alias("b"), F.col(text).alias("tb"))
-    return a.join(b, block).filter(F.col("a") < F.col("b")).withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).filter(F.col("similarity") >= least).select(*block, "a", "b", "similarity")
-
-
 def gram_pairs(df: DataFrame, key: str, text: str, least: float, n: int = 3) -> DataFrame:
     """Pairs (a, b, similarity) of rows whose sets of character n-grams have that Jaccard similarity or more. Candidates share
     a gram, so this is for names and other short values; whole texts need filters on rare shingles."""
@@ -89,23 +82,6 @@ def greedy_merge(df: DataFrame, block: list[str], order: str, text: str, least:
     return df.groupBy(*block).applyInPandas(ordered, f"{schema}, merged_into {kind}")
 
 
-def greedy_match(gold: DataFrame, found: DataFrame, block: str, least: float) -> DataFrame:
-    """One-to-one matches of gold rows (block, gold_id, gold_text) and found rows (block, found_id, found_text): the best
-    similarity first, ties by ids; each side is used once. The pairs are scored in one task for each block."""
-
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pairs = sorted((-quotation_similarity(a, b), i, j) for i, a in zip(left.gold_id, left.gold_text) for j, b in zip(right.found_id, right.found_text) if quotation_similarity(a, b) >= least)
-        used_gold, used_found, kept = set(), set(), []
-        for score, i, j in pairs:
-            if i not in used_gold and j not in used_found:
-                used_gold.add(i)
-                used_found.add(j)
-                kept.append((key[0], i, j, -score))
-        return pd.DataFrame(kept, columns=["block", "gold_id", "found_id", "score"])
-
-    return gold.groupBy(block).cogroup(found.groupBy(block)).applyInPandas(match, "block long, gold_id long, found_id long, score double")
-
-
 def fuzzy_lookup(queries: DataFrame, cache: DataFrame, query: str, entry: str, least: float = 0.25) -> DataFrame:
     """The cached entry of each query: the equal one, else the one of the best bigram overlap. Candidates share a bigram."""
     q = queries.select(F.col(query).alias("query")).distinct().withColumn("g", T.grams(T.normalise_query(F.col("query")), 2))

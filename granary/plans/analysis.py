@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import calc, jsonx
 from granary.functions import text as T
-from granary.operators import dedup, findings, graph, measures, ordered, redact, relational, rules, structure, vector
+from granary.operators import dedup, findings, graph, matching, measures, ordered, redact, relational, rules, structure, vector
 from granary.session import table
 
 Q: dict = {}
@@ -125,9 +125,10 @@ def greedy_merge(spark, d):
 
 @query("greedy_match")
 def greedy_match(spark, d):
-    gold = table(spark, d, "benchmark").select(F.lit(0).cast("long").alias("block"), F.col("item_id").alias("gold_id"), F.col("text").alias("gold_text"))
-    found = table(spark, d, "documents").filter(F.char_length("text") < 300).select(F.lit(0).cast("long").alias("block"), F.col("doc_id").alias("found_id"), F.col("text").alias("found_text"))
-    return dedup.greedy_match(gold, found, "block", 0.5)
+    """Which document each benchmark item is matched with, one to one."""
+    gold = table(spark, d, "benchmark").select(F.col("item_id").alias("gold"), F.col("text").alias("gold_text"))
+    found = table(spark, d, "documents").select(F.col("doc_id").alias("found"), F.col("text").alias("found_text"))
+    return matching.match_texts(gold, found, 0.5)
 
 
 @query("fuzzy_lookup")

@@ -48,8 +48,8 @@ def test_query(spark, duck, name):
     assert found == rows(sql.columns, sql.fetchall())
 
 
-#: Without SQL: `stream_equals_batch` gives what differs, `greedy_match` finds nothing on the smallest tables.
-NO_ROWS = {"stream_equals_batch", "greedy_match"}
+#: Without SQL: `stream_equals_batch` gives what differs.
+NO_ROWS = {"stream_equals_batch"}
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
