@@ -331,3 +331,40 @@ def fixed_chunks(rows: DataFrame, key: str = "doc_id", size: int = 1500) -> Data
     place = F.floor((F.sum(F.char_length("line")).over(w) - F.char_length("line")) / size).cast("int")
     grouped = rows.withColumn("chunk", place).groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"), F.min("ord").alias("first"), F.max("ord").alias("last"))
     return grouped
+
+
+def visit_order(found: DataFrame, key: str, depth: int = 6) -> DataFrame:
+    """`found` (key, sec, parent, body_first, ...) with `visit`, an array whose order is that of a walk that visits a section after
+    its subsections, these by the first page of their bodies: the places of its ancestors and its own, then a place behind all.
+    Roots are visited by `sec`. Trees have at most `depth` levels."""
+    place = F.struct(F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce("body_first", F.lit(0))).cast("long").alias("page"), F.col("sec").cast("long").alias("sec"))
+    up = found.select(F.col(key).alias("__k"), F.col("sec").alias("__s"), F.col("parent").alias("__p"), place.alias("__o"))
+    rows = found.withColumn("visit", F.array(place, F.struct(F.lit(1 << 62).cast("long").alias("page"), F.lit(0).cast("long").alias("sec")))).withColumn("__at", F.col("parent"))
+    for _ in range(depth - 1):
+        rows = rows.join(up, (F.col(key) == F.col("__k")) & (F.col("__at") == F.col("__s")), "left")
+        rows = rows.withColumn("visit", F.when(F.col("__o").isNotNull(), F.concat(F.array("__o"), "visit")).otherwise(F.col("visit"))).withColumn("__at", F.col("__p")).drop("__k", "__s", "__p", "__o")
+    return rows.drop("__at")
+
+
+def with_tables(found: DataFrame, tables: DataFrame, key: str = "doc_id", depth: int = 6) -> DataFrame:
+    """(key, sec, body, tables): sections with the tables that they hold put behind their bodies as pipe tables.
+
+    found: key, sec, parent, body_first, body_last (null without a body), first, last, body; tables: key, table, page, idx, rows. A table
+    goes to the first section of the walk (see `visit_order`) whose body is on its page, or that has subsections, no body and the
+    page among its own. Tables without rows go nowhere. Pages are the join's key; only pages with tables are joined."""
+    order = visit_order(found, key, depth)
+    inner = found.filter("parent IS NOT NULL").select(key, F.col("parent").alias("sec")).distinct().withColumn("__inner", F.lit(True))
+    spans = F.array(
+        F.when(F.col("body_first").isNotNull(), F.struct(F.lit(0).alias("stage"), F.col("body_first").alias("low"), F.col("body_last").alias("high"))),
+        F.when(F.col("__inner") & (F.coalesce("body", F.lit("")) == ""), F.struct(F.lit(1).alias("stage"), F.col("first").alias("low"), F.col("last").alias("high"))),
+    )
+    held = order.join(inner, [key, "sec"], "left").select(key, "sec", "visit", F.explode_outer(F.filter(spans, lambda s: s.isNotNull() & (s["low"] <= s["high"]))).alias("s")).filter("s IS NOT NULL")
+    paged = held.select(key, "sec", "visit", "s.stage", F.explode(F.sequence("s.low", "s.high")).alias("page"))
+    drawn = tables.withColumn("__t", T.markdown_table(F.col("rows"))).filter("__t IS NOT NULL").drop("rows")
+    owners = drawn.select(key, "table", "page").join(paged, [key, "page"]).groupBy(key, "table").agg(F.min(F.struct("visit", "stage", "sec")).alias("o")).select(key, "table", "o.sec", "o.stage")
+    parts = drawn.join(owners, [key, "table"]).groupBy(key, "sec").agg(F.array_sort(F.collect_list(F.struct("stage", "page", "idx", "table", "__t"))).alias("__parts"))
+    body = F.coalesce("body", F.lit(""))
+    text = F.array_join(F.transform("__parts", lambda p: p["__t"]), "\n\n")
+    whole = F.when(F.col("__parts").isNull(), body).when(body == "", text).otherwise(F.concat(body, F.lit("\n\n"), text))
+    ids = F.coalesce(F.transform("__parts", lambda p: p["table"]), F.array().cast(f"array<{drawn.schema['table'].dataType.simpleString()}>"))
+    return found.join(parts, [key, "sec"], "left").select(key, "sec", whole.alias("body"), ids.alias("tables"))

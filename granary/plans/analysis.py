@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import calc, jsonx
@@ -487,13 +488,16 @@ def process_counts(spark, d):
     return findings.process_counts(table(spark, d, "labels"), F.col("toxic") == 1, F.col("quality") == 0)
 
 
-@query("comma_tables", r"""
+COMMA_TABLES = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS o FROM documents),
 c AS (SELECT *, CASE WHEN len(string_split(line, ',')) >= 2 THEN len(string_split(line, ',')) END AS n FROM l),
 m AS (SELECT *, CASE WHEN n IS NOT DISTINCT FROM lag(n) OVER (PARTITION BY doc_id ORDER BY o) THEN 0 ELSE 1 END AS new FROM c),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM m),
 g AS (SELECT doc_id, run, min(o) AS first, max(o) AS last, count(*) AS rows, string_agg(array_to_string(list_transform(string_split(line, ','), lambda x: CASE WHEN trim(x) = '' THEN '-' ELSE trim(x) END), '|'), '/' ORDER BY o) AS t
-  FROM r WHERE n IS NOT NULL GROUP BY doc_id, run HAVING count(*) >= 2)
+  FROM r WHERE n IS NOT NULL GROUP BY doc_id, run HAVING count(*) >= 2)"""
+
+
+@query("comma_tables", COMMA_TABLES + """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS "table", first, last, rows, md5(t) AS digest FROM g""")
 def comma_tables(spark, d):
     """Runs of lines with one number of comma-separated cells as tables."""
@@ -501,3 +505,29 @@ def comma_tables(spark, d):
     text = F.array_join(F.transform("rows", lambda cells: F.array_join(cells, "|", "-")), "/")
     found = structure.pipe_tables(lines, ["doc_id"], "ord", "line", mark=",")
     return found.select("doc_id", F.col("table").cast("long").alias("table"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.size("rows").cast("long").alias("rows"), F.md5(text.cast("binary")).alias("digest"))
+
+
+@query("tables_in_bodies", COMMA_TABLES.replace("string_agg(array_to_string", "'| ' || string_agg(array_to_string").replace("THEN '-' ELSE", "THEN '' ELSE").replace("'|'), '/' ORDER BY o) AS t", "' | '), ' |' || chr(10) || '| ' ORDER BY o) || ' |' AS t") + """,
+t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS id, first // 4 AS page, t AS md FROM g),
+s AS (SELECT doc_id, o, trim(line) AS line, CASE WHEN o % 6 = 0 THEN 1 WHEN o % 3 = 0 THEN 2 ELSE 3 END AS level, max(o) OVER (PARTITION BY doc_id) AS z FROM l),
+v AS (SELECT *, CASE level WHEN 1 THEN [o, 1000000000] WHEN 2 THEN [o - o % 6, 0, o, 1000000000] ELSE CASE WHEN o % 6 < 3 THEN [o - o % 6, o // 4, o, 1000000000] ELSE [o - o % 6, 0, o - o % 3, o // 4, o, 1000000000] END END AS visit FROM s),
+h AS (SELECT doc_id, o, visit, CASE WHEN level = 3 THEN o // 4 ELSE (CASE level WHEN 1 THEN o ELSE o END) // 4 END AS low,
+  CASE level WHEN 3 THEN o // 4 WHEN 2 THEN least(o + 2, z) // 4 ELSE least(o + 5, z) // 4 END AS high FROM v WHERE level = 3 OR o < z),
+w AS (SELECT t.doc_id, id, arg_min(o, visit) AS o FROM t JOIN h ON t.doc_id = h.doc_id AND page BETWEEN low AND high GROUP BY 1, 2),
+p AS (SELECT w.doc_id, w.o, string_agg(md, chr(10) || chr(10) ORDER BY page, id) AS md, string_agg(CAST(id AS VARCHAR), ',' ORDER BY page, id) AS ids FROM w JOIN t USING (doc_id, id) GROUP BY 1, 2)
+SELECT s.doc_id, s.o AS sec, ids AS tables, md5(CASE WHEN level < 3 THEN md WHEN line = '' THEN md ELSE line || chr(10) || chr(10) || md END) AS digest FROM s JOIN p ON s.doc_id = p.doc_id AND s.o = p.o""")
+def tables_in_bodies(spark, d):
+    """Tables of comma lines in a tree of sections: every sixth line a chapter, every third a part of it, the others leaves; four lines
+    a page. A table's rule is left out of the digest."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("o", "line"))
+    level = F.when(F.col("o") % 6 == 0, 1).when(F.col("o") % 3 == 0, 2).otherwise(3)
+    end = F.max("o").over(Window.partitionBy("doc_id"))
+    rows = lines.withColumn("level", level).withColumn("z", end)
+    last = F.when(F.col("level") == 1, F.least(F.col("o") + 5, "z")).when(F.col("level") == 2, F.least(F.col("o") + 2, "z")).otherwise(F.col("o"))
+    parent = F.when(F.col("level") == 2, F.col("o") - F.col("o") % 6).when(F.col("level") == 3, F.col("o") - F.col("o") % 3)
+    leaf = F.col("level") == 3
+    page = lambda c: F.floor(c / 4).cast("int")
+    found = rows.select("doc_id", F.col("o").alias("sec"), parent.alias("parent"), F.when(leaf, page(F.col("o"))).alias("body_first"), F.when(leaf, page(F.col("o"))).alias("body_last"), page(F.col("o")).alias("first"), page(last).alias("last"), F.when(leaf, F.trim("line")).otherwise("").alias("body"))
+    tables = structure.pipe_tables(lines, ["doc_id"], "o", "line", mark=",").select("doc_id", "table", page(F.col("first")).alias("page"), F.col("table").alias("idx"), "rows")
+    held = structure.with_tables(found, tables, "doc_id", 3).filter(F.size("tables") > 0)
+    return held.select("doc_id", F.col("sec").cast("long").alias("sec"), F.array_join(F.col("tables").cast("array<string>"), ",").alias("tables"), F.md5(F.regexp_replace("body", r"\n\|( ---  ?\|)+", "").cast("binary")).alias("digest"))
