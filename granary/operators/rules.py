@@ -186,23 +186,6 @@ def template_check(clauses: DataFrame, text: str, required: list[str], forbidden
     return clauses.withColumn("missing", pick(required, lambda i: ~F.contains(F.col(text), F.lit(i)))).withColumn("extra", pick(forbidden, lambda i: T.forbidden_in(F.col(text), i)))
 
 
-def conflicts(clauses: DataFrame, doc: str, key: str, text: str, pairs=CONFLICTS, most: int = 10) -> DataFrame:
-    """(doc, a, b, rule): clauses of a document that contradict each other, the first `most` for each clause.
-
-    Only clauses with a side of a pair meet, and they meet on (document, pair)."""
-    sides = F.array(*(F.struct(F.lit(i).alias("rule"), F.contains(F.col(text), F.lit(n)).alias("no"), (F.contains(F.col(text), F.lit(p)) & ~F.contains(F.col(text), F.lit(n))).alias("yes")) for i, (n, p) in enumerate(pairs)))
-    rows = clauses.select(doc, F.col(key).alias("key"), F.explode(sides).alias("s")).select(doc, "key", "s.*").filter("no or yes")
-    a = rows.filter("no").select(doc, "rule", F.col("key").alias("a"))
-    b = rows.filter("yes").select(doc, "rule", F.col("key").alias("b"))
-    w = Window.partitionBy(doc, "a").orderBy("rule", "b")
-    return a.join(b, [doc, "rule"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select(doc, "a", "b", "rule")
-
-
-def number_conflict(a: Column, b: Column) -> Column:
-    """Whether two arrays of numbers have a pair that differs by over 1 and by under a hundredfold."""
-    return F.exists(a, lambda x: F.exists(b, lambda y: (F.abs(x - y) > 1) & (F.greatest(x, y) / F.least(x, y) < 100)))
-
-
 def actionable(no_risk: Column, quotation: Column, severity: Column, mandatory: Column, negative: Column) -> Column:
     """Findings worth showing: no-risk notes pass; others need a quotation that is no heading and no empty remark."""
     q = F.trim(F.coalesce(quotation, F.lit("")))

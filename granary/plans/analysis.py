@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import calc, jsonx
 from granary.functions import text as T
-from granary.operators import dedup, findings, graph, matching, measures, ordered, redact, relational, rules, structure, vector
+from granary.operators import conflicts, dedup, findings, graph, matching, measures, ordered, redact, relational, rules, structure, vector
 from granary.session import table
 
 Q: dict = {}
@@ -229,11 +229,20 @@ def template_missing(spark, d):
 
 
 @query("clause_conflicts", """
-WITH s AS (SELECT conv_id, turn, contains(text, 'the') AS no, contains(text, 'der') AND NOT contains(text, 'the') AS yes FROM conversations),
-p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.no AND b.yes)
-SELECT conv_id, a, b, 0 AS rule FROM p WHERE n <= 10""")
+WITH s AS (SELECT conv_id, turn, lower(text) AS t, list_filter(list_transform(regexp_extract_all(lower(text), '[0-9][0-9.]*'), lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x IS NOT NULL AND x > 0) AS v FROM conversations),
+f AS (SELECT *, contains(t, 'qui') OR contains(t, 'zu') AS threshold, contains(t, 'par') OR contains(t, 'from') AS reward,
+  CASE WHEN contains(t, 'une') THEN 1 WHEN contains(t, 'und') THEN 2 WHEN contains(t, 'the') THEN 3 ELSE 0 END AS level,
+  contains(t, 'los') AS no, contains(t, 'que') AND NOT contains(t, 'los') AS yes, contains(t, 'der') AS s1, contains(t, 'for') AS s2, contains(t, 'sur') AS r1, contains(t, 'with') AS r2 FROM s),
+c AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, CASE
+  WHEN a.threshold AND b.reward THEN CASE WHEN a.level > 0 AND b.level > 0 AND a.level > b.level THEN 'upgrade_level' ELSE 'upgrade' END
+  WHEN (a.no AND b.yes) OR (b.no AND a.yes) THEN 'logic'
+  WHEN ((a.s1 AND b.s1) OR (a.s2 AND b.s2)) AND len(list_filter(a.v, lambda x: len(list_filter(b.v, lambda y: abs(x - y) > 1 AND greatest(x, y) / least(x, y) < 100)) > 0)) > 0 THEN 'data'
+  WHEN (a.r1 AND NOT b.r1) OR (a.r2 AND NOT b.r2) THEN 'dangling' END AS rule FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.turn <> b.turn)
+SELECT * FROM c WHERE rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, a ORDER BY b) <= 10""")
 def clause_conflicts(spark, d):
-    return rules.conflicts(table(spark, d, "conversations"), "conv_id", "turn", "text", [("the", "der")])
+    """The four rules over conversations' turns, with words of the languages that these are in."""
+    words = conflicts.Words(["qui", "zu"], ["par", "from"], [("une", 1), ("und", 2), ("the", 3)], [("los", "que")], ["der", "for"], ["sur", "with"])
+    return conflicts.contradictions(table(spark, d, "conversations"), "conv_id", "turn", "text", words)
 
 
 @query("timeline_checks", """
