@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.session import shared_folder, ship
+
+#: Scores that a task computes at once.
+SCORES = 4_000_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -25,24 +35,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", max_queries: int = 50_000) -> DataFrame:
     """The `k` nearest rows of each query (query_id, q) by cosine, ties by key: exact, over all rows.
 
-    The queries are a stated set. They are broadcast in blocks of about `max_queries`, dealt by a hash, so any number of
-    them can be searched; each task keeps k rows a query before the shuffle, since the rank's filter limits within tasks."""
+    The queries are a stated set, broadcast in blocks of about `max_queries` (by a hash, so any number of them can be searched; each
+    block is one read of the vectors and is stored). A task multiplies batches of vectors with the block and keeps `k` rows a query:
+    what a batch adds are the rows that reach a query's worst kept score. Scores count to 12 decimals, so equal vectors tie. Rows
+    and queries without a vector find nothing; a zero vector has score 0."""
+    spark = vectors.sparkSession
+    ship(spark)
     blocks = -(-queries.count() // max_queries) or 1
-    q = queries.select("query_id", normalised(F.col("q")).alias("q"))
-    rows = vectors.select(key, *(c for c in vectors.columns if c not in (key, embedding)), normalised(F.col(embedding)).alias("__v"))
+    rest = [c for c in vectors.columns if c not in (key, embedding)]
+    rows = vectors.select(key, *rest, F.col(embedding).cast("array<double>").alias("__v")).filter("__v IS NOT NULL")
+    names, kind = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__v").schema)], queries.schema["query_id"].dataType.simpleString()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     found = None
     for i in range(blocks):
-        some = F.broadcast(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q)
-        scored = rows.join(some, F.lit(True)).withColumn("score", dot(F.col("__v"), F.col("q"))).drop("__v", "q")
-        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        some = queries.filter(F.col("q").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", F.col("q").cast("array<double>").alias("q")).toPandas()
+        shared = spark.sparkContext.broadcast((some["query_id"].to_numpy(), _units(some["q"])))
+        near = rows.mapInPandas(_nearest(shared, k, key), ", ".join([*names, f"query_id {kind}", "score double"]))
+        best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if blocks > 1:
+            path = shared_folder(spark, "nearest")
+            best.write.parquet(path)
+            best = spark.read.schema(best.schema).parquet(path)
         found = best if found is None else found.unionByName(best)
     return found
 
 
+def _units(column: pd.Series) -> np.ndarray:
+    """A matrix of the vectors at unit length."""
+    held = np.array(column.tolist(), np.float64).reshape(len(column), -1)
+    length = np.sqrt((held * held).sum(1, keepdims=True))
+    return held / np.where(length > 0, length, 1.0)
+
+
+def _nearest(shared: Broadcast, k: int, key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, wanted = shared.value
+        held, worst = None, np.full(len(ids), -np.inf)
+        for rows in batches:
+            if not len(ids) or not len(rows):
+                continue
+            units, rows = _units(rows["__v"]), rows.drop(columns="__v")
+            step = max(1, SCORES // len(ids))
+            for a in range(0, len(rows), step):
+                scores = np.round(units[a : a + step] @ wanted.T, 12) + 0.0
+                i, j = np.nonzero(scores >= worst)
+                new = rows.iloc[a + i].assign(__q=j, score=scores[i, j])
+                both = new if held is None else pd.concat([held, new], ignore_index=True)
+                both = both.sort_values(["__q", "score", key], ascending=[True, False, True], kind="stable")
+                place = both.groupby("__q").cumcount()
+                held = both[place < k]
+                full = both[place == k - 1]
+                worst[full["__q"].to_numpy()] = full["score"].to_numpy()
+        if held is not None:
+            yield held.assign(query_id=ids[held["__q"].to_numpy()])[[*(c for c in held.columns if c not in ("__q", "score")), "query_id", "score"]]
+
+    return work
+
+
 def low_scores(hits: DataFrame, least: float = 0.5) -> DataFrame:
     """Queries with a flag when even the best hit is weak."""
     return hits.groupBy("query_id").agg((F.max("score") < least).alias("weak"))

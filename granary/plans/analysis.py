@@ -165,7 +165,9 @@ def knn_topk(spark, d):
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("knn_weak", None)
+@query("knn_weak", f"""
+WITH u AS ({UNIT}), s AS (SELECT q.vec_id AS query_id, list_sum(list_transform(list_zip(q.v, u.v), lambda p: p[1] * p[2])) AS score FROM u q, u WHERE q.vec_id % 50 = 0)
+SELECT query_id, max(score) < 0.5 AS weak FROM s GROUP BY 1""")
 def knn_weak(spark, d):
     return vector.low_scores(vector.search(table(spark, d, "embeddings").select("vec_id", "embedding"), _queries(spark, d), 5))
 
