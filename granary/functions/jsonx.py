@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions import text as T
+
 
 def value(c: Column, *paths: str, kind: str = "string", default=None) -> Column:
     """The first path that has a value, cast, or the default; text that isn't JSON counts as having none."""
@@ -25,3 +27,10 @@ def token_usage(c: Column) -> Column:
 def hit_count(c: Column) -> Column:
     """Search hits over three shapes: a list of results, a nested list, a bare list."""
     return F.coalesce(F.json_array_length(F.get_json_object(c, "$.results")), F.json_array_length(F.get_json_object(c, "$.data.webPages.value")), F.when(F.trim(c).startswith("["), F.json_array_length(c)), F.lit(0))
+
+
+def reference_ids(answer: Column, given: Column) -> Column:
+    """Block ids marked in an answer, then those of a JSON array of references; each once; what is null or no JSON
+    gives none."""
+    beside = F.filter(F.from_json(given, "array<struct<block_id:string>>")["block_id"], lambda x: x.isNotNull())
+    return F.array_distinct(F.concat(F.coalesce(T.block_references(answer), F.array().cast("array<string>")), F.coalesce(beside, F.array().cast("array<string>"))))

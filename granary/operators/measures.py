@@ -145,3 +145,9 @@ def marks(df: DataFrame, **conditions: Column) -> DataFrame:
 
 def run_progress(runs: DataFrame, status: str, seconds: str) -> DataFrame:
     return runs.agg(F.count_if(F.col(status) == "completed").alias("completed"), F.count_if(F.col(status) == "failed").alias("failed"), F.round(F.sum(seconds), 1).alias("seconds"))
+
+
+def trace_names(events: DataFrame, agent: str, clause: str) -> DataFrame:
+    """(kind, name): the different agents and clauses of a trace, without empty and null ones."""
+    kinds = F.array(F.struct(F.lit("agents").alias("kind"), F.col(agent).cast("string").alias("name")), F.struct(F.lit("clauses").alias("kind"), F.col(clause).cast("string").alias("name")))
+    return events.select(F.explode(kinds).alias("x")).select("x.*").filter("name <> ''").distinct()

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.session import ship
+
+#: Words of one automaton, about.
+MOST_WORDS = 200_000
 
 #: Category codes, names and the reviewer that owns each.
 CATEGORIES = [
@@ -167,17 +175,45 @@ def routes(spark: SparkSession, rules=ROUTES) -> DataFrame:
     return spark.createDataFrame([(a, w) for a, words in rules for w in (words.split() or [""])], "agent string, word string")
 
 
-def route(clauses: DataFrame, rules: DataFrame, key: str, text: str, fallback: str = DEFAULT_OWNER) -> DataFrame:
-    """(key, agent): every reviewer one of whose words a clause has; clauses of no reviewer go to the fallback.
-
-    The rules are a dimension of a few hundred words and are folded into one expression, so clauses aren't paired with rules."""
-    words: dict[str, list[str]] = {}
-    for r in rules.limit(10_001).collect():
-        words.setdefault(r["agent"], []).append(r["word"])
-    if sum(map(len, words.values())) > 10_000:
-        raise ValueError("more routing words than an expression should hold")
-    hit = F.filter(F.array(*(F.when(F.lit(True) if "" in w else T.any_of(F.lower(F.col(text)), [x.lower() for x in w]), F.lit(a)) for a, w in sorted(words.items()))), lambda a: a.isNotNull())
-    return clauses.select(key, F.explode(F.when(F.size(hit) > 0, hit).otherwise(F.array(F.lit(fallback)))).alias("agent"))
+def route(clauses: DataFrame, rules: DataFrame, key: str, text: str, fallback: str = DEFAULT_OWNER, most: int = MOST_WORDS) -> DataFrame:
+    """(key, agent): every reviewer one of whose words a clause has, case aside; clauses of no reviewer go to the fallback.
+
+    The words of all reviewers, made while the engine runs or not, are compiled to an automaton that finds them all in one pass
+    over a text. An automaton holds about `most` words; more words are dealt to several by a hash, each a further narrow pass that
+    adds to the row what it finds. An empty word is in every clause; null words and agents are in none, a null text has none."""
+    ship(clauses.sparkSession)
+    words = rules.filter("agent IS NOT NULL AND word IS NOT NULL").select("agent", F.lower("word").alias("word")).distinct()
+    parts = -(-words.count() // most) or 1
+    rows = clauses.select(key, F.lower(text).alias("__t"), F.array().cast("array<string>").alias("__a"))
+    for i in range(parts):
+        some = words.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == i).collect()
+        shared = clauses.sparkSession.sparkContext.broadcast([(r["word"], r["agent"]) for r in some])
+        rows = rows.mapInArrow(_finder(shared), rows.schema)
+    return rows.select(key, F.explode(F.when(F.size("__a") > 0, F.array_distinct("__a")).otherwise(F.array(F.lit(fallback)))).alias("agent"))
+
+
+def _finder(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        agents: dict[str, list[str]] = {}
+        for word, agent in shared.value:
+            agents.setdefault(word, []).append(agent)
+        always, automaton = set(agents.pop("", [])), ahocorasick.Automaton()
+        for word, who in agents.items():
+            automaton.add_word(word, tuple(who))
+        automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for t, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                mine = set(before) | (always if t is not None else set())
+                if t and agents:
+                    for _, who in automaton.iter(t):
+                        mine.update(who)
+                found.append(sorted(mine))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=batch.schema.names)
+
+    return work
 
 
 def template_check(clauses: DataFrame, text: str, required: list[str], forbidden: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import calc, jsonx
 from granary.functions import text as T
-from granary.operators import conflicts, dedup, findings, graph, matching, measures, ordered, redact, relational, rules, structure, vector
+from granary.operators import conflicts, dedup, findings, graph, matching, measures, ordered, redact, relational, review, rules, structure, vector
 from granary.session import table
 
 Q: dict = {}
@@ -223,6 +223,17 @@ def keyword_routing(spark, d):
     return rules.route(table(spark, d, "documents"), routing, "doc_id", "text", "none")
 
 
+@query("word_routing", r"""
+WITH r AS (SELECT DISTINCT lower(w) AS word, 'a' || length(w) % 7 AS agent FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM benchmark) WHERE length(w) >= 6),
+h AS (SELECT DISTINCT doc_id, agent FROM documents, r WHERE contains(lower(text), word))
+SELECT * FROM h UNION ALL SELECT doc_id, 'none' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)""")
+def word_routing(spark, d):
+    """Reviewers whose words come from a table, all words of six letters or more of the benchmark."""
+    words = table(spark, d, "benchmark").select(F.explode_outer(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")).alias("word")).filter(F.char_length("word") >= 6)
+    routing = words.select(F.concat(F.lit("a"), (F.char_length("word") % 7).cast("string")).alias("agent"), "word")
+    return rules.route(table(spark, d, "documents"), routing, "doc_id", "text", "none")
+
+
 @query("template_missing", """
 SELECT doc_id, array_to_string(list_filter(['the', 'and', 'with'], lambda x: NOT contains(text, x)), ',') AS missing, array_to_string(list_filter(['license', 'worthless'], lambda x: contains(text, x)), ',') AS extra FROM documents""")
 def template_missing(spark, d):
@@ -542,3 +553,30 @@ def tables_in_bodies(spark, d):
     tables = structure.pipe_tables(lines, ["doc_id"], "o", "line", mark=",").select("doc_id", "table", page(F.col("first")).alias("page"), F.col("table").alias("idx"), "rows")
     held = structure.with_tables(found, tables, "doc_id", 3).filter(F.size("tables") > 0)
     return held.select("doc_id", F.col("sec").cast("long").alias("sec"), F.array_join(F.col("tables").cast("array<string>"), ",").alias("tables"), F.md5(F.regexp_replace("body", r"\n\|( ---  ?\|)+", "").cast("binary")).alias("digest"))
+
+
+@query("reference_union", r"""
+WITH r AS (SELECT event_id, list_transform(regexp_extract_all(c, '\[b_[0-9]+_[0-9]+\]'), lambda x: x[2:-2]) AS a, k FROM
+  (SELECT event_id, '[b_' || user_id % 9 || '_' || event_id % 4 || '] and [b_' || event_id % 4 || '_1]' AS c, ['b_' || event_id % 4 || '_1', 'b_7_' || user_id % 3] AS k FROM events))
+SELECT event_id, array_to_string(list_concat(list_filter(a, lambda x, i: list_position(a, x) = i), list_filter(k, lambda x, i: NOT list_contains(a, x) AND list_position(k, x) = i)), ',') AS ids FROM r""")
+def reference_union(spark, d):
+    """References marked in an answer and those given beside it as JSON, each block once, marked ones first."""
+    answer = F.concat(F.lit("[b_"), (F.col("user_id") % 9).cast("string"), F.lit("_"), (F.col("event_id") % 4).cast("string"), F.lit("] and [b_"), (F.col("event_id") % 4).cast("string"), F.lit("_1]"))
+    given = F.to_json(F.array(*(F.struct(F.concat(*x).alias("block_id")) for x in ((F.lit("b_"), (F.col("event_id") % 4).cast("string"), F.lit("_1")), (F.lit("b_7_"), (F.col("user_id") % 3).cast("string"))))))
+    return table(spark, d, "events").select("event_id", F.array_join(jsonx.reference_ids(answer, given), ",").alias("ids"))
+
+
+@query("xref_status", """
+WITH r AS (SELECT DISTINCT conv_id, split_part(text, ' ', 1) AS ref FROM conversations)
+SELECT r.conv_id, ref, count(turn) AS candidates, CASE count(turn) WHEN 0 THEN 'dangling' WHEN 1 THEN 'valid' ELSE 'ambiguous' END AS status
+FROM r LEFT JOIN conversations c ON c.conv_id = r.conv_id AND contains(substr(c.text, 1, 500), r.ref) GROUP BY 1, 2""")
+def xref_status(spark, d):
+    """The first word of each turn as a reference to the conversation's turns."""
+    turns = table(spark, d, "conversations")
+    return review.resolve_references(turns.select("conv_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("ref")), turns, "conv_id", "ref", "turn", "text")
+
+
+@query("trace_names", """
+SELECT 'agents' AS kind, event_type AS name FROM events WHERE event_type <> '' GROUP BY 2 UNION ALL SELECT 'clauses', CAST(user_id AS VARCHAR) FROM events WHERE user_id IS NOT NULL GROUP BY 2""")
+def trace_names(spark, d):
+    return measures.trace_names(table(spark, d, "events"), "event_type", "user_id")

@@ -23,8 +23,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; array columns are joined with |."""
-    flat = [F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
+    """CSV with a header; array columns are joined with |. Each file begins with a byte-order mark, in front of the header."""
+    flat = [(F.array_join(c, "|") if t.startswith("array") else F.col(c)).alias("\ufeff" * (i == 0) + c) for i, (c, t) in enumerate(df.dtypes)]
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
