@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators import rules
 
 #: Words of a search for each type of risk.
 TEMPLATES = {
@@ -195,3 +196,30 @@ def merge_findings(findings: DataFrame, keys: list[str], order: str, stages: tup
             yield pd.DataFrame(ready)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(merge, schema)
+
+
+def checked_outputs(outputs: DataFrame, key: str, payload: str, most: int = 5) -> DataFrame:
+    """(key, pos, severity, category_code, source_quote, confidence, error): each finding of a reviewer's output by itself.
+
+    A payload is JSON with an array `findings`. A finding that is no object, lacks its quotation, is of no known severity or category,
+    has no confidence from 0 to 1, or is high below 0.6, is a row with the reason; so is each one past the first `most`. A
+    payload that is no JSON or has no such array is a row with pos -1; an empty array gives none. The good ones of a payload stay,
+    whatever the others are."""
+    parsed = outputs.select(key, F.try_parse_json(payload).alias("__j"))
+    listed = parsed.select(key, F.try_variant_get("__j", "$.findings", "array<variant>").alias("__f"), F.col("__j").isNull().alias("__bad"))
+    broken = listed.filter(F.col("__f").isNull()).select(key, F.lit(-1).alias("pos"), F.lit(None).cast("variant").alias("__e"), F.when(F.col("__bad"), "no JSON").otherwise("no findings").alias("__why"))
+    each = listed.select(key, F.posexplode_outer("__f").alias("pos", "__e")).filter("pos IS NOT NULL").select(key, "pos", "__e", F.lit(None).cast("string").alias("__why"))
+    kinds = {"severity": "string", "category_code": "string", "source_quote": "string", "confidence": "double"}
+    rows = broken.union(each).withColumns({c: F.try_variant_get("__e", f"$.{c}", kind) for c, kind in kinds.items()})
+    object_ = F.coalesce(F.schema_of_variant("__e").startswith("OBJECT"), F.lit(False))
+    error = F.coalesce(
+        F.col("__why"),
+        F.when(F.col("pos") >= most, "too many"),
+        F.when(~object_, "no object"),
+        F.when(F.trim(F.coalesce("source_quote", F.lit(""))) == "", "no quotation"),
+        F.when(~F.coalesce(F.col("severity").isin(list(rules.SEVERITIES)), F.lit(False)), "unknown severity"),
+        F.when(~F.coalesce(F.col("category_code").isin([c for c, *_ in rules.CATEGORIES] + ["OTHER"]), F.lit(False)), "unknown category"),
+        F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "no confidence"),
+        F.when((F.col("severity") == "high") & (F.col("confidence") < 0.6), "high without confidence"),
+    )
+    return rows.select(key, "pos", *kinds, error.alias("error"))

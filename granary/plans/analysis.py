@@ -580,3 +580,19 @@ def xref_status(spark, d):
 SELECT 'agents' AS kind, event_type AS name FROM events WHERE event_type <> '' GROUP BY 2 UNION ALL SELECT 'clauses', CAST(user_id AS VARCHAR) FROM events WHERE user_id IS NOT NULL GROUP BY 2""")
 def trace_names(spark, d):
     return measures.trace_names(table(spark, d, "events"), "event_type", "user_id")
+
+
+@query("checked_outputs", """
+WITH e AS (SELECT event_id, value, CASE event_type WHEN 'click' THEN 'low' WHEN 'view' THEN 'info' WHEN 'purchase' THEN 'high' ELSE event_type END AS severity, user_id FROM events)
+SELECT event_id, 0 AS pos, severity, round(value / 100, 6) AS confidence, CASE WHEN user_id % 5 = 0 THEN 'no quotation' WHEN severity NOT IN ('info', 'low', 'medium', 'high') THEN 'unknown severity'
+  WHEN value IS NULL OR value / 100 > 1 OR value < 0 THEN 'no confidence' WHEN severity = 'high' AND value / 100 < 0.6 THEN 'high without confidence' END AS error FROM e WHERE event_id % 7 <> 0
+UNION ALL SELECT event_id, 1, NULL, NULL, 'no object' FROM e WHERE event_id % 7 <> 0
+UNION ALL SELECT event_id, -1, NULL, NULL, CASE WHEN event_id % 2 = 0 THEN 'no JSON' ELSE 'no findings' END FROM e WHERE event_id % 7 = 0""")
+def checked_outputs(spark, d):
+    """Outputs made of events, some broken, one finding of each checked by its event's type and value."""
+    kind = F.col("event_type")
+    severity = F.when(kind == "click", "low").when(kind == "view", "info").when(kind == "purchase", "high").otherwise(kind)
+    one = F.to_json(F.struct(severity.alias("severity"), F.lit("OTHER").alias("category_code"), F.when(F.col("user_id") % 5 == 0, " ").otherwise("q").alias("source_quote"), (F.col("value") / 100).alias("confidence")))
+    payload = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit('{"findings": ['), one, F.lit(", 5]}"))).when(F.col("event_id") % 2 == 0, "{broken").otherwise('{"other": []}')
+    found = findings.checked_outputs(table(spark, d, "events").select("event_id", payload.alias("payload")), "event_id", "payload")
+    return found.select("event_id", "pos", "severity", F.round("confidence", 6).alias("confidence"), "error")

@@ -46,6 +46,46 @@ def hashed_embedder(dimension: int = 64, batch: int = 32) -> Embedder:
     return lambda text: F.pandas_udf(encode, "array<float>", F.PandasUDFType.SCALAR_ITER)(text)
 
 
+class Refused(Exception):
+    """What a service raises for a batch that is too large for it."""
+
+
+def halved(service: Callable[[list[str]], list[list[float]]], texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+    """(vector, error) of each text, in order: a batch that the service refuses goes to it in halves until it fits, and a text
+    that it refuses alone gets the reason instead of a vector."""
+    found: list[tuple[list[float] | None, str | None]] = [(None, None)] * len(texts)
+    todo = [(0, len(texts))] if texts else []
+    while todo:
+        low, high = todo.pop()
+        try:
+            found[low:high] = [(v, None) for v in service(texts[low:high])]
+        except Refused as e:
+            if high - low == 1:
+                found[low] = (None, str(e))
+            else:
+                middle = (low + high) // 2
+                todo += [(middle, high), (low, middle)]
+    return found
+
+
+def service_embedder(service: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Embedder:
+    """struct<v, error> of texts by a service that takes batches and may refuse them. Null texts count as empty."""
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            held = [t if t is not None else "" for t in texts]
+            found = [x for i in range(0, len(held), batch) for x in halved(service, held[i : i + batch])]
+            yield pd.DataFrame({"v": [v for v, _ in found], "error": [e for _, e in found]}, index=texts.index)
+
+    return lambda text: F.pandas_udf(encode, "v array<float>, error string", F.PandasUDFType.SCALAR_ITER)(text)
+
+
+def chosen_embedder(remote: Embedder, local: Embedder, text: Column, is_remote: Column) -> Column:
+    """struct<v, error> by a choice for each row. A remote service sees redacted texts alone: `text` is what `redact.redacted` left."""
+    mine = F.struct(local(F.when(~is_remote, text)).alias("v"), F.lit(None).cast("string").alias("error"))
+    return F.when(is_remote, remote(F.when(is_remote, text))).otherwise(mine)
+
+
 def rule_reviewer(clauses: DataFrame) -> DataFrame:
     """Findings by the category rules: (chunk_id, category, agent) for each candidate category of a clause."""
     found = clauses.select("chunk_id", F.explode(rules.candidate_categories(F.col("text"))).alias("category"))
