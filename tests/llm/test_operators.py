@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -128,12 +129,13 @@ def test_other_makes_encode_by_the_library():
             op9_token_counts.load(public_tokenizers.path(name))
 
 
-def test_files_of_lost_attempts_go(spark, tmp_path):
+def test_files_of_lost_attempts_go(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(i, prose(9, i)) for i in range(20)], "doc_id long, text string")
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "shard-0000000-99999.sst").write_bytes(b"half")
+    monkeypatch.setattr(op1_sorted_shards.uuid, "uuid4", lambda: types.SimpleNamespace(hex="own"))  # the folder of this write
+    (tmp_path / "s" / "own").mkdir(parents=True)
+    (tmp_path / "s" / "own" / "shard-0000000-99999.sst").write_bytes(b"half")
     shards = op1_sorted_shards.write_shards(docs, f"file://{tmp_path}/s", shards=2)
-    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("shard")) == sorted(x.path.rsplit("/", 1)[1] for x in shards)
+    assert sorted(p.name for p in (tmp_path / "s" / "own").iterdir() if p.name.startswith("shard")) == sorted(x.path.rsplit("/", 1)[1] for x in shards)
     assert op1_sorted_shards.read_shards(spark, shards).count() == 20
 
 
