@@ -54,6 +54,8 @@ FILL = 0.985
 GROUP = 4000
 #: Columns that the simplex may generate before it stops with what it has (never met; a guard against cycling).
 MOST_COLUMNS = 20_000
+#: Columns without a gain after which it stops: the basis holds all pieces at any time, and what it lacks goes to rounding.
+STALLED = 150
 
 
 # The plan -------------------------------------------------------------------------------------------------------------
@@ -124,13 +126,17 @@ def solve(sizes: list[int], demand: list[int], capacity: int = CAPACITY, gap: fl
     m = len(sizes)
     patterns = [{i: capacity // s} for i, s in enumerate(sizes)]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-    wanted = np.array(demand, float)
+    # Slightly different demands keep equal ratios, and with them pivots that change nothing, away.
+    wanted = np.array(demand, float) * (1 + 1e-7 * np.random.default_rng(1).random(m))
+    best, since = math.inf, 0
     used, knapsack, bound = inverse @ wanted, Knapsack(sizes, capacity), 0.0
     for turn in range(MOST_COLUMNS):
         prices = inverse.sum(0)
         worth, pattern = knapsack.best(prices)
         bound = max(bound, float(prices @ wanted) / max(worth, 1.0))  # prices / worth are dual feasible
-        if worth <= 1 + gap or used.sum() <= bound * (1 + gap):
+        since = 0 if used.sum() < best * (1 - 1e-5) else since + 1
+        best = min(best, float(used.sum()))
+        if worth <= 1 + max(gap, 1e-9) or used.sum() <= bound * (1 + gap) or since > STALLED:
             break
         column = np.zeros(m)
         for i, k in pattern.items():
@@ -145,10 +151,11 @@ def solve(sizes: list[int], demand: list[int], capacity: int = CAPACITY, gap: fl
         inverse -= np.outer(step, row)
         inverse[leaves] = row
         patterns[leaves] = pattern
-        if turn % 500 == 499:  # rounding errors don't grow
-            inverse = np.linalg.inv(np.array([[p.get(i, 0) for p in patterns] for i in range(m)], float))
+        if turn % 500 == 499:  # a Newton step takes rounding errors away; einsum, as it starts no threads in the driver
+            basis = np.array([[p.get(i, 0) for p in patterns] for i in range(m)], float)
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", np.einsum("ij,jk->ik", inverse, basis), inverse)
             used = np.maximum(inverse @ wanted, 0.0)
-    return patterns, used, bound
+    return patterns, np.maximum(inverse @ np.array(demand, float), 0.0), bound
 
 
 def rounded(patterns: list[dict[int, int]], used: np.ndarray, demand: list[int]) -> tuple[list[int], list[int]]:
