@@ -88,7 +88,7 @@ def with_vault(docs: DataFrame, text: str, into: str = "vault", labels: tuple[st
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != into), F.explode_outer(F.array(made)).alias(into))
 
 
-def _replaced(text: Column, vault: Column, old: str, new: str) -> Column:
+def replaced(text: Column, vault: Column, old: str, new: str) -> Column:
     """The text with each entry's `old` replaced by its `new`, longest first, so that no value breaks a longer one."""
     entries = F.array_sort(F.transform(vault, lambda e: F.struct((-F.char_length(e[old])).alias("o"), e[old].alias("old"), e[new].alias("new"))))
     return F.when(F.size(vault) > 0, F.aggregate(entries, text, lambda t, e: F.replace(t, e["old"], e["new"]))).otherwise(text)
@@ -96,12 +96,12 @@ def _replaced(text: Column, vault: Column, old: str, new: str) -> Column:
 
 def redacted(docs: DataFrame, text: str, into: str = "vault") -> DataFrame:
     """`docs` with placeholders in the text and each row's vault beside it."""
-    return with_vault(docs, text, into).withColumn(text, _replaced(F.col(text), F.col(into), "value", "placeholder"))
+    return with_vault(docs, text, into).withColumn(text, replaced(F.col(text), F.col(into), "value", "placeholder"))
 
 
 def restored(docs: DataFrame, text: str, vault: str = "vault") -> DataFrame:
     """`docs` with the values of each row's vault given back, without the vault."""
-    return docs.withColumn(text, _replaced(F.col(text), F.col(vault), "placeholder", "value")).drop(vault)
+    return docs.withColumn(text, replaced(F.col(text), F.col(vault), "placeholder", "value")).drop(vault)
 
 
 def vault(docs: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
@@ -116,12 +116,12 @@ def _with_entries(docs: DataFrame, vaults: DataFrame, key: str) -> DataFrame:
 
 def redact(docs: DataFrame, vaults: DataFrame, key: str, text: str) -> DataFrame:
     """The text redacted by a vault table that is kept elsewhere; `redacted` needs no join."""
-    return _with_entries(docs, vaults, key).withColumn(text, _replaced(F.col(text), F.col("__v"), "value", "placeholder")).drop("__v")
+    return _with_entries(docs, vaults, key).withColumn(text, replaced(F.col(text), F.col("__v"), "value", "placeholder")).drop("__v")
 
 
 def restore(docs: DataFrame, vaults: DataFrame, key: str, text: str) -> DataFrame:
     """The text restored from a vault table that is kept elsewhere."""
-    return _with_entries(docs, vaults, key).withColumn(text, _replaced(F.col(text), F.col("__v"), "placeholder", "value")).drop("__v")
+    return _with_entries(docs, vaults, key).withColumn(text, replaced(F.col(text), F.col("__v"), "placeholder", "value")).drop("__v")
 
 
 def summary(vaults: DataFrame) -> DataFrame:

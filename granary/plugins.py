@@ -46,6 +46,16 @@ def hashed_embedder(dimension: int = 64, batch: int = 32) -> Embedder:
     return lambda text: F.pandas_udf(encode, "array<float>", F.PandasUDFType.SCALAR_ITER)(text)
 
 
+def letter_embedder() -> Embedder:
+    """Counts of the letters a to z, case aside: expressions alone, so that SQL can follow it."""
+
+    def encode(text: Column) -> Column:
+        t = F.lower(text)
+        return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.char_length(t) - F.char_length(F.replace(t, F.char(c), F.lit("")))).cast("float"))
+
+    return encode
+
+
 class Refused(Exception):
     """What a service raises for a batch that is too large for it."""
 

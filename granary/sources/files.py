@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from granary.session import remove_folder
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines with a byte-order mark and blank lines tolerated; broken lines are kept in `_corrupt_record`."""
@@ -28,6 +32,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
+def replace_partitions(df: DataFrame, path: str, keys: list[str], replaced: DataFrame | None = None, format: str = "parquet") -> None:
+    """Write `df` below `path`, a folder for each value of `keys`: folders that `df` has rows for give way to its rows, others stay.
+    Doing it again gives the same; a write that fails leaves all as it was, as folders change only when the job commits.
+
+    replaced (keys): what was made anew, so that those without rows lose theirs, after the write. Large folders are written by
+    several tasks, small ones by one. An empty string is stored as a null."""
+    spark = df.sparkSession
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).format(format).save(path)
+    if replaced is not None:
+        same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in keys))
+        old = read_partitions(spark, path, df.schema, format).select(*keys, F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("__folder")).distinct()
+        new = df.select(*keys).distinct()
+        emptied = replaced.select(*keys).join(new, same(replaced, new), "left_anti")
+        for row in old.join(emptied, same(old, emptied), "left_semi").select("__folder").distinct().toLocalIterator():
+            remove_folder(spark, unquote(row[0]))  # the column holds addresses, in which % codes stand for some characters
+
+
+def read_partitions(spark: SparkSession, path: str, schema: StructType, format: str = "parquet") -> DataFrame:
+    """What `replace_partitions` wrote; the schema keeps the keys' types and is known without looking at files."""
+    return spark.read.schema(schema).format(format).load(path)
+
+
 def read_runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Run documents below a folder at any depth; the parent folder is their group."""
     runs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
