@@ -42,14 +42,41 @@ def distinct_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return keep_best(df.filter(F.trim(F.col(key)) != ""), [key], [F.col(order)])
 
 
+#: Buckets of grams by hash whose counts say which grams are rare; the table of counts has no more rows than that.
+BUCKETS = 65_536
+
+
+def _rare_first(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """sets (k, g) with their grams by rising count of the gram's bucket, then by gram: a total order of all grams."""
+    each = sets.select("k", F.explode("g").alias("x")).withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(BUCKETS)))
+    placed = each.join(F.broadcast(counts), "bucket")
+    return placed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("g")).select("k", F.transform("g", lambda e: e["x"]).alias("g"))
+
+
+def near_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of all pairs of a set of `left` and one of `right` whose Jaccard similarity is `least` (above 0) or more.
+
+    left, right: (k, g), each key once, g an array of different grams; sets that are null or empty are in no pair. Sets so similar share a gram
+    among the foremost of each in any order of grams, so pairs meet on those alone, the rare ones, if their sizes allow it. Each
+    pair is verified once, by whole sets. Frequent grams lead to pairs only where a set has no others."""
+    both = left.select("g").unionByName(right.select("g"))
+    counts = both.select(F.explode("g").alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = _rare_first(left, counts), _rare_first(right, counts)
+    # A little is taken off, so that rounding lengthens a prefix and never shortens it.
+    shared = F.ceil(F.size("g") * least - 1e-6)
+    prefix = lambda rows, k, n: rows.select(F.col("k").alias(k), F.size("g").alias(n), F.explode(F.slice("g", F.lit(1), (F.size("g") - shared + 1).cast("int"))).alias("x"))
+    met = prefix(a, "a", "na").join(prefix(b, "b", "nb"), "x").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-6).select("a", "b").distinct()
+    whole = met.join(left.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(right.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return whole.select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity")).filter(F.col("similarity") >= least)
+
+
 def gram_pairs(df: DataFrame, key: str, text: str, least: float, n: int = 3) -> DataFrame:
-    """Pairs (a, b, similarity) of rows whose sets of character n-grams have that Jaccard similarity or more. Candidates share
-    a gram, so this is for names and other short values; whole texts need filters on rare shingles."""
-    rows = df.select(F.col(key).alias("k"), F.array_distinct(T.grams(F.col(text), n)).alias("g"))
-    grams = rows.select("k", F.size("g").alias("n"), F.explode("g").alias("x"))
-    a, b = grams.select(F.col("k").alias("a"), F.col("n").alias("na"), "x"), grams.select(F.col("k").alias("b"), F.col("n").alias("nb"), "x")
-    both = a.join(b, "x").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).filter(F.col("similarity") >= least)
+    """Pairs (a, b, similarity), a < b, of rows whose sets of character n-grams have that Jaccard similarity or more, by `near_sets`.
+
+    Keys are unique. Rows with a null text are in no pair."""
+    rows = df.select(F.col(key).alias("k"), T.grams(F.col(text), n).alias("g"))
+    return near_sets(rows, rows, least).filter("a < b")
 
 
 def quotation_similarity(a: str, b: str) -> float:
@@ -83,13 +110,10 @@ def greedy_merge(df: DataFrame, block: list[str], order: str, text: str, least:
 
 
 def fuzzy_lookup(queries: DataFrame, cache: DataFrame, query: str, entry: str, least: float = 0.25) -> DataFrame:
-    """The cached entry of each query: the equal one, else the one of the best bigram overlap. Candidates share a bigram."""
-    q = queries.select(F.col(query).alias("query")).distinct().withColumn("g", T.grams(T.normalise_query(F.col("query")), 2))
-    c = cache.select(F.col(entry).alias("entry")).distinct().withColumn("h", T.grams(T.normalise_query(F.col("entry")), 2))
-    shared = q.select("query", F.explode("g").alias("x")).join(c.select("entry", F.explode("h").alias("x")), "x").groupBy("query", "entry").agg(F.count(F.lit(1)).alias("both"))
-    sized = shared.join(q.select("query", F.size("g").alias("n")), "query").join(c.select("entry", F.size("h").alias("m")), "entry")
-    scored = sized.withColumn("score", F.when(F.col("query") == F.col("entry"), 2.0).otherwise(F.col("both") / (F.col("n") + F.col("m") - F.col("both")))).filter(F.col("score") >= least)
-    return scored.groupBy("query").agg(F.max_by(F.struct("entry", "score"), F.struct("score", "entry")).alias("best")).select("query", "best.entry", F.least("best.score", F.lit(1.0)).alias("score"))
+    """The cached entry of each query: the equal one, else the one of the best overlap of bigrams, of equal ones the last by name."""
+    sets = lambda rows, c: rows.select(F.col(c).alias("k")).distinct().withColumn("g", T.grams(T.normalise_query(F.col("k")), 2))
+    scored = near_sets(sets(queries, query), sets(cache, entry), least).withColumn("score", F.when(F.col("a") == F.col("b"), 2.0).otherwise(F.col("similarity")))
+    return scored.groupBy(F.col("a").alias("query")).agg(F.max_by(F.struct(F.col("b").alias("entry"), "score"), F.struct("score", "b")).alias("best")).select("query", "best.entry", F.least("best.score", F.lit(1.0)).alias("score"))
 
 
 def set_intersection(df: DataFrame, key: str, kind: str, kinds: list) -> DataFrame:

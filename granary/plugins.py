@@ -8,7 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -103,18 +103,16 @@ def rule_reviewer(clauses: DataFrame) -> DataFrame:
 
 
 def corpus_searcher(corpus: DataFrame, most: int = 5) -> Searcher:
-    """Search over a table (url, text): equal normalised queries are looked up once; hits contain the query."""
+    """Search over a table (url, text): equal normalised queries are looked up once; hits contain the query, the first `most` by url.
+
+    All queries are found in one pass over the texts, by the automata of `rules.route`. Empty queries find nothing."""
 
     def search(queries: DataFrame) -> DataFrame:
         keyed = queries.select("query", T.normalise_query(F.col("query")).alias("key"))
-        unique = keyed.select("key").distinct().limit(10_001).collect()
-        if len(unique) > 10_000:
-            raise ValueError("too many distinct queries for one pass")
-        words = [r["key"] for r in unique if r["key"]]
-        hits = F.filter(F.array(*(F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(w)) for w in words)), lambda w: w.isNotNull()) if words else F.array().cast("array<string>")
-        found = corpus.select("url", F.explode(hits).alias("key"))
-        ranked = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("url")), 1, most).alias("urls"))
-        return keyed.join(ranked, "key", "left")
+        words = keyed.filter("key <> ''").select(F.col("key").alias("agent"), F.col("key").alias("word"))
+        found = rules.route(corpus, words, "url", "text", fallback="").filter("agent <> ''").select(F.col("agent").alias("key"), "url").distinct()
+        ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("url"))).filter(F.col("place") <= most)
+        return keyed.join(ranked.groupBy("key").agg(F.array_sort(F.collect_list("url")).alias("urls")), "key", "left")
 
     return search
 

@@ -1,8 +1,11 @@
-"""Search against all products, with ties, zero vectors and blocks of queries."""
+"""Search against all products, with ties, zero vectors and blocks of queries; joins of sets of grams; lookups."""
 
 import random
 
-from granary.operators import vector
+import pytest
+
+from granary import plugins
+from granary.operators import dedup, vector
 
 
 def test_search_is_exact(spark):
@@ -26,3 +29,38 @@ def test_search_is_exact(spark):
         found = vector.search(vectors, asked, 4, max_queries=most)
         assert {(x["query_id"], x["vec_id"], x["label"], x["rank"]) for x in found.collect()} == wanted
     assert vector.search(vectors.limit(0), asked, 4).collect() == []
+
+
+@pytest.mark.parametrize("least", [0.25, 0.3, 0.5, 0.9, 1.0])
+def test_near_sets_like_all_pairs(spark, least):
+    draw = random.Random(11)
+    some = lambda n: [(i, draw.choice([None, [], *[sorted({"hot", *draw.choices("abcdefghij", k=draw.randrange(1, 8))})] * 8])) for i in range(n)]
+    left, right = some(60), some(40)
+    share = lambda g, h: len(set(g) & set(h)) / len(set(g) | set(h))
+    wanted = {(a, b): share(g, h) for a, g in left for b, h in right if g and h and share(g, h) >= least}
+    frames = [spark.createDataFrame(rows, "k int, g array<string>") for rows in (left, right)]
+    found = dedup.near_sets(*frames, least).collect()
+    assert len(found) == len(wanted) > 0
+    assert all(abs(wanted[r["a"], r["b"]] - r["similarity"]) < 1e-12 for r in found)
+
+
+def test_gram_pairs_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, ""), (4, "ab"), (5, "abcd"), (6, "abcde"), (7, "ab")], "k int, t string")
+    assert {(r["a"], r["b"], round(r["similarity"], 3)) for r in dedup.gram_pairs(rows, "k", "t", 0.3).collect()} == {(2, 3, 1.0), (4, 7, 1.0), (5, 6, 0.667)}
+    assert dedup.gram_pairs(rows.limit(0), "k", "t", 0.3).count() == 0
+
+
+def test_lookup_of_cached_queries(spark):
+    cache = spark.createDataFrame([("red shoes",), ("red shoe",), ("Blue hat!",), (None,)], "e string")
+    asked = spark.createDataFrame([("red shoe",), ("red shoes now",), ("blue hat",), ("zzz",), (None,)], "q string")
+    found = {r["query"]: (r["entry"], round(r["score"], 3)) for r in dedup.fuzzy_lookup(asked, cache, "q", "e").collect()}
+    assert found == {"red shoe": ("red shoe", 1.0), "red shoes now": ("red shoes", 0.667), "blue hat": ("Blue hat!", 1.0)}
+
+
+def test_searches_of_any_number_of_queries(spark):
+    corpus = spark.createDataFrame([(f"u{i:02d}", f"page {i} about x things") for i in range(30)] + [("u03", "page 3 again"), ("v", None)], "url string, text string")
+    asked = spark.createDataFrame([("Page 7 about",), ("page",), ("PAGE!",), ("nowhere",), ("",), (None,)], "query string")
+    found = {r["query"]: r["urls"] for r in plugins.corpus_searcher(corpus, 3)(asked).collect()}
+    assert found == {"Page 7 about": ["u07"], "page": ["u00", "u01", "u02"], "PAGE!": ["u00", "u01", "u02"], "nowhere": None, "": None, None: None}
+    many = spark.range(12_000).selectExpr("concat('page ', id) AS query")
+    assert plugins.corpus_searcher(corpus, 3)(many).filter("urls IS NOT NULL").count() == 30
