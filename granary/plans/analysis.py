@@ -132,11 +132,12 @@ def greedy_match(spark, d):
     return matching.match_texts(gold, found, 0.5)
 
 
-_BIGRAMS = "SELECT t, CASE WHEN length(x) < 2 THEN [x] ELSE list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) END AS g FROM (SELECT t, " + NORMAL.replace("text", "t") + " AS x FROM (SELECT DISTINCT {0} AS t FROM part))"
+def _bigrams(name: str) -> str:
+    return f"SELECT t, CASE WHEN length(x) < 2 THEN [x] ELSE list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) END AS g FROM (SELECT t, {NORMAL.replace('text', 't')} AS x FROM (SELECT DISTINCT {name} AS t FROM part))"
 
 
 @query("fuzzy_lookup", f"""
-WITH q AS ({_BIGRAMS.format('p_type')}), e AS ({_BIGRAMS.format('p_name')}),
+WITH q AS ({_bigrams('p_type')}), e AS ({_bigrams('p_name')}),
 s AS (SELECT q.t AS query, e.t AS entry, CASE WHEN q.t = e.t THEN 2.0 ELSE len(list_intersect(q.g, e.g)) / (len(q.g) + len(e.g) - len(list_intersect(q.g, e.g))) END AS score FROM q, e)
 SELECT query, entry, least(score, 1.0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, entry DESC) AS r FROM s WHERE score >= 0.25) WHERE r = 1""")
 def fuzzy_lookup(spark, d):
