@@ -70,7 +70,8 @@ def clauses(chunks: DataFrame, depth: int = 2, most: int = 40, text: str = "text
 
     A null text counts as empty, a null path as one without titles; other columns stay."""
     placed = T.embed_text(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path), F.array().cast("array<string>")), depth, most)
-    made = chunks.withColumn(text, placed)
+    # Behind a generator, so that the tier's tests don't make the text again.
+    made = chunks.select(*(F.col(f"`{c}`") for c in chunks.columns if c != text), F.explode(F.array(placed)).alias(text))
     return made.withColumn("tier", rules.tier(F.col(text))).withColumn("turns", rules.turns(F.col("tier")))
 
 

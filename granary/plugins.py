@@ -50,8 +50,10 @@ def letter_embedder() -> Embedder:
     """Counts of the letters a to z, case aside: expressions alone, so that SQL can follow it."""
 
     def encode(text: Column) -> Column:
-        t = F.lower(text)
-        return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.char_length(t) - F.char_length(F.replace(t, F.char(c), F.lit("")))).cast("float"))
+        letters = F.sequence(F.lit(97), F.lit(122))
+        count = lambda t, c: (F.char_length(t) - F.char_length(F.replace(t, F.char(c), F.lit("")))).cast("float")
+        # The text is made once, not for each letter: the optimiser doesn't look into the outer lambda.
+        return F.transform(F.array(F.lower(text)), lambda t: F.transform(letters, lambda c: count(t, c)))[0]
 
     return encode
 
