@@ -58,7 +58,7 @@ class Rule:
 RULES = (
     Rule("com", "/en/", True),
     Rule("example.com", "/en/7", False),
-    Rule("net", "/de/", True),
+    Rule("net", "/de/", False),
     Rule("example.net", "/de/8", True),
     Rule("org", "/es/", True),
 )
