@@ -19,6 +19,18 @@ PATTERNS = [
     ("phone", r"(?U)1[3-9]\d-?\d{4}-?\d{4}"),
     ("phone", r"(?U)0\d{2,3}[-\s]?\d{7,8}"),
 ]
+#: The same as SQL engines write them, for queries that have SQL: word borders and blanks are those of ASCII, so that a code
+#: between letters such as é counts as a word of its own. A border is where one side alone is a word character; it is told from
+#: the side that the match has, which for most characters ends the trial. The Kelvin sign is a K in small letters.
+_WORD, _ASCII, _CODE, _KELVIN = r"0-9A-Za-z_\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}", "[0-9A-Za-z_]", "0-9A-HJ-NPQRTUWXYa-hj-npqrtuwxy", "K"
+SQL_PATTERNS = [
+    ("email", rf"(?:\G|(?<![{_WORD}.\-+]))[{_WORD}.\-+]++@[{_WORD}.\-]+\.[a-zA-Z]{{2,}}"),
+    ("id", r"\p{Nd}{17}[\p{Nd}Xx]"),
+    ("credit_code", rf"(?:(?=[{_CODE}])(?<!{_ASCII})|(?={_KELVIN})(?<={_ASCII}))[{_CODE}{_KELVIN}]{{18}}(?:(?<!{_KELVIN})(?!{_ASCII})|(?<={_KELVIN})(?={_ASCII}))"),
+    ("bank", rf"(?:(?=[0-9])(?<!{_ASCII})|(?=[^\x00-\x7F])(?<={_ASCII}))\p{{Nd}}{{16,19}}(?:(?<=[0-9])(?!{_ASCII})|(?<=[^\x00-\x7F])(?={_ASCII}))"),
+    ("phone", r"1[3-9]\p{Nd}-?\p{Nd}{4}-?\p{Nd}{4}"),
+    ("phone", r"0\p{Nd}{2,3}[-\t\n\f\r ]?\p{Nd}{7,8}"),
+]
 LABELS = tuple(dict.fromkeys(label for label, _ in PATTERNS))
 VAULT = "array<struct<label:string,value:string,n:int,placeholder:string>>"
 MODES = {"off": False, "false": False, "none": False, "low": True, "standard": True, "true": True, "on": True}
@@ -51,18 +63,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _entries(text: Column, labels: tuple[str, ...]) -> Column:
+def _entries(text: Column, labels: tuple[str, ...], patterns: list[tuple[str, str]]) -> Column:
     """The vault of one text. Patterns follow each other; a text is rewritten only for a pattern that found something."""
-    last = max(i for i, (label, _) in enumerate(PATTERNS) if label in labels)
+    last = max(i for i, (label, _) in enumerate(patterns) if label in labels)
 
     def scan(i: int, rest: Column, held: list[tuple[str, Column]]) -> Column:
         def with_found(found: Column) -> Column:
-            now = [*held, (PATTERNS[i][0], found)]
+            now = [*held, (patterns[i][0], found)]
             if i == last:
                 return vault_of(now)
-            return _let(F.when(F.size(found) > 0, F.regexp_replace(rest, PATTERNS[i][1], "\u0001")).otherwise(rest), lambda t: scan(i + 1, t, now))
+            return _let(F.when(F.size(found) > 0, F.regexp_replace(rest, patterns[i][1], "\u0001")).otherwise(rest), lambda t: scan(i + 1, t, now))
 
-        return _let(F.regexp_extract_all(rest, F.lit(PATTERNS[i][1]), F.lit(0)), with_found)
+        return _let(F.regexp_extract_all(rest, F.lit(patterns[i][1]), F.lit(0)), with_found)
 
     def vault_of(held: list[tuple[str, Column]]) -> Column:
         parts = []
@@ -76,7 +88,7 @@ def _entries(text: Column, labels: tuple[str, ...]) -> Column:
     return scan(0, text, [])
 
 
-def with_vault(docs: DataFrame, text: str, into: str = "vault", labels: tuple[str, ...] = LABELS) -> DataFrame:
+def with_vault(docs: DataFrame, text: str, into: str = "vault", labels: tuple[str, ...] = LABELS, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
     """`docs` with an array of what the patterns find in each row's text: each value once, numbered by its first occurrence
     under its label, with its placeholder. Only `labels` are listed.
 
@@ -84,7 +96,7 @@ def with_vault(docs: DataFrame, text: str, into: str = "vault", labels: tuple[st
     the text: each pattern reads it once, and the vault is made behind a generator, so that filters on it don't make it again.
     Numbers start above those of placeholders that the text itself holds, so these are never given back as somebody's data. A
     null text has an empty vault."""
-    made = F.coalesce(_entries(F.col(f"`{text}`"), labels), F.array().cast(VAULT))
+    made = F.coalesce(_entries(F.col(f"`{text}`"), labels, patterns), F.array().cast(VAULT))
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != into), F.explode_outer(F.array(made)).alias(into))
 
 
@@ -104,9 +116,9 @@ def restored(docs: DataFrame, text: str, vault: str = "vault") -> DataFrame:
     return docs.withColumn(text, replaced(F.col(text), F.col(vault), "placeholder", "value")).drop(vault)
 
 
-def vault(docs: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+def vault(docs: DataFrame, key: str, text: str, labels: tuple[str, ...] = LABELS, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
     """(key, label, value, n, placeholder): the rows' vaults as a table."""
-    return with_vault(docs.select(key, text), text, "__v", labels).select(key, F.explode_outer("__v").alias("e")).filter("e IS NOT NULL").select(key, "e.*")
+    return with_vault(docs.select(key, text), text, "__v", labels, patterns).select(key, F.explode_outer("__v").alias("e")).filter("e IS NOT NULL").select(key, "e.*")
 
 
 def _with_entries(docs: DataFrame, vaults: DataFrame, key: str) -> DataFrame:

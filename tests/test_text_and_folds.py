@@ -4,9 +4,11 @@ import random
 import re
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from granary import plans
 from granary.functions import text as T
 from granary.operators import dedup, redact
 from granary.streaming import events as stream
@@ -26,6 +28,19 @@ def test_addresses_as_by_the_plain_pattern(spark):
     assert {r["k"]: r["f"] for r in found} == {k: re.findall(EMAIL, t) for k, t in rows}
 
 
+def test_redaction_as_by_its_sql(spark, tmp_path):
+    """Word borders, blanks and letters of any script count as in the SQL of the queries."""
+    r = random.Random(3)
+    parts = ["a", "K", "\u212a", "é", "１", "1", "12345678", "１２３４", "123456789012345678", "ABCDEFGHJKLMNPQRTU", "@", "a@b.co", "-", " ", "\x0b", "\xa0", "_", "138", "0571", "\u200d"]
+    rows = [(0, "êeuxtreenauxelleeux, x")] + [(k, "".join(r.choice(parts) for _ in range(r.randint(1, 9)))) for k in range(1, 1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("redact_counts", "redact_summary"):
+        df = plans.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall())
+
+
 def test_vault_is_by_each_pattern_once(spark):
     docs = spark.createDataFrame(list(enumerate(texts(300, 2))), "k long, text string")
     back = redact.restored(redact.redacted(docs.withColumn("before", F.col("text")), "text"), "text")
