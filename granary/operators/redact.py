@@ -63,6 +63,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _entries_of(label: str, text: Column, found: list[Column], known: Column | None = None) -> Column:
+    """The entries of a label's values, those that the vault `known` doesn't hold."""
+    values = F.array_distinct(F.concat(*found))
+    taken = F.regexp_extract_all(text, F.lit(rf"\[{label}_([0-9]{{1,8}})\]"), F.lit(1))
+    above = F.when(F.contains(text, F.lit(f"[{label}_")), F.coalesce(F.array_max(F.transform(taken, lambda x: x.cast("int"))), F.lit(0))).otherwise(0)
+    if known is not None:
+        own = F.filter(known, lambda e: e["label"] == label)
+        values = F.array_except(values, F.transform(own, lambda e: e["value"]))
+        above = F.greatest(above, F.array_max(F.transform(own, lambda e: e["n"])))
+    return _let(values, _numbered(label, above))
+
+
 def _entries(text: Column, labels: tuple[str, ...], patterns: list[tuple[str, str]]) -> Column:
     """The vault of one text. Patterns follow each other; a text is rewritten only for a pattern that found something."""
     last = max(i for i, (label, _) in enumerate(patterns) if label in labels)
@@ -77,12 +89,7 @@ def _entries(text: Column, labels: tuple[str, ...], patterns: list[tuple[str, st
         return _let(F.regexp_extract_all(rest, F.lit(patterns[i][1]), F.lit(0)), with_found)
 
     def vault_of(held: list[tuple[str, Column]]) -> Column:
-        parts = []
-        for label in labels:
-            values = F.array_distinct(F.concat(*(found for own, found in held if own == label)))
-            taken = F.regexp_extract_all(text, F.lit(rf"\[{label}_([0-9]{{1,8}})\]"), F.lit(1))
-            above = F.when(F.contains(text, F.lit(f"[{label}_")), F.coalesce(F.array_max(F.transform(taken, lambda x: x.cast("int"))), F.lit(0))).otherwise(0)
-            parts.append(_let(values, _numbered(label, above)))
+        parts = [_entries_of(label, text, [found for own, found in held if own == label]) for label in labels]
         return F.concat(*parts)
 
     return scan(0, text, [])
@@ -106,9 +113,31 @@ def replaced(text: Column, vault: Column, old: str, new: str) -> Column:
     return F.when(F.size(vault) > 0, F.aggregate(entries, text, lambda t, e: F.replace(t, e["old"], e["new"]))).otherwise(text)
 
 
-def redacted(docs: DataFrame, text: str, into: str = "vault") -> DataFrame:
-    """`docs` with placeholders in the text and each row's vault beside it."""
-    return with_vault(docs, text, into).withColumn(text, replaced(F.col(text), F.col(into), "value", "placeholder"))
+def redacted(docs: DataFrame, text: str, into: str = "vault", patterns: list[tuple[str, str]] = PATTERNS, known: str | None = None) -> DataFrame:
+    """`docs` with placeholders in the text and each row's vault beside it. Each match gives way where it is, so equal
+    characters elsewhere stay, and the text is read twice for each pattern. A value that the column `known` (a vault) holds
+    under its label gets the placeholder it has there; the vault lists the others, numbered above those."""
+    held = None if known is None else F.col(f"`{known}`")
+    first, rest = F.col(f"`{text}`"), [F.col(f"`{c}`") for c in docs.columns if c != into]
+    rows = docs.select(*rest, first.alias("__t"))
+    for i, (label, pattern) in enumerate(patterns):
+        earlier = [F.col(f"__f{j}") for j in range(i)]
+
+        def step(found: Column) -> Column:
+            same = [F.col(f"__f{j}") for j in range(i) if patterns[j][0] == label] + [found]
+            entries = _entries_of(label, first, same, held)
+            entries = entries if held is None else F.concat(F.filter(held, lambda e: e["label"] == label), entries)
+            placed = _let(entries, lambda e: _let(F.transform(e, lambda x: x["value"]), lambda v: F.transform(found, lambda x: F.element_at(e, F.array_position(v, x).cast("int"))["placeholder"])))
+            pieces = F.zip_with(F.split("__t", pattern, -1), F.concat(placed, F.array(F.lit(""))), lambda x, y: F.concat(x, y))
+            return F.struct(found.alias("f"), F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(F.col("__t")).alias("t"))
+
+        made = _let(F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)), step)
+        # Behind a generator, what is made is made once.
+        rows = rows.select(*rest, "__t", *earlier, F.explode_outer(F.array(made)).alias("__m")).select(*rest, F.col("__m.t").alias("__t"), *earlier, F.col("__m.f").alias(f"__f{i}"))
+    found = lambda label: [F.col(f"__f{i}") for i, (own, _) in enumerate(patterns) if own == label]
+    made = F.coalesce(F.concat(*(_entries_of(label, first, found(label), held) for label in LABELS)), F.array().cast(VAULT))
+    rows = rows.select(*rest, "__t", F.explode_outer(F.array(made)).alias("__m"))
+    return rows.select(*(F.col("__t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != into), F.col("__m").alias(into))
 
 
 def restored(docs: DataFrame, text: str, vault: str = "vault") -> DataFrame:

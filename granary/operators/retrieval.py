@@ -12,20 +12,18 @@ from granary.plugins import Embedder
 BLOCK, MOST_SPLIT = 50_000, 10_000
 
 
-def redacted_queries(queries: DataFrame, vaults: DataFrame, key: str = "doc_id") -> DataFrame:
+def redacted_queries(queries: DataFrame, vaults: DataFrame, key: str = "doc_id", patterns: list[tuple[str, str]] = redact.PATTERNS) -> DataFrame:
     """queries (key, query_id, query) with `hidden`, the redacted query, and `vault`, its document's entries and its own.
 
-    A value that the document's vault holds gets the placeholder it has there; other values are numbered above the document's.
-    Documents without a row in `vaults` (key, vault; each key once) have none."""
+    The patterns see the query once, as they saw the document. A value that the document's vault holds gets the placeholder
+    it has there; other values are numbered above the document's. Documents without a row in `vaults` (key, vault; each
+    key once) have none."""
     joined = queries.join(vaults.select(key, F.col("vault").alias("__held")), key, "left").withColumn("__held", F.coalesce("__held", F.array().cast(redact.VAULT)))
-    # Numbers start above those of placeholders in the text, so the document's placeholders stand in front while it is redacted.
-    front = F.concat(F.array_join(F.transform("__held", lambda e: e["placeholder"]), " "), F.lit("\u0002"))
-    known = redact.replaced(F.coalesce("query", F.lit("")), F.col("__held"), "value", "placeholder")
-    own = redact.redacted(joined.withColumn("hidden", F.concat(front, known)), "hidden", "__own")
-    return own.withColumn("hidden", F.substring_index("hidden", "\u0002", -1)).withColumn("vault", F.concat("__held", "__own")).drop("__held", "__own")
+    own = redact.redacted(joined.withColumn("hidden", F.coalesce("query", F.lit(""))), "hidden", "__own", patterns, "__held")
+    return own.withColumn("vault", F.concat("__held", "__own")).drop("__held", "__own")
 
 
-def redacted_search(chunks: DataFrame, queries: DataFrame, vaults: DataFrame, embed: Embedder, k: int = 5, key: str = "doc_id", snippet: int = 200) -> DataFrame:
+def redacted_search(chunks: DataFrame, queries: DataFrame, vaults: DataFrame, embed: Embedder, k: int = 5, key: str = "doc_id", snippet: int = 200, patterns: list[tuple[str, str]] = redact.PATTERNS) -> DataFrame:
     """(key, query_id, query, chunk_id, score, rank, text, snippet, and the chunks' other columns): the `k` best chunks of each
     query among those of its own document, by cosine, ties by chunk_id.
 
@@ -37,7 +35,7 @@ def redacted_search(chunks: DataFrame, queries: DataFrame, vaults: DataFrame, em
     split into blocks, each with all queries of the document: those of more than `BLOCK` chunks or, if that is more, of one part in
     `MOST_SPLIT` of all chunks, so that at most `MOST_SPLIT` rows are broadcast. Each block passes on its `k` best of a query, and
     only ids and scores. Texts and vaults are joined to the hits."""
-    asked = redacted_queries(queries, vaults, key)
+    asked = redacted_queries(queries, vaults, key, patterns)
     vectors = chunks.select(key, "chunk_id", embed(F.coalesce("text", F.lit(""))).alias("__v")).withColumn("__vn", vector.norm(F.col("__v")))
     wanted = asked.select(key, "query_id", embed(F.col("hidden")).alias("__q")).withColumn("__qn", vector.norm(F.col("__q")))
     length = F.col("__vn") * F.col("__qn")

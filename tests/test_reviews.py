@@ -97,6 +97,17 @@ def test_queries_share_the_placeholders_of_their_document(spark):
     assert [e["value"] for e in found[1]["vault"] if e["label"] == "email"] == ["x@y.org", "z@y.org"]
 
 
+def test_values_give_way_where_they_match(spark):
+    """Equal characters elsewhere stay, in documents and in queries; a document's value keeps its placeholder."""
+    texts = ["1391381234567800 and 13812345678", "euxtreenauxelleeux xeuxtreenauxelleeux", "ABCDEFGHJKLMNPQRTU13812345678\n13812345678"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = redact.redacted(docs, "text")
+    assert [r["text"] for r in hidden.orderBy("doc_id").collect()] == ["[bank_1] and [phone_1]", "[credit_code_1] xeuxtreenauxelleeux", "ABCDEFGHJKLMNPQRTU[phone_1]\n[phone_1]"]
+    queries = docs.select("doc_id", F.lit(0).alias("query_id"), F.concat("text", F.lit(" \u0002 13912345678")).alias("query"))
+    found = retrieval.redacted_queries(queries, hidden.select("doc_id", "vault")).orderBy("doc_id").collect()
+    assert [r["hidden"] for r in found] == ["[bank_1] and [phone_1] \u0002 [phone_2]", "[credit_code_1] xeuxtreenauxelleeux \u0002 [phone_1]", "ABCDEFGHJKLMNPQRTU[phone_1]\n[phone_1] \u0002 [phone_2]"]
+
+
 def test_search_sees_redacted_texts_and_gives_restored_ones(spark):
     def service(texts):
         for t in texts:
