@@ -1,7 +1,11 @@
 """Search against all products, with ties, zero vectors and blocks of queries; joins of sets of grams; lookups."""
 
 import random
+import tracemalloc
+import types
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from granary import plugins
@@ -64,3 +68,21 @@ def test_searches_of_any_number_of_queries(spark):
     assert found == {"Page 7 about": ["u07"], "page": ["u00", "u01", "u02"], "PAGE!": ["u00", "u01", "u02"], "nowhere": None, "": None, None: None}
     many = spark.range(12_000).selectExpr("concat('page ', id) AS query")
     assert plugins.corpus_searcher(corpus, 3)(many).filter("urls IS NOT NULL").count() == 30
+
+
+@pytest.mark.parametrize("values", [1000, 1])
+def test_search_holds_few_rows_a_query(values):
+    """A task's memory goes by queries times k and the scores of a step, not by the rows that reach a query; `values` 1 makes all tie."""
+    r = np.random.default_rng(5)
+    queries, k = 8000, 15
+    ids, wanted = np.arange(queries), vector._units(pd.Series(list(r.normal(size=(queries, 8)))))
+    rows = pd.DataFrame({"vec_id": r.permutation(3000), "label": ["a", "b", "c"] * 1000, "__v": list(r.normal(size=(values, 8))[r.integers(0, values, 3000)])})
+    tracemalloc.start()
+    found = pd.concat(vector._nearest(types.SimpleNamespace(value=(ids, wanted)), k, "vec_id")([rows[:2000], rows[2000:]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000
+    for q in range(0, queries, 800):
+        score = np.round(vector._units(rows["__v"]) @ wanted[q], 12)
+        best = sorted(zip((-score).tolist(), rows["vec_id"].tolist()))[:k]
+        assert sorted(found[found["query_id"] == q]["vec_id"]) == sorted(i for _, i in best)
