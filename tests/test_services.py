@@ -1,7 +1,10 @@
 """Services that refuse batches, and outputs that are only partly right."""
 
+import hashlib
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from granary import plugins
@@ -37,3 +40,25 @@ def test_outputs_are_checked_one_by_one(spark):
         (2, 0, "high without confidence"), (2, 2, "unknown category"), (2, 3, "no quotation"), (3, -1, "no JSON"), (4, -1, "no findings"), (6, -1, "no JSON"), (7, -1, "no findings"),
     ]
     assert sorted((r["k"], r["pos"]) for r in found if not r["error"]) == [(1, 0), (2, 1)]
+
+
+def test_hashed_embedder_hashes_each_gram_once(spark, monkeypatch):
+    """The vectors of a loop over all grams, from one hash for each different gram of a task."""
+    texts = ["", "a", "é𝄞", "aaaa", "the cat 𝄞 sat", None, "abcé " * 9000, "x" * 20_000] * 5
+
+    def plain(text):
+        v = np.zeros(64, np.float32)
+        for i in range(max(1, len(text) - 2)):
+            h = int.from_bytes(hashlib.blake2b(text[i : i + 3].encode(), digest_size=8).digest(), "little")
+            v[h % 64] += 1 if h >> 63 else -1
+        n = float(np.linalg.norm(v))
+        return (v / n if n else v).tolist()
+
+    found = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", plugins.hashed_embedder()(F.col("t")).alias("v")).collect()
+    assert {r["k"]: r["v"] for r in found} == {k: plain(t or "") for k, t in enumerate(texts)}
+    hashes = []
+    real = hashlib.blake2b
+    monkeypatch.setattr(plugins.hashlib, "blake2b", lambda *a, **k: hashes.append(a) or real(*a, **k))
+    monkeypatch.setattr(plugins.F, "pandas_udf", lambda f, *_: lambda column: f)
+    list(plugins.hashed_embedder()(None)(iter([pd.Series(["abcd" * 1000] * 40)])))
+    assert len(hashes) <= 8
