@@ -79,27 +79,66 @@ def gram_pairs(df: DataFrame, key: str, text: str, least: float, n: int = 3) ->
     return near_sets(rows, rows, least).filter("a < b")
 
 
+def _squeezed(text: str | None) -> str:
+    return "".join((text or "").lower().split())
+
+
 def quotation_similarity(a: str, b: str) -> float:
     """1 for containment, else the ratio of matching blocks."""
-    a, b = "".join((a or "").lower().split()), "".join((b or "").lower().split())
+    a, b = _squeezed(a), _squeezed(b)
     if not a or not b:
         return 0.0
     return 1.0 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
 
 
+def _common(places: dict[str, int], size: int, b: str) -> int:
+    """Length of the longest common subsequence of `b` and a text of `size` characters, by the bits of their places there."""
+    whole = left = (1 << size) - 1
+    for c in b:
+        both = left & places.get(c, 0)
+        left = (left + both | left - both) & whole
+    return size - left.bit_count()
+
+
+def _first_like(words: str, heads: list[tuple], least: float) -> object | None:
+    """The first of `heads` (key, squeezed text) that is similar to `words`. Matching blocks follow each other in both texts, so
+    their ratio is at most that of the longest common subsequence, and of the lengths; only where these reach `least`, blocks are matched."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(words):
+        places[c] = places.get(c, 0) | 1 << i
+    for key, other in heads:
+        if not words or not other:
+            alike = least <= 0
+        elif words in other or other in words:
+            alike = least <= 1
+        else:
+            size, need = len(words) + len(other), least - 1e-9
+            alike = 2 * min(len(words), len(other)) >= need * size and 2 * _common(places, len(words), other) >= need * size and SequenceMatcher(None, words, other).ratio() >= least
+        if alike:
+            return key
+    return None
+
+
 def greedy_merge(df: DataFrame, block: list[str], order: str, text: str, least: float) -> DataFrame:
     """Each row of a block, in order, joins the first earlier representative that is similar, or becomes one.
 
-    Order decides, so a block is one task; `block` should be a document or smaller."""
+    Order decides, so a block is one task; `block` should be a document or smaller. A text that came before joins what it
+    joined then, as representatives are only added behind."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, str]] = []
+        heads: list[tuple[object, str]] = []
+        met: dict[str, object] = {}
         found = []
-        for place, words in zip(rows[order], rows[text]):
-            head = next((h for h, other in heads if quotation_similarity(words, other) >= least), None)
+        for place, raw in zip(rows[order], rows[text]):
+            words = _squeezed(raw)
+            head = met.get(words)
+            if head is None:
+                head = _first_like(words, heads, least)
             if head is None:
                 heads.append((place, words))
                 head = place
+            if words and least <= 1:
+                met[words] = head
             found.append(head)
         return rows.assign(merged_into=found)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,31 @@ def test_greedy_merge_order(spark):
     for parts in (1, 3):
         found = {(r["b"], r["o"]): r["merged_into"] for r in dedup.greedy_merge(df.repartition(parts), ["b"], "o", "t", 0.75).collect()}
         assert found == {(1, 1): 1, (1, 2): 1, (1, 3): 3, (2, 1): 1}
+
+
+def test_greedy_merge_matches_blocks_for_near_texts_only(spark, monkeypatch):
+    """Each head as by all comparisons, with blocks matched only where a pair's longest common subsequence allows it."""
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdefg h") for _ in range(r.randint(0, 60))) for _ in range(60)]
+    texts += [t[: r.randint(0, len(t))] + r.choice("xyz") + t[r.randint(0, len(t)) :] for t in texts] + texts[:20] + [None, "", "B" * 300]
+    matched = []
+    real = dedup.SequenceMatcher
+    monkeypatch.setattr(dedup, "SequenceMatcher", lambda *a: matched.append(a) or real(*a))
+    heads, pairs = [], 0
+    for i, t in enumerate(texts):
+        found = dedup._first_like(dedup._squeezed(t), heads, 0.75)
+        before = len(matched)
+        assert found == next((h for h, other in heads if dedup.quotation_similarity(t, other) >= 0.75), None)
+        pairs += len(matched) - before
+        del matched[before:]
+        if found is None:
+            heads.append((i, dedup._squeezed(t)))
+    assert len(matched) * 10 < pairs
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "b int, o int, t string")
+    by = {x["o"]: x["merged_into"] for x in dedup.greedy_merge(df, ["b"], "o", "t", 0.75).collect()}
+    kept, wanted = [], {}
+    for i, t in enumerate(texts):
+        wanted[i] = next((h for h in kept if dedup.quotation_similarity(t, texts[h]) >= 0.75), i)
+        if wanted[i] == i:
+            kept.append(i)
+    assert by == wanted
