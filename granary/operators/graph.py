@@ -31,9 +31,12 @@ def class_edges(classes: DataFrame, item: str, shared: str) -> DataFrame:
 
 
 def links_of_several(df: DataFrame, item: str, kind: str, agent: str) -> DataFrame:
-    """The classes of items of one kind that several agents found."""
-    several = df.groupBy(kind).agg(F.countDistinct(agent).alias("__n")).filter("__n >= 2").select(kind)
-    return same_key_classes(df.join(several, kind, "left_semi"), item, kind)
+    """The classes of items of one kind that several agents found. Items carry their least and greatest agent, so the rows are
+    read, dealt and summed once; the classes' sizes come from those sums."""
+    cites = df.groupBy(kind, item).agg(F.min(agent).alias("__a"), F.max(agent).alias("__b"))
+    sums = cites.groupBy(kind).agg(F.count(item).alias("items"), F.min(item).alias("first"), F.min("__a").alias("__a"), F.max("__b").alias("__b"))
+    sizes = sums.filter((F.col("items") > 1) & (F.col("__a") < F.col("__b"))).select(kind, "items", "first")
+    return cites.select(kind, item).join(sizes, kind).select(kind, item, "items", "first")
 
 
 def context(items: DataFrame, key: str, *edge_tables: tuple[str, DataFrame]) -> DataFrame:
