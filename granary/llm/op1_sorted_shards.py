@@ -56,6 +56,8 @@ MAGIC = b"GRNSST01"
 FOOTER = struct.Struct("<QIQIQQB8s")
 #: Pieces a task remembers; about 200 bytes each.
 MEMO_PIECES = 400_000
+#: Texts that are cut into pieces together.
+TEXTS = 128
 
 
 def put_varint(out: bytearray, n: int) -> None:
@@ -323,11 +325,10 @@ class Encoder:
         return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-@functools.lru_cache(2)
 def encoder(name: str, end_id: int) -> Encoder:
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path(name), end_id)
+    return common.kept(("encoder", name, end_id), lambda: Encoder(public_tokenizers.path(name), end_id))
 
 
 @dataclass(frozen=True)
@@ -355,7 +356,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         part, name = context.partitionId(), f"shard-{context.partitionId():07d}-{context.taskAttemptId()}.sst"
         held = encoder(tokenizer, end_id)
         writer = None
-        for batch in common.small(batches):
+        for batch in common.small(batches, TEXTS):
             if writer is None:
                 store, root = filesystem(folder)
                 store.create_dir(root, recursive=True)
@@ -391,7 +392,8 @@ def read_shards(spark: SparkSession, shards: list[Shard], key: str = "doc_id", w
     schema = f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     if not shards:
         return spark.createDataFrame([], schema)
-    todo = spark.createDataFrame([(s.path, s.base) for s in shards], "path string, base long").repartition(len(shards))
+    # From Arrow: rows of Python objects would go through Python workers of another kind, which stay beside the tasks'.
+    todo = spark.createDataFrame(pa.table({"path": [s.path for s in shards], "base": [s.base for s in shards]})).repartition(len(shards))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():

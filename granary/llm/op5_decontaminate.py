@@ -225,20 +225,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
     """
     into = next(x for x in (f"found{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
     found = find_hits(docs, benchmark_slices(benchmark, n, max_windows), into, column)
-    names, drop = docs.columns, action == "drop"
+    names = docs.columns
+    if action == "drop":  # without a second Python worker beside the one that found the hits
+        hit = F.aggregate(F.col(f"{into}.spans"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        return found.filter(~((hit > 0) & (LEAST_SHARE * hit >= F.col(f"{into}.n_words")))).select(*(F.col(f"`{c}`") for c in names))
     place = names.index(column)
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, new = [], []
+            new = []
             for text, got in zip(common.texts(batch, column), batch.column(len(names)).to_pylist()):
                 found_spans = [(s["start"], s["end"]) for s in got["spans"]]
-                hit = sum(b - a for a, b in found_spans)
-                keep.append(not (drop and hit > 0 and LEAST_SHARE * hit >= got["n_words"]))
-                new.append(text if drop or not found_spans else cut(text, found_spans))
+                new.append(cut(text, found_spans) if found_spans else text)
             arrays = list(batch.columns)[: len(names)]
             arrays[place] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return common.map_batches(found, act, docs.schema)
 

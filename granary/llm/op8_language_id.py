@@ -21,7 +21,6 @@ labels are a bounded set: over `MAX_LANGS` of them are an error.
 from __future__ import annotations
 
 import base64
-import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +39,8 @@ ROUNDS = 3
 MAX_LANGS = 500
 #: Bytes of a word up to which its sums stay above underflow, and cells (bytes x words) of one dynamic program.
 PLAIN, CELLS = 30, 250_000
+#: The same where texts are scored, in all tasks at once.
+SCORED = 60_000
 #: Words whose log probabilities a task remembers.
 MEMO_WORDS = 250_000
 _LETTER = regex.compile(r"\p{L}")
@@ -112,9 +113,8 @@ class Trie:
         return np.where(self.keys[at] == keys, self.nodes[at], -1)
 
 
-@functools.lru_cache(2)
 def trie(path: str | None = None) -> Trie:
-    return Trie(vocabulary(path))
+    return common.kept(("trie", path), lambda: Trie(vocabulary(path)))
 
 
 @dataclass
@@ -191,11 +191,11 @@ def backward(lat: Lattice, probs: np.ndarray, logs: bool) -> np.ndarray:
     return beta
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[list[bytes], bool]]:
-    """The words in groups of like lengths and of CELLS cells at most, or of one word; whether they are long ones."""
+def by_length(words: list[bytes], cells: int = CELLS) -> Iterator[tuple[list[bytes], bool]]:
+    """The words in groups of like lengths and of so many cells at most, or of one word; whether they are long ones."""
     held: list[bytes] = []
     for w in sorted(words, key=len):
-        if held and ((len(held) + 1) * len(w) > CELLS or (len(w) > PLAIN) != (len(held[0]) > PLAIN) or len(w) > 1.25 * len(held[0]) + 2):
+        if held and ((len(held) + 1) * len(w) > cells or (len(w) > PLAIN) != (len(held[0]) > PLAIN) or len(w) > 1.25 * len(held[0]) + 2):
             yield held, len(held[0]) > PLAIN
             held = []
         held.append(w)
@@ -206,7 +206,7 @@ def by_length(words: list[bytes]) -> Iterator[tuple[list[bytes], bool]]:
 def log_probs(words: list[bytes], tree: Trie, probs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The words, in another order, and their log probabilities by language."""
     order, found, log = [], [np.zeros((0, probs.shape[1]))], np.log(probs)
-    for group, long in by_length(words):
+    for group, long in by_length(words, SCORED):
         lat = lattice(group, tree)
         order += group
         sums = forward(lat, log if long else probs, long)[lat.sizes, np.arange(len(group))]
@@ -243,7 +243,7 @@ def train(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc
     vocab, tree = vocabulary(), trie()
     if not langs:
         return Model([], np.zeros(0), np.zeros((len(vocab), 0)))
-    shares = docs.sparkSession.createDataFrame([(name, min(1_000_000, sample_docs * 1_000_000 // n + 1)) for name, n in totals.items()], "lang string, share long")
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": list(totals), "share": [min(1_000_000, sample_docs * 1_000_000 // n + 1) for n in totals.values()]}))
     picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 

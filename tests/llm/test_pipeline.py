@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from granary.llm import common, op1_sorted_shards, op5_decontaminate, op8_language_id
 from tests.llm.test_operators import VOCAB, brute_components, brute_contamination, prose
 
 
@@ -94,3 +95,39 @@ def test_odd_tables(spark, tmp_path):
         assert sizes[:3] == ([6, 3, 3] if some else [0, 0, 0]) and sizes[3] <= 2 * sizes[2]
         last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
         assert sorted({r["doc_id"] or 0 for r in last.collect()}) == ([0, 1, 3] if some else [])
+
+
+def test_stages_leave_no_workers_or_tables_beside_the_next_ones(spark, tmp_path):
+    """What an executor holds beside a stage's own tasks: workers of a second kind or of a second map, other operators' tables."""
+    docs = spark.createDataFrame([(i, prose(40, i), "en") for i in range(20)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    benchmark = spark.createDataFrame([(1, prose(40, 3))], "item_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    kept = op5_decontaminate.decontaminate(docs, benchmark)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(20) if i != 3]
+    assert plan(kept).partition("== Physical Plan ==")[2].count("MapInArrow") == 1
+    assert "ExistingRDD" not in plan(op1_sorted_shards.to_shards(docs))
+    seen, tables = [], spark.createDataFrame
+    spark.createDataFrame = lambda data, *a, **b: (seen.append(type(data).__name__), tables(data, *a, **b))[1]
+    try:
+        op8_language_id.train(docs, common.crc_bucket("doc_id", 4) != 2)
+    finally:
+        del spark.createDataFrame
+    assert seen == ["Table"]
+
+    def work(batches):
+        tree = op8_language_id.trie()
+        yield from batches
+        assert tree is op8_language_id.trie()
+
+    def other(batches):
+        assert not [k for k in common._kept if k[0] != "trie"]
+        yield from batches
+
+    def third(batches):
+        assert not common._kept
+        yield from batches
+
+    for f in (work, other, third):
+        assert common.map_arrow(docs.select("doc_id").coalesce(1), f, "doc_id long").count() == 20
