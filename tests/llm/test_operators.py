@@ -765,6 +765,21 @@ def test_rare_tokens_take_the_join(spark, monkeypatch):
     assert few == pytest.approx(whole)
 
 
+@pytest.mark.parametrize("hot", [0, 12])
+def test_a_bin_larger_than_what_is_broadcast_still_trains(spark, monkeypatch, hot):
+    rows = [(i, " ".join(random.Random(i).choice((VOCAB[:40], VOCAB[200:240])[i % 2]) for _ in range(60)) + " " + "y" * (60 + i % 9)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in op10_maxent_lm.score_all(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(op10_maxent_lm, "HOT_TOKENS", hot)
+    monkeypatch.setattr(op10_maxent_lm, "step_of", lambda n="n": F.lit(3))  # all tokens are in one bin
+    model, counts = op10_maxent_lm.train(docs)
+    assert model.weights.any() and len(model.hot) < 20 and bool(model.hot) == bool(hot)
+    found = op10_maxent_lm.score(docs, model, counts).collect()
+    assert {r["doc_id"]: r["n_known"] for r in found} == {k: v[0] for k, v in whole.items()}
+    assert {r["doc_id"]: r["base_score"] for r in found} == pytest.approx({k: v[1] for k, v in whole.items()})
+    assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
+
+
 def test_gradient_raises_the_likelihood():
     r = np.random.default_rng(3)
     rows = r.integers(0, 50, (4000, 4)).astype(np.int32)
